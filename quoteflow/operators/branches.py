@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.functions.words import same_words, tokens, word_coverage
-from quoteflow.operators.catalog import code_index, lookup_code
+from quoteflow.operators.catalog import lookup_code
 from quoteflow.operators.common import last_wins, number_rows
-from quoteflow.operators.search import search
+from quoteflow.operators.search import SearchIndex, search
+from quoteflow.sources.store import stored
 
 # Fixed values.
 JUDGE_BATCH = 50
@@ -106,22 +107,20 @@ def settle_lines(coded: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def three_branch_match(
-    lines: DataFrame, items: DataFrame, judged: DataFrame, k: int = 5, index: DataFrame | None = None
+    lines: DataFrame, codes: DataFrame, index: SearchIndex, judged: DataFrame, k: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """(matched lines, their candidates). Every line comes out once, whatever was found for it.
 
     `lines` carries `line_key`, `description`, `customer_code`; the text each line was searched by is in `query`, and
     candidates are kept per distinct query text rather than repeated for every line.
     """
-    index = code_index(items) if index is None else index
-    coded = lookup_code(lines, index)
+    coded = lookup_code(lines, codes)
     settled = settle_lines(coded, judged)
-    candidates = search(settled.where("query is not null").select("query"), items, k)
+    candidates = stored(search(settled.where("query is not null").select("query"), index, k), "candidates")
     answered = candidates.groupBy("query").agg(F.count(F.lit(1)).alias("offered"))
     counted = settled.join(answered, "query", "left")
     empty = F.col("query").isNotNull() & F.col("offered").isNull()
-    some_items = items.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    no_list = some_items == 0
+    no_list = F.coalesce(index.totals.select("rows").scalar(), F.lit(0)) == 0
     matched = counted.select(
         *lines.columns,
         F.when(empty, NOTHING).otherwise(F.col("how")).alias("how"),

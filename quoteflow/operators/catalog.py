@@ -131,8 +131,10 @@ def collection_totals(bags: DataFrame) -> DataFrame:
 
 
 def word_statistics(postings: DataFrame, totals: DataFrame) -> DataFrame:
-    """Document frequency and inverse document frequency per word, counted in rows."""
-    counted = postings.groupBy("word").agg(F.sum("copies").alias("df"))
+    """Document frequency and inverse document frequency per word, counted in rows, and the segments that hold it."""
+    counted = postings.groupBy("word", "segment").agg(F.sum("copies").alias("df")).groupBy("word").agg(
+        F.sum("df").alias("df"), F.collect_list("segment").alias("segments")
+    )
     total = totals.select("rows").scalar()
     return counted.withColumn("idf", inverse_frequency(total, F.col("df")))
 

@@ -4,6 +4,8 @@ Each distinct query text is asked once. Scores are rounded before they rank, so
 change a shortlist; ties go to the earlier catalogue row.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from quoteflow.operators.catalog import (
     word_bags,
     word_statistics,
 )
+from quoteflow.sources.store import stored
 
 # Fixed values.
 K1 = 1.2
@@ -84,19 +87,31 @@ def term_score(weight: Column, idf: Column, tf: Column, length: Column, average:
     return weight * idf * (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * norm)
 
 
-def score_bags(
-    queries: DataFrame, items: DataFrame, *, with_customer_wording: bool = False, repair: bool = True
-) -> DataFrame:
-    """(query, product_key, position, score) for every bag of rows that shares a word with the query."""
-    bags = word_bags(items, with_customer_wording)
-    postings = bag_postings(bags)
+@dataclass(frozen=True)
+class SearchIndex:
+    """The stored tables a search reads: items, postings of their bags, word statistics and one row of totals."""
+
+    items: DataFrame
+    bags: DataFrame
+    postings: DataFrame
+    words: DataFrame
+    totals: DataFrame
+
+
+def build_index(items: DataFrame, with_customer_wording: bool = False) -> SearchIndex:
+    """Index the items once; every search after this reads the stored tables."""
+    bags = stored(word_bags(items, with_customer_wording), "bags")
     totals = collection_totals(bags)
-    words = word_statistics(postings, totals)
-    terms = query_terms(queries, words, repair).join(words, "word")
-    places = postings.select("word", "segment").distinct()
-    wanted = terms.join(places, "word")
-    average = totals.select("average_length").scalar()
-    hits = wanted.join(postings.drop("copies"), ["word", "segment"])
+    postings = stored(bag_postings(bags), "postings")
+    return SearchIndex(items, bags, postings, stored(word_statistics(postings, totals), "words"), totals)
+
+
+def score_bags(queries: DataFrame, index: SearchIndex, *, repair: bool = True) -> DataFrame:
+    """(query, product_key, position, score) for every bag of rows that shares a word with the query."""
+    terms = query_terms(queries, index.words, repair).join(index.words, "word")
+    wanted = terms.select("query", "word", "weight", "idf", F.explode("segments").alias("segment"))
+    average = index.totals.select("average_length").scalar()
+    hits = wanted.join(index.postings.drop("copies"), ["word", "segment"])
     parts = hits.select(
         "query",
         "product_key",
@@ -120,38 +135,30 @@ def best_per_product(scored: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
 
-def search(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int = 20,
-    *,
-    with_customer_wording: bool = False,
-    repair: bool = True,
-) -> DataFrame:
+def search(queries: DataFrame, index: SearchIndex, k: int = 20, *, repair: bool = True) -> DataFrame:
     """The k best products for each distinct `query` text, with their code and description."""
-    scored = score_bags(queries, items, with_customer_wording=with_customer_wording, repair=repair)
-    ranked = best_per_product(scored, k)
-    return ranked.join(items.select("position", "code", "description"), "position").select(
+    ranked = best_per_product(score_bags(queries, index, repair=repair), k)
+    return ranked.join(index.items.select("position", "code", "description"), "position").select(
         "query", "rank", "position", "code", "description", "score", "product_key"
     )
 
 
-def rank_rows(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def rank_rows(queries: DataFrame, index: SearchIndex, k: int) -> DataFrame:
     """The k best catalogue rows for each query, several rows of one product included.
 
     Rows of a bag score alike, so the k best rows lie in the k best bags; only those are opened into rows.
     """
-    scored = score_bags(queries, items)
+    scored = score_bags(queries, index)
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "position")
     top = scored.withColumn("bag_rank", F.row_number().over(by_score)).where(F.col("bag_rank") <= k)
-    rows = items.select(
+    rows = index.items.select(
         F.col("position").alias("row_position"),
         normalize_code(F.col("code")).alias("product_key"),
         F.array_sort(index_words()).alias("bag"),
     )
     in_bag = Window.partitionBy("product_key", "bag").orderBy("row_position")
     first_rows = rows.withColumn("nth", F.row_number().over(in_bag)).where(F.col("nth") <= k)
-    bag_of = first_rows.join(word_bags(items).select("product_key", "bag", "position"), ["product_key", "bag"])
+    bag_of = first_rows.join(index.bags.select("product_key", "bag", "position"), ["product_key", "bag"])
     opened = top.join(bag_of.select("position", "row_position"), "position")
     final = Window.partitionBy("query").orderBy(F.desc("score"), "row_position")
     return (
@@ -161,17 +168,17 @@ def rank_rows(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     )
 
 
-def shortlist(lines: DataFrame, items: DataFrame, index: DataFrame, k: int = 20) -> DataFrame:
+def shortlist(lines: DataFrame, codes: DataFrame, index: SearchIndex, k: int = 20) -> DataFrame:
     """What the list says about each line: the code's product first, then the search; at most k.
 
     `lines` carries `line_key`, `description` and `customer_code`. `confirmed` is null unless a code was found and
     there were words to check it against.
     """
-    keyed = lookup_code(lines.select("line_key", "description", "customer_code"), index).withColumn(
+    keyed = lookup_code(lines.select("line_key", "description", "customer_code"), codes).withColumn(
         "searched", F.size(tokens(F.col("description"))) > 0
     )
     asked = keyed.where("searched").select(F.col("description").alias("query"))
-    ranked = search(asked, items, k).select(
+    ranked = search(asked, index, k).select(
         F.col("query").alias("description"), "rank", F.col("code").alias("candidate"), "score"
     )
     found = keyed.join(ranked, "description")

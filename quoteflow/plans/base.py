@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quoteflow.sources.store import stored
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -68,6 +70,13 @@ SELECT grid_id, row_no, col_no, value FROM (
   FROM rfq_lines CROSS JOIN (SELECT 0 AS col_no UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 6) k
   UNION ALL
   SELECT rfq_id, max(line_index) + 2, 1, 'TOTAL' FROM rfq_lines GROUP BY rfq_id
+  UNION ALL
+  SELECT o.o_orderkey, CAST(100 AS BIGINT), h.col_no, h.value FROM orders o CROSS JOIN
+    (SELECT 1 AS col_no, 'Material' AS value UNION ALL SELECT 2, 'Req. Qty' UNION ALL SELECT 3, 'Stock' UNION ALL SELECT 5, 'Notes') h
+    WHERE o.o_orderkey % 3 = 0
+  UNION ALL
+  SELECT rfq_id, 100 + line_index * 2, k.col_no, CASE k.col_no WHEN 1 THEN description ELSE quantity END
+  FROM rfq_lines CROSS JOIN (SELECT 1 AS col_no UNION ALL SELECT 2) k WHERE rfq_id % 3 = 0 AND line_index % 2 = 0
 ) t WHERE value IS NOT NULL""",
     "journal": """
 SELECT event_id AS ord, user_id AS decision_id, ts AS recorded_at,
@@ -90,6 +99,11 @@ AGGREGATE = {
 }
 
 
+# Views that stand for stored tables are written once per session and folder.
+KEPT = ["rfq_lines", "cells", "threads"]
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
 def _uses(text: str, names) -> list[str]:
     return [name for name in names if re.search(rf"(?<![.\w]){name}(?![\w(])", text)]
 
@@ -104,10 +118,20 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in KEPT:
+            view = VIEWS[name].replace("{aggregate}", AGGREGATE["spark"])
+            return self.kept(name, lambda: stored(self.sql(view), name))
         if name in VIEWS:
             return self.sql(VIEWS[name].replace("{aggregate}", AGGREGATE["spark"]))
         raise AttributeError(name)
 
+    def kept(self, label: str, make: Callable):
+        """Something made once per session and folder: an index, a table several queries read."""
+        key = (self.spark.sparkContext.applicationId, self.folder, label)
+        if key not in _STORED:
+            _STORED[key] = make()
+        return _STORED[key]
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL over the tables and views by name."""
         names = _uses(text, [*TABLES, *VIEWS])

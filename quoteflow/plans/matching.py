@@ -7,6 +7,7 @@ from quoteflow.functions.words import normalize_code, same_words, tokens
 from quoteflow.operators import branches, catalog, confidence, search
 from quoteflow.plans import sqltext as q
 from quoteflow.plans.base import Inputs, Query
+from quoteflow.sources.store import stored
 
 K = 5
 
@@ -65,8 +66,16 @@ JUDGED = f"""judged AS (SELECT pair_no, line_text, product_text,
     FROM numbered)"""
 
 
+def index_of(t: Inputs) -> search.SearchIndex:
+    return t.kept("index", lambda: search.build_index(t.catalog_rows))
+
+
+def codes_of(t: Inputs) -> DataFrame:
+    return t.kept("codes", lambda: stored(catalog.code_index(t.catalog_rows), "codes"))
+
+
 def _pairs(t: Inputs) -> DataFrame:
-    coded = catalog.lookup_code(t.rfq_lines, catalog.code_index(t.catalog_rows))
+    coded = catalog.lookup_code(t.rfq_lines, codes_of(t))
     return branches.distinct_pairs(coded.withColumn("ord", F.expr("rfq_id * 1000000 + line_index")))
 
 
@@ -90,7 +99,7 @@ def judged_pairs(t: Inputs) -> DataFrame:
 
 
 def _matched(t: Inputs) -> tuple[DataFrame, DataFrame]:
-    return branches.three_branch_match(t.rfq_lines, t.catalog_rows, judged_pairs(t), K)
+    return branches.three_branch_match(t.rfq_lines, codes_of(t), index_of(t), judged_pairs(t), K)
 
 
 def matched_lines(t: Inputs) -> DataFrame:
@@ -104,14 +113,14 @@ def matched_lines(t: Inputs) -> DataFrame:
 def best_matches(t: Inputs) -> DataFrame:
     """Every requested line with its best five products: the flagship."""
     lines = t.rfq_lines.select("rfq_id", "line_index", "description")
-    found = search.search(lines.select(F.col("description").alias("query")), t.catalog_rows, K)
+    found = search.search(lines.select(F.col("description").alias("query")), index_of(t), K)
     joined = lines.join(found, lines.description == found.query, "left")
     return joined.select("rfq_id", "line_index", F.col("rank").cast("long").alias("rank"), "code", "score")
 
 
 def _questions(t: Inputs) -> DataFrame:
     """(line text, candidate) questions: one per distinct text, since equal texts get equal scores."""
-    found = search.search(texts(t), t.catalog_rows, K)
+    found = search.search(texts(t), index_of(t), K)
     return found.select(
         F.col("query").alias("line_key"), F.col("query").alias("line_text"),
         F.col("description").alias("product_text"), F.col("rank").cast("long").alias("rank"), "code",
@@ -228,26 +237,23 @@ def postings(t: Inputs) -> DataFrame:
 
 
 def word_statistics(t: Inputs) -> DataFrame:
-    bags = catalog.word_bags(t.catalog_rows)
-    out = catalog.word_statistics(catalog.bag_postings(bags), catalog.collection_totals(bags))
-    return out.select("word", "df", F.round("idf", 6).alias("idf"))
+    return index_of(t).words.select("word", "df", F.round("idf", 6).alias("idf"))
 
 
 def best_rows(t: Inputs) -> DataFrame:
-    return search.rank_rows(texts(t), t.catalog_rows, 10).select(
+    return search.rank_rows(texts(t), index_of(t), 10).select(
         "query", F.col("rank").cast("long").alias("rank"), "position", "score"
     )
 
 
 def best_products(t: Inputs) -> DataFrame:
-    return search.search(texts(t), t.catalog_rows, 20).select(
+    return search.search(texts(t), index_of(t), 20).select(
         "query", F.col("rank").cast("long").alias("rank"), "position", "code", "score"
     )
 
 
 def repaired(t: Inputs) -> DataFrame:
-    bags = catalog.word_bags(t.catalog_rows)
-    known = catalog.bag_postings(bags).select("word").distinct()
+    known = index_of(t).words.select("word")
     asked = texts(t).distinct().select(F.explode(tokens(F.col("query"))).alias("word")).distinct()
     return search.repair_words(asked.join(known, "word", "left_anti"), known)
 
@@ -257,7 +263,7 @@ def shortlists(t: Inputs) -> DataFrame:
     lines = t.rfq_lines.select("description", "customer_code").distinct().withColumn(
         "line_key", F.struct("description", "customer_code")
     )
-    out = search.shortlist(lines, t.catalog_rows, catalog.code_index(t.catalog_rows), K)
+    out = search.shortlist(lines, codes_of(t), index_of(t), K)
     return out.select(
         F.col("line_key.description").alias("description"), F.col("line_key.customer_code").alias("customer_code"),
         F.col("rank").cast("long").alias("rank"), "candidate", "score", "by_code", "confirmed", "conflicted",
@@ -269,7 +275,7 @@ def differences(t: Inputs) -> DataFrame:
 
 
 def picker(t: Inputs) -> DataFrame:
-    return catalog.product_picker(t.catalog_rows, code="-1", description=" steel", limit=500)
+    return catalog.product_picker(t.catalog_rows, code="-1", description=" economy", limit=500)
 
 
 def summary(t: Inputs) -> DataFrame:
@@ -333,7 +339,7 @@ SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words, coalesc
           lambda t: catalog.code_index(t.catalog_rows).withColumn("kind", F.col("kind").cast("long")),
           f"WITH {CODES} SELECT code_key, CAST(kind AS BIGINT) AS kind, position, code, description FROM codes"),
     Query("F4", "lookup_code",
-          lambda t: catalog.lookup_code(t.rfq_lines, catalog.code_index(t.catalog_rows)).select("rfq_id", "line_index", "customer_code", "found_code", "found_position"),
+          lambda t: catalog.lookup_code(t.rfq_lines, codes_of(t)).select("rfq_id", "line_index", "customer_code", "found_code", "found_position"),
           f"WITH {CODES},\n{CODED} SELECT rfq_id, line_index, customer_code, found_code, found_position FROM coded"),
     Query("F5", "build_postings", postings, f"WITH {INDEX} SELECT position, word, tf, row_length FROM posted JOIN lengths USING (position)"),
     Query("F6", "word_statistics", word_statistics, f"WITH {INDEX} SELECT word, df, round(idf, 6) AS idf FROM freq"),
@@ -398,7 +404,7 @@ SELECT line_key, candidate, viable, CAST(CASE WHEN NOT viable THEN 0 WHEN total
           f"""{MATCHED_ALL} SELECT rfq_id, count(*) AS lines, count(*) FILTER (how = 'code_confirmed') AS confirmed, count(*) FILTER (how = 'search') AS searched,
 count(*) FILTER (how = 'code_rejected') AS overruled, count(*) FILTER (how = 'none') AS unmatched FROM matched GROUP BY rfq_id"""),
     Query("F22", "product_picker", picker,
-          f"""WITH hits AS (SELECT position, code, description FROM catalog_rows WHERE upper(code) LIKE '%-1%' AND upper(description) LIKE '%STEEL%'
+          f"""WITH hits AS (SELECT position, code, description FROM catalog_rows WHERE upper(code) LIKE '%-1%' AND upper(description) LIKE '%ECONOMY%'
   QUALIFY row_number() OVER (PARTITION BY {q.code_key('code')} ORDER BY position) = 1)
 SELECT position, code, description, count(*) OVER () AS total FROM hits ORDER BY position LIMIT 200"""),
     Query("F24", "candidate_differences", differences,

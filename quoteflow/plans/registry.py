@@ -1,9 +1,9 @@
 """All registered queries by name."""
 
-from quoteflow.plans import matching
+from quoteflow.plans import grids, matching
 from quoteflow.plans.base import Query
 
-MODULES = [matching]
+MODULES = [matching, grids]
 
 
 def all_queries() -> list[Query]:
