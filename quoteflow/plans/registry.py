@@ -1,9 +1,9 @@
 """All registered queries by name."""
 
-from quoteflow.plans import grids, matching
+from quoteflow.plans import grids, matching, requests
 from quoteflow.plans.base import Query
 
-MODULES = [matching, grids]
+MODULES = [matching, grids, requests]
 
 
 def all_queries() -> list[Query]:
