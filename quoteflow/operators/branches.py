@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions.words import same_words, tokens, word_coverage
 from quoteflow.operators.catalog import lookup_code
-from quoteflow.operators.common import last_wins, number_rows
+from quoteflow.operators.common import last_wins, number_all
 from quoteflow.operators.search import SearchIndex, search
 from quoteflow.sources.store import stored
 
@@ -50,7 +50,7 @@ def distinct_pairs(coded: DataFrame) -> DataFrame:
         )
         .agg(F.min("ord").alias("first_seen"))
     )
-    numbered = number_rows(pairs, [], "first_seen", "pair_no")
+    numbered = number_all(pairs, ["first_seen"], "pair_no")
     at = F.col("pair_no") - 1
     return numbered.select(
         "line_text",

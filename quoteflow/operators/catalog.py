@@ -99,14 +99,18 @@ def word_bags(items: DataFrame, with_customer_wording: bool = False) -> DataFram
     """Catalogue rows that must score alike, folded into one: same product key and same words.
 
     Only the first row of a bag can stand for its product, so the search loses nothing; `copies` keeps the row counts
-    that document frequencies and the average length are made of.
+    that document frequencies and the average length are made of. With customer wordings a bag has one wording.
     """
-    words = items.select(
-        "position",
+    keys = ["product_key", "bag"]
+    columns = [
+        F.col("position"),
         normalize_code(F.col("code")).alias("product_key"),
         F.array_sort(index_words(with_customer_wording)).alias("bag"),
-    )
-    return words.groupBy("product_key", "bag").agg(
+    ]
+    if with_customer_wording:
+        keys.append("wording")
+        columns.append(F.trim("customer_description").alias("wording"))
+    return items.select(*columns).groupBy(*keys).agg(
         F.min("position").alias("position"), F.count(F.lit(1)).alias("copies")
     )
 

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quoteflow.sources.store import stored
+
 # Orders are numbered in stretches of this width, so no task sorts more than one stretch of a group.
 STRETCH = 1 << 16
 BROADCAST_ROWS = 10_000
@@ -55,6 +57,23 @@ def number_rows(
     return joined.select(*df.columns, (F.col("_row") + F.col("_shift")).cast("long").alias(name))
 
 
+def number_all(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """1..n over a whole table in the given (total) order.
+
+    The table is range partitioned and written, so partitions follow each other and hold still; rows are numbered
+    inside each and shifted by the sizes of the ones before. Only one row per partition is ever looked at together.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    placed = stored(ranged, "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift")
+    )
+    inside = Window.partitionBy("_part").orderBy(*order)
+    numbered = placed.withColumn("_row", F.row_number().over(inside)).join(shifts, "_part")
+    return numbered.select(*df.columns, (F.col("_row") + F.col("_shift")).cast("long").alias(name))
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, stretch: int = STRETCH
 ) -> DataFrame:
