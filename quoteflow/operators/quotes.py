@@ -155,7 +155,7 @@ def record_inquiries(letters: DataFrame, rfqs: DataFrame, existing: DataFrame) -
 def record_offers(actions: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame:
     """Each offer with its `status`; a null price clears the line's offer.
 
-    `actions` carries `rfq_id`, `line_index`, `ord`, `at`, `unit_price`, `clears`; `asked` the lines suppliers were
+    `actions` carries `rfq_id`, `line_index`, `ord`, `acted_at`, `unit_price`, `clears`; `asked` the lines suppliers were
     asked about.
     """
     keys = ["rfq_id", "line_index"]
@@ -178,7 +178,7 @@ def final_offers(judged: DataFrame) -> DataFrame:
         taken.select(
             "rfq_id", "line_index", "ord",
             F.when(~F.col("clears"), F.col("unit_price")).alias("offer_unit_price"),
-            F.when(~F.col("clears"), F.col("at")).alias("offer_received_at"),
+            F.when(~F.col("clears"), F.col("acted_at")).alias("offer_received_at"),
         ),
         ["rfq_id", "line_index"], ["ord"],
     )

@@ -133,7 +133,8 @@ class Inputs:
         return _STORED[key]
 
     def sql(self, text: str) -> DataFrame:
-        """Run SQL over the tables and views by name."""
+        """Run SQL over the tables and views by name; whole number division is spelled `//` in the shared texts."""
+        text = text.replace(" // ", " div ").replace("{", "{{").replace("}", "}}")
         names = _uses(text, [*TABLES, *VIEWS])
         frames = {f"df_{name}": getattr(self, name) for name in names}
         for name in names:

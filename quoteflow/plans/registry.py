@@ -1,9 +1,9 @@
 """All registered queries by name."""
 
-from quoteflow.plans import evaluations, grids, matching, requests
+from quoteflow.plans import evaluations, grids, matching, quoting, requests
 from quoteflow.plans.base import Query
 
-MODULES = [matching, grids, requests, evaluations]
+MODULES = [matching, grids, requests, quoting, evaluations]
 
 
 def all_queries() -> list[Query]:

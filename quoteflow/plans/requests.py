@@ -46,15 +46,8 @@ DOCUMENTS = """SELECT rfq_id, line_index AS file_ord, 'file' || CAST(line_index
     CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END AS facts,
     CASE l_suppkey % 5 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'nothing_to_read' WHEN 2 THEN 'file_too_large,text_truncated,unreadable,file_too_large' WHEN 3 THEN 'text_truncated' ELSE 'nothing_to_read,password_protected' END AS codes FROM rfq_lines"""
 
-SPARK_DIV = " // "
-
-
-def _sql(t: Inputs, text: str) -> DataFrame:
-    return t.sql(text.replace(SPARK_DIV, " div "))
-
-
 def _accepted(t: Inputs) -> DataFrame:
-    judged = e.accept_header_answers(_sql(t, HEADER), _sql(t, SOURCES))
+    judged = e.accept_header_answers(t.sql(HEADER), t.sql(SOURCES))
     return t.kept("accepted", lambda: stored(judged.where("refused is null"), "accepted"))
 
 
@@ -64,12 +57,12 @@ def _header(t: Inputs) -> DataFrame:
 
 
 def answers(t: Inputs) -> DataFrame:
-    out = e.accept_header_answers(_sql(t, HEADER), _sql(t, SOURCES))
+    out = e.accept_header_answers(t.sql(HEADER), t.sql(SOURCES))
     return out.select("rfq_id", F.col("ord").cast("long").alias("ord"), "field", "value", "refused", "unknown_source")
 
 
 def explanations(t: Inputs) -> DataFrame:
-    return e.accept_explanations(_sql(t, EXPLAINED), _accepted(t))
+    return e.accept_explanations(t.sql(EXPLAINED), _accepted(t))
 
 
 def header(t: Inputs) -> DataFrame:
@@ -80,7 +73,7 @@ def header(t: Inputs) -> DataFrame:
 
 def single_values(t: Inputs) -> DataFrame:
     """The value functions by themselves over the header answers."""
-    said = _sql(t, HEADER)
+    said = t.sql(HEADER)
     value = F.col("value")
     return said.where("ord in (2, 8, 9)").select(
         "rfq_id", "field",
@@ -93,28 +86,28 @@ def single_values(t: Inputs) -> DataFrame:
 
 def dates(t: Inputs) -> DataFrame:
     read = v.parse_due_date(F.col("value"), F.lit(TODAY).cast("date"))
-    return _sql(t, HEADER).where("ord in (6, 7)").withColumn("read", read).select(
+    return t.sql(HEADER).where("ord in (6, 7)").withColumn("read", read).select(
         "rfq_id", "field", F.date_format("read.day", "yyyy-MM-dd").alias("day"), F.col("read.problem").alias("problem")
     )
 
 
 def _merged(t: Inputs) -> DataFrame:
-    return t.kept("merged_items", lambda: stored(e.merge_sources(_sql(t, ITEMS)), "merged"))
+    return t.kept("merged_items", lambda: stored(e.merge_sources(t.sql(ITEMS)), "merged"))
 
 
 def merged(t: Inputs) -> DataFrame:
-    return e.merge_sources(_sql(t, ITEMS)).select("rfq_id", "sr_no", "description", "quantity", "source")
+    return e.merge_sources(t.sql(ITEMS)).select("rfq_id", "sr_no", "description", "quantity", "source")
 
 
 def merge_notes(t: Inputs) -> DataFrame:
-    items = _sql(t, ITEMS).withColumn("file_ord", F.col("file_ord").cast("long"))
+    items = t.sql(ITEMS).withColumn("file_ord", F.col("file_ord").cast("long"))
     rfqs = t.orders.select(F.col("o_orderkey").alias("rfq_id"))
     found = e.merge_sources(items).where("rfq_id % 17 <> 0")
     return e.merge_warnings(items.where("rfq_id % 17 <> 0"), found, rfqs)
 
 
 def stitched(t: Inputs) -> DataFrame:
-    out = e.stitch_parts(_sql(t, STITCHED), _sql(t, PART_LABELS))
+    out = e.stitch_parts(t.sql(STITCHED), t.sql(PART_LABELS))
     return out.select("doc_id", "sr_no", "description", "quantity", "source")
 
 
@@ -128,7 +121,7 @@ def completeness(t: Inputs) -> DataFrame:
 
 
 def _explained(t: Inputs) -> DataFrame:
-    return e.accept_explanations(_sql(t, EXPLAINED), _accepted(t))
+    return e.accept_explanations(t.sql(EXPLAINED), _accepted(t))
 
 
 def blanks(t: Inputs) -> DataFrame:
@@ -136,7 +129,7 @@ def blanks(t: Inputs) -> DataFrame:
 
 
 def _documents(t: Inputs) -> DataFrame:
-    return _sql(t, DOCUMENTS).withColumn("warnings", F.split("codes", ","))
+    return t.sql(DOCUMENTS).withColumn("warnings", F.split("codes", ","))
 
 
 def unread(t: Inputs) -> DataFrame:
