@@ -3,10 +3,13 @@
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import partial
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quoteflow.functions.values import let
 
@@ -69,8 +72,8 @@ SIGNATURE_IMAGE_BYTES = 20_000
 FORM_XLSX = r"(?i)^E_QUOT.*\.(?:xlsx|xls)$"
 FORM_PDF = r"(?i)^E_QUOT.*\.pdf$"
 DROPPED_TAGS = ["script", "style", "head", "noscript"]
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " ")]
-NUMBERED_ENTITY = r"&#(?:x[0-9a-fA-F]{1,4}|\d{1,5});"
+ENTITY = r"&(?:#x[0-9a-fA-F]{1,4}|#\d{1,5}|[A-Za-z][A-Za-z0-9]*);"
+AMPERSAND = r"&(?:amp|#0*38|#x0*26);"
 
 
 def strip(text: Column) -> Column:
@@ -78,7 +81,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible_form(texts: pd.Series) -> pd.Series:
     """Unicode NFKC: the one thing here no built-in function does."""
     return texts.map(lambda text: None if text is None else unicodedata.normalize("NFKC", text))
@@ -187,7 +190,7 @@ def classify_attachment(name: Column, size: Column) -> Column:
 
 def parse_attachments(value: Column) -> Column:
     """array<struct(filename, kind)> of an attachments header. Sizes are not known here."""
-    names = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), F.trim), lambda name: name != "")
+    names = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda part: F.trim(part)), lambda name: name != "")
     unknown = F.lit(None).cast("bigint")
     return F.transform(
         names, lambda name: F.struct(name.alias("filename"), classify_attachment(name, unknown).alias("kind"))
@@ -195,20 +198,21 @@ def parse_attachments(value: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numbered character references as characters; `&amp;` last."""
-    for entity, sign in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
+    """Named and numbered character references as characters; references to `&` last."""
+    names = F.create_map(*[F.lit(one) for pair in ((f"&{n};", chr(c)) for n, c in name2codepoint.items()) for one in pair])
 
     def sign_of(entity: Column) -> Column:
         number = F.regexp_replace(entity, "[&#;]", "")
         code = F.when(number.startswith("x"), F.substring(number, 2, 4)).otherwise(F.conv(number, 10, 16))
-        return F.get_json_object(F.concat(F.lit('{"c":"\\u'), F.lpad(code, 4, "0"), F.lit('"}')), "$.c")
+        numbered = F.get_json_object(F.concat(F.lit('{"c":"\\u'), F.lpad(code, 4, "0"), F.lit('"}')), "$.c")
+        return F.when(entity.startswith("&#"), numbered).otherwise(F.try_element_at(names, entity))
 
-    numbered = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED_ENTITY), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    others = F.filter(found, lambda entity: ~entity.rlike(AMPERSAND))
     decoded = F.aggregate(
-        numbered, text, lambda so_far, entity: F.replace(so_far, entity, F.coalesce(sign_of(entity), entity))
+        others, text, lambda so_far, entity: F.replace(so_far, entity, F.coalesce(sign_of(entity), entity))
     )
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    return F.regexp_replace(decoded, AMPERSAND, "&")
 
 
 def html_to_text(html: Column) -> Column:
@@ -323,16 +327,15 @@ def strip_boilerplate(
         at = first_place(lines, lambda line: line.rlike(pattern))
         return F.when(at.isNotNull(), F.slice(lines, 1, at)).otherwise(lines)
 
-    def step(state: Column, name: str, cut: Callable[[Column], Column]) -> Column:
-        return let(
-            cut(state["lines"]),
-            lambda left: F.struct(
-                left.alias("lines"),
-                F.when(F.size(left) != F.size(state["lines"]), F.concat(state["applied"], F.array(F.lit(name))))
-                .otherwise(state["applied"])
-                .alias("applied"),
-            ),
-        )
+    def step(name: str, cut: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        """One rule as a function of (lines, applied)."""
+
+        def told(state: Column, left: Column) -> Column:
+            fired = F.size(left) != F.size(state["lines"])
+            applied = F.when(fired, F.concat(state["applied"], F.array(F.lit(name)))).otherwise(state["applied"])
+            return F.struct(left.alias("lines"), applied.alias("applied"))
+
+        return lambda state: let(cut(state["lines"]), lambda left: told(state, left))
 
     def drop_signature(lines: Column) -> Column:
         at = first_place(lines, lambda line: line.rlike(sign_off))
@@ -350,11 +353,10 @@ def strip_boilerplate(
         return F.when((strip(removed) != "") & ~removed.rlike(value_bearing), F.slice(lines, 1, keep)).otherwise(lines)
 
     state = F.struct(F.split(text, "\n").alias("lines"), F.array().cast("array<string>").alias("applied"))
-    for name, pattern in line_rules:
-        state = let(state, lambda s, n=name, p=pattern: step(s, n, lambda lines: drop_lines(lines, p)))
-    for name, pattern in tail_rules:
-        state = let(state, lambda s, n=name, p=pattern: step(s, n, lambda lines: drop_tail(lines, p)))
-    state = let(state, lambda s: step(s, "signature", drop_signature))
+    steps = [step(name, partial(drop_lines, pattern=pattern)) for name, pattern in line_rules]
+    steps += [step(name, partial(drop_tail, pattern=pattern)) for name, pattern in tail_rules]
+    for one in [*steps, step("signature", drop_signature)]:
+        state = let(state, one)
     return let(state, lambda s: F.struct(strip(joined(s["lines"])).alias("text"), s["applied"].alias("applied")))
 
 

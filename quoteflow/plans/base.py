@@ -78,6 +78,19 @@ SELECT grid_id, row_no, col_no, value FROM (
   SELECT rfq_id, 100 + line_index * 2, k.col_no, CASE k.col_no WHEN 1 THEN description ELSE quantity END
   FROM rfq_lines CROSS JOIN (SELECT 1 AS col_no UNION ALL SELECT 2) k WHERE rfq_id % 3 = 0 AND line_index % 2 = 0
 ) t WHERE value IS NOT NULL""",
+    "mails": """
+SELECT o_orderkey AS message_id, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'CAUTION: External sender' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CASE WHEN o_orderkey % 13 = 0 THEN 'Message: ' ELSE 'From: ' END || 'Buyer ' || CAST(o_custkey AS VARCHAR(10)) || CASE WHEN o_orderkey % 2 = 0 THEN ' (C' ELSE ' <C' END || CAST(o_custkey % 50 AS VARCHAR(10)) || '@'
+     || CASE o_custkey % 6 WHEN 0 THEN 'Own.example' WHEN 1 THEN 'portal.example' WHEN 2 THEN 'customer.example' WHEN 3 THEN 'supplier.example' WHEN 4 THEN 'elsewhere.example' ELSE 'own.example' END || CASE WHEN o_orderkey % 2 = 0 THEN ')' ELSE '>' END || chr(10)
+     || 'To: Desk <desk@own.example>' || CASE WHEN o_orderkey % 3 = 0 THEN ', buyer@elsewhere.example' ELSE '' END || chr(10) || CASE WHEN o_orderkey % 5 = 0 THEN 'Cc: "Desk, Two" <Two@own.example>, nobody' || chr(10) ELSE '' END
+     || 'Sent: Tuesday, May 26' || chr(10) || 'Subject: ' || CASE o_orderkey % 4 WHEN 0 THEN 'RE: FW: [Updated]Stores' WHEN 1 THEN 'fwd :re: VSL: NORTH STAR' WHEN 2 THEN 'Stores RE: later' ELSE '' END || chr(10)
+     || CASE WHEN o_orderkey % 6 = 0 THEN 'Attachments: E_QUOT ' || CAST(o_orderkey AS VARCHAR(10)) || '.xlsx, image001.png, , e_quot.pdf' || chr(10) ELSE '' END || 'Subject: ' || CASE o_orderkey % 4 WHEN 0 THEN 'RE: FW: [Updated]Stores' WHEN 1 THEN 'fwd :re: VSL: NORTH STAR' WHEN 2 THEN 'Stores RE: later' ELSE '' END || chr(10) || chr(10) END
+  || CASE WHEN o_orderkey % 17 = 0 THEN 'ok' ELSE 'Dear all,' || chr(10) || 'Vessel: North Star ' || CAST(o_custkey AS VARCHAR(10)) || ' - ' || 'eta 12 Oct 2024' || chr(10) || 'IMO: ' || CAST(9000000 + o_orderkey AS VARCHAR(10)) || chr(10)
+     || CASE WHEN o_orderkey % 3 = 0 THEN 'RFQ No: AB-' || CAST(o_orderkey AS VARCHAR(10)) || '/24' || chr(10) || 'Quote Before: 12-Oct-2024' || chr(10) ELSE '' END || 'Delivery Port: ' || CASE o_orderkey % 5 WHEN 0 THEN 'Jebel Ali' WHEN 1 THEN 'Tuas - Singapore' WHEN 2 THEN 'Rotterdam' WHEN 3 THEN 'Dubai or Singapore' ELSE 'Khor Fakkan' END || chr(10)
+     || CASE WHEN o_orderkey % 4 = 1 THEN 'this is urgent, ASAP please, urgent' || chr(10) ELSE '' END || 'from the portal mail tool' || chr(10) || chr(10) || chr(10) || 'Kind regards,' || chr(10) || 'Name' || chr(10) || 'Buyer' || chr(10) || chr(10) || 'Line three' || chr(10) || 'Line four' || chr(10)
+     || CASE WHEN o_orderkey % 8 = 0 THEN 'price list' ELSE 'www.ship.example' END || chr(10) || CASE WHEN o_orderkey % 9 = 0 THEN 'This email and any associated files are private' || chr(10) ELSE '' END END
+  || CASE WHEN o_orderkey % 2 = 1 THEN chr(10) || '-----Original Message-----' || chr(10) || 'From: desk' || chr(10) || 'Sent: Monday' || chr(10) || 'Subject: old' || chr(10) || chr(10) || 'the old text' ELSE '' END AS raw_text
+FROM orders""",
     "journal": """
 SELECT event_id AS ord, user_id AS decision_id, ts AS recorded_at,
        CASE event_type WHEN 'click' THEN 'extraction' WHEN 'purchase' THEN 'delivery' WHEN 'error' THEN NULL ELSE 'decision' END AS type,
