@@ -185,11 +185,14 @@ def final_offers(judged: DataFrame) -> DataFrame:
     return last.drop("ord")
 
 
-def approve_pricing(approvals: DataFrame, prices: DataFrame, lines: DataFrame) -> DataFrame:
+def approve_pricing(
+    approvals: DataFrame, prices: DataFrame, lines: DataFrame, approved: DataFrame | None = None
+) -> DataFrame:
     """Each approval with its `status` and how many lines it left without a price.
 
     `approvals` carries `rfq_id`, `ord`, the two margins; `prices` the priced lines of each. Numbers out of bounds are
-    refused first, then unknown requests, then missing prices, then a second approval.
+    refused first, then unknown requests, then missing prices, then a second approval. `approved` names requests
+    approved before.
     """
     needed = lines.groupBy("rfq_id").agg(F.count_distinct("line_index").alias("lines"))
     given = prices.join(lines.select("rfq_id", "line_index").distinct(), ["rfq_id", "line_index"], "left_semi")
@@ -206,7 +209,10 @@ def approve_pricing(approvals: DataFrame, prices: DataFrame, lines: DataFrame) -
         .when(F.col("lines").isNull(), NOT_FOUND)
         .when(missing > 0, UNPROCESSABLE)
     )
-    judged = joined.withColumn("refused", refused)
+    before = approvals.select("rfq_id").limit(0) if approved is None else approved
+    judged = joined.join(_exists(before, ["rfq_id"], "approved_before"), "rfq_id", "left").withColumn(
+        "refused", F.coalesce(refused, F.when(F.col("approved_before"), CONFLICT))
+    )
     first = judged.where("refused is null").groupBy("rfq_id").agg(F.min("ord").alias("first_ord"))
     return judged.join(first, "rfq_id", "left").select(
         *approvals.columns,

@@ -1,9 +1,9 @@
 """All registered queries by name."""
 
-from quoteflow.plans import evaluations, grids, mail, matching, quoting, requests
+from quoteflow.plans import evaluations, grids, mail, matching, quoting, requests, streams
 from quoteflow.plans.base import Query
 
-MODULES = [matching, mail, grids, requests, quoting, evaluations]
+MODULES = [matching, mail, grids, requests, quoting, evaluations, streams]
 
 
 def all_queries() -> list[Query]:

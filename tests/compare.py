@@ -52,7 +52,7 @@ def differences(df, engine, sql) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     for name, kind in zip(result.columns, result.types):
         mine, theirs = kinds[name], str(kind).lower()
-        same = {"bigint": "bigint", "int": "integer", "string": "varchar", "timestamp": "timestamp"}.get(mine, mine)
+        same = {"int": "integer", "string": "varchar", "timestamp_ntz": "timestamp"}.get(mine, mine)
         if same != theirs.replace(" ", ""):
             return f"type of {name}: {mine} / {theirs}"
     return "" if found else "no rows"
