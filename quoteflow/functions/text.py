@@ -290,7 +290,10 @@ def split_thread(body: Column, min_latest_chars: int = MIN_LATEST_CHARS) -> Colu
         return F.transform(starts, block)
 
     def cut(lines: Column) -> Column:
-        return let(starts_of(F.transform(lines, line_kind)), lambda starts: whole(lines, starts))
+        return let(
+            F.transform(lines, lambda line: line_kind(line)),
+            lambda kinds: let(starts_of(kinds), lambda starts: whole(lines, starts)),
+        )
 
     def whole(lines: Column, starts: Column) -> Column:
         top = F.coalesce(F.try_element_at(starts, F.lit(1)), F.size(lines))

@@ -6,8 +6,10 @@ A grid is a long table `cells(grid_id, row_no, col_no, value)` of filled cells,
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoteflow.functions.values import let
 from quoteflow.functions.words import shortened
 from quoteflow.operators.common import number_rows, ordered_list
+from quoteflow.sources.store import stored
 
 # Fixed values.
 HEADER_WORDS = [
@@ -68,50 +70,71 @@ def header_word(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.trim(value)), NOT_HEADER_SIGN, "")).isin(HEADER_WORDS)
 
 
+def grid_rows(cells: DataFrame) -> DataFrame:
+    """(grid_id, row_no, filled, hits): each row's filled columns in order, and how many of them say heading words.
+
+    A row is at most one sheet wide, so its columns fit an array; what follows works on rows, not on cells.
+    """
+    cell = F.struct("col_no", header_word(F.col("value")).alias("known"))
+    rows = cells.groupBy("grid_id", "row_no").agg(F.array_sort(F.collect_list(cell)).alias("filled"))
+    return rows.withColumn("hits", F.size(F.filter("filled", lambda c: c["known"])))
+
+
 def header_rows(cells: DataFrame) -> DataFrame:
     """(grid_id, header_row): rows of two heading words or more, found in or after a first one near the top."""
     hits = (
         cells.where(header_word(F.col("value")))
         .groupBy("grid_id", F.col("row_no").alias("header_row"))
         .agg(F.count(F.lit(1)).alias("hits"))
-        .where(F.col("hits") >= MIN_HEADER_HITS)
-        .drop("hits")
     )
+    return _near_the_top(hits.where(F.col("hits") >= MIN_HEADER_HITS).select(*BLOCK))
+
+
+def _near_the_top(hits: DataFrame) -> DataFrame:
     first = hits.groupBy("grid_id").agg(F.min("header_row").alias("first_header"))
     return hits.join(first, "grid_id").where(F.col("first_header") < HEADER_SCAN_ROWS).drop("first_header")
 
 
-def table_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """(grid_id, header_row, columns): the unbroken run of headings around the recognised ones.
+def _headers(rows: DataFrame) -> DataFrame:
+    """The heading rows of a table of grid rows."""
+    return _near_the_top(rows.where(F.col("hits") >= MIN_HEADER_HITS).select("grid_id", F.col("row_no").alias("header_row")))
 
-    A heading row is at most one sheet wide, so its columns fit an array.
-    """
-    row = (
-        cells.withColumnRenamed("row_no", "header_row")
-        .join(headers, BLOCK)
-        .select(*BLOCK, "col_no", header_word(F.col("value")).alias("known"))
-    )
-    run = Window.partitionBy(*BLOCK).orderBy("col_no")
-    islands = row.withColumn("island", F.col("col_no") - F.row_number().over(run))
-    spans = islands.groupBy(*BLOCK).agg(
-        F.min(F.when(F.col("known"), F.col("island"))).alias("left"),
-        F.max(F.when(F.col("known"), F.col("island"))).alias("right"),
-        F.collect_list(F.struct("col_no", "island")).alias("filled"),
-    )
-    inside = F.filter(
-        "filled",
-        lambda c: F.col("left").isNull() | c["island"].between(F.col("left"), F.col("right")),
+
+def run_of_headings(filled: Column) -> Column:
+    """The columns of the unbroken run of filled headings around the recognised ones; all filled ones without any."""
+    islands = F.transform(
+        filled, lambda c, i: F.struct(c["col_no"].alias("col_no"), c["known"].alias("known"), (c["col_no"] - i).alias("island"))
     )
-    return spans.select(*BLOCK, F.array_sort(F.transform(inside, lambda c: c["col_no"])).alias("columns"))
+
+    def inside(cells: Column) -> Column:
+        known = F.transform(F.filter(cells, lambda c: c["known"]), lambda c: c["island"])
+        within = F.filter(
+            cells,
+            lambda c: (F.size(known) == 0) | c["island"].between(F.array_min(known), F.array_max(known)),
+        )
+        return F.transform(within, lambda c: c["col_no"])
+
+    return let(islands, inside)
 
 
-def blocks_under(cells: DataFrame, named: DataFrame, recognised: DataFrame) -> DataFrame:
+def table_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """(grid_id, header_row, columns): the unbroken run of headings around the recognised ones."""
+    heading = cells.withColumnRenamed("row_no", "header_row").join(headers, BLOCK, "left_semi")
+    return _columns(grid_rows(heading.withColumnRenamed("header_row", "row_no")), headers)
+
+
+def _columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    named = rows.select("grid_id", F.col("row_no").alias("header_row"), "filled").join(headers, BLOCK, "left_semi")
+    return named.select(*BLOCK, run_of_headings(F.col("filled")).alias("columns"))
+
+
+def blocks_under(rows: DataFrame, named: DataFrame, recognised: DataFrame) -> DataFrame:
     """The block under each named heading row, ending before the next recognised one.
 
-    Trailing rows empty in the headed columns are cut; if any row fills two columns, trailing rows filling fewer than
-    two are cut as well. A heading with no rows under it gives no block.
+    `rows` is a table of `grid_rows`. Trailing rows empty in the headed columns are cut; if any row fills two columns,
+    trailing rows filling fewer than two are cut as well. A heading with no rows under it gives no block.
     """
-    heights = cells.groupBy("grid_id").agg((F.max("row_no") + 1).alias("height"))
+    heights = rows.groupBy("grid_id").agg((F.max("row_no") + 1).alias("height"))
     marks = named.withColumn("is_named", F.lit(True)).join(
         recognised.withColumn("is_known", F.lit(True)), BLOCK, "full"
     )
@@ -123,29 +146,25 @@ def blocks_under(cells: DataFrame, named: DataFrame, recognised: DataFrame) -> D
         .join(heights, "grid_id")
         .select(*BLOCK, F.coalesce("next_known", "height").alias("ends_before"))
     )
-    headed = table_columns(cells, named).join(spans, BLOCK)
-    stretches = headed.withColumn(
-        "stretch",
-        F.explode(
-            F.sequence(
-                F.floor((F.col("header_row") + 1) / ROW_STRETCH),
-                F.greatest(
-                    F.floor((F.col("ends_before") - 1) / ROW_STRETCH), F.floor((F.col("header_row") + 1) / ROW_STRETCH)
-                ),
-            )
-        ),
-    )
-    placed = cells.withColumn("stretch", F.floor(F.col("row_no") / ROW_STRETCH))
+    headed = _columns(rows, named).join(spans, BLOCK)
+    first_stretch = F.floor((F.col("header_row") + 1) / ROW_STRETCH)
+    last_stretch = F.greatest(F.floor((F.col("ends_before") - 1) / ROW_STRETCH), first_stretch)
+    stretches = headed.withColumn("stretch", F.explode(F.sequence(first_stretch, last_stretch)))
+    placed = rows.select("grid_id", "row_no", "filled", F.floor(F.col("row_no") / ROW_STRETCH).alias("stretch"))
     under = placed.join(stretches, ["grid_id", "stretch"]).where(
-        (F.col("row_no") > F.col("header_row"))
-        & (F.col("row_no") < F.col("ends_before"))
-        & F.array_contains("columns", F.col("col_no"))
+        (F.col("row_no") > F.col("header_row")) & (F.col("row_no") < F.col("ends_before"))
     )
-    filled = under.groupBy(*BLOCK, "row_no").agg(F.count(F.lit(1)).alias("filled"))
-    last = filled.groupBy(*BLOCK).agg(
-        F.coalesce(F.max(F.when(F.col("filled") >= 2, F.col("row_no"))), F.max("row_no")).alias("last_data_row")
+    count = F.size(F.filter("filled", lambda c: F.array_contains("columns", c["col_no"])))
+    last = (
+        under.select(*BLOCK, "row_no", count.alias("count"), "columns")
+        .where("count > 0")
+        .groupBy(*BLOCK)
+        .agg(
+            F.coalesce(F.max(F.when(F.col("count") >= 2, F.col("row_no"))), F.max("row_no")).alias("last_data_row"),
+            F.first("columns").alias("columns"),
+        )
     )
-    return headed.join(last, BLOCK).select(
+    return last.select(
         *BLOCK,
         (F.col("header_row") + 1).alias("first_data_row"),
         "last_data_row",
@@ -155,26 +174,29 @@ def blocks_under(cells: DataFrame, named: DataFrame, recognised: DataFrame) -> D
 
 
 def find_blocks(cells: DataFrame) -> DataFrame:
-    headers = header_rows(cells)
-    return blocks_under(cells, headers, headers)
+    rows = stored(grid_rows(cells), "grid-rows")
+    headers = _headers(rows)
+    return blocks_under(rows, headers, headers)
 
 
 def fallback_blocks(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """For grids of at least two by two without any block: the first row taken as heading."""
-    shapes = cells.groupBy("grid_id").agg(
-        F.max("row_no").alias("last_row"), F.max("col_no").alias("last_column")
+    rows = stored(grid_rows(cells), "grid-rows")
+    shapes = rows.groupBy("grid_id").agg(
+        F.max("row_no").alias("last_row"), F.max(F.array_max(F.col("filled.col_no"))).alias("last_column")
     )
     tabular = shapes.where("last_row >= 1 and last_column >= 1").join(blocks, "grid_id", "left_anti")
     named = tabular.select("grid_id", F.lit(0).cast("long").alias("header_row"))
-    return blocks_under(cells, named, header_rows(cells))
+    return blocks_under(rows, named, _headers(rows))
 
 
 def named_blocks(cells: DataFrame, answers: DataFrame) -> DataFrame:
     """Blocks at heading rows an answer names, counted from one; rows outside the grid give none."""
+    rows = stored(grid_rows(cells), "grid-rows")
     named = answers.select("grid_id", (F.col("header_row") - 1).cast("long").alias("header_row")).where(
         "header_row >= 0"
     ).distinct()
-    return blocks_under(cells, named, header_rows(cells))
+    return blocks_under(rows, named, _headers(rows))
 
 
 def block_titles(cells: DataFrame, blocks: DataFrame) -> DataFrame:
