@@ -3,7 +3,7 @@
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.functions.words import normalize_code, tokens
@@ -12,6 +12,11 @@ from quoteflow.operators.common import first_wins
 
 # Posting lists are cut into stretches of this many catalogue positions.
 SEGMENT = 1 << 20
+# Products per word whose best values are kept.
+CHAMPIONS = 20
+# Fixed values.
+K1 = 1.2
+B = 0.75
 PICKER_DEFAULT = 50
 PICKER_MOST = 200
 
@@ -135,12 +140,29 @@ def collection_totals(bags: DataFrame) -> DataFrame:
 
 
 def word_statistics(postings: DataFrame, totals: DataFrame) -> DataFrame:
-    """Document frequency and inverse document frequency per word, counted in rows, and the segments that hold it."""
+    """Per word: frequencies counted in rows, the segments that hold it, and what it can give a row.
+
+    `best` is the most a row gets out of the word before its weight; `floors` are the best values of twenty products,
+    highest first: a query with this word has that many products scoring at least so much.
+    """
     counted = postings.groupBy("word", "segment").agg(F.sum("copies").alias("df")).groupBy("word").agg(
         F.sum("df").alias("df"), F.collect_list("segment").alias("segments")
     )
+    gain = saturation(F.col("tf"), F.col("row_length"), totals.select("average_length").scalar())
+    products = postings.groupBy("word", "product_key").agg(F.max(gain).alias("gain"))
+    highest = Window.partitionBy("word").orderBy(F.desc("gain"))
+    champions = products.withColumn("nth", F.row_number().over(highest)).where(F.col("nth") <= CHAMPIONS)
+    floors = champions.groupBy("word").agg(F.sort_array(F.collect_list("gain"), asc=False).alias("floors"))
     total = totals.select("rows").scalar()
-    return counted.withColumn("idf", inverse_frequency(total, F.col("df")))
+    return counted.join(floors, "word").withColumns(
+        {"idf": inverse_frequency(total, F.col("df")), "best": F.col("floors")[0]}
+    )
+
+
+def saturation(tf: Column, length: Column, average: Column) -> Column:
+    """What saying a word `tf` times is worth in a row of this length."""
+    norm = F.lit(1 - B) + F.lit(B) * (length / average)
+    return (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * norm)
 
 
 def inverse_frequency(rows: Column, df: Column) -> Column:

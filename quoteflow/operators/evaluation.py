@@ -95,7 +95,7 @@ def p95_latency(predictions: DataFrame, keys: list[str]) -> DataFrame:
     counts = predictions.where("latency_ms is not null").groupBy(*keys, "latency_ms").agg(F.count(F.lit(1)).alias("n"))
     summed = running_sum(counts, keys, "latency_ms", "n", "upto")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    joined = summed.join(totals, keys) if keys else summed.crossJoin(F.broadcast(totals))
+    joined = summed.join(totals, keys) if keys else summed.withColumn("total", totals.select("total").scalar())
     reached = joined.where(F.col("upto") >= F.ceil(F.col("total") * 95 / 100))
     found = reached.groupBy(*keys).agg(F.min("latency_ms").alias("p95_latency_ms"))
     if not keys:

@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions.words import normalize_code, tokens
 from quoteflow.operators.catalog import (
+    CHAMPIONS,
+    SEGMENT,
     bag_postings,
     collection_totals,
     index_words,
     lookup_code,
+    saturation,
     word_bags,
     word_statistics,
 )
 from quoteflow.sources.store import stored
 
+# A word in more rows than this is not looked through when others of the query suffice.
+HOT_ROWS = SEGMENT
+# More than rounding can move a score.
+SLACK = 0.0002
+
 # Fixed values.
-K1 = 1.2
-B = 0.75
 REPAIRABLE = 5
 MISSPELLED = 0.5
 SCORE_DIGITS = 4
@@ -83,8 +89,7 @@ def query_terms(queries: DataFrame, words: DataFrame, repair: bool = True) -> Da
 
 
 def term_score(weight: Column, idf: Column, tf: Column, length: Column, average: Column) -> Column:
-    norm = F.lit(1 - B) + F.lit(B) * (length / average)
-    return weight * idf * (tf * F.lit(K1 + 1)) / (tf + F.lit(K1) * norm)
+    return weight * idf * saturation(tf, length, average)
 
 
 @dataclass(frozen=True)
@@ -106,21 +111,51 @@ def build_index(items: DataFrame, with_customer_wording: bool = False) -> Search
     return SearchIndex(items, bags, postings, stored(word_statistics(postings, totals), "words"), totals)
 
 
-def score_bags(queries: DataFrame, index: SearchIndex, *, repair: bool = True) -> DataFrame:
-    """(query, product_key, position, score) for every bag of rows that shares a word with the query."""
-    terms = query_terms(queries, index.words, repair).join(index.words, "word")
-    wanted = terms.select("query", "word", "weight", "idf", F.explode("segments").alias("segment"))
-    average = index.totals.select("average_length").scalar()
-    hits = wanted.join(index.postings.drop("copies"), ["word", "segment"])
-    parts = hits.select(
-        "query",
-        "product_key",
-        "position",
-        term_score(F.col("weight"), F.col("idf"), F.col("tf"), F.col("row_length"), average).alias("part"),
+def leading_terms(terms: DataFrame, k: int | None, hot_rows: int) -> DataFrame:
+    """Terms with `leads`: whether rows are looked for through this word.
+
+    A word in very many rows need not be: k products reach `theta` through one word of the query alone, so rows that
+    hold only words whose best values together stay below it cannot be among the k best. Those words are then added up
+    for the rows found through the others. A query has as many terms as its text has words.
+    """
+    if k is None or k > CHAMPIONS:
+        return terms.withColumn("leads", F.lit(True))
+    worth = F.col("weight") * F.col("idf")
+    hot = F.col("df") > hot_rows
+    whole = Window.partitionBy("query")
+    theta = F.max(worth * F.coalesce(F.try_element_at("floors", F.lit(k)), F.lit(0.0))).over(whole)
+    ceiling = F.when(hot, worth * F.col("best")).otherwise(F.lit(0.0))
+    cheapest = whole.orderBy("ceiling", "word").rowsBetween(Window.unboundedPreceding, 0)
+    summed = terms.withColumn("theta", theta).withColumn("ceiling", ceiling).withColumn(
+        "together", F.sum("ceiling").over(cheapest)
+    )
+    return summed.withColumn("leads", ~hot | (F.col("together") >= F.col("theta") - SLACK)).drop(
+        "theta", "ceiling", "together"
     )
-    return parts.groupBy("query", "product_key", "position").agg(
-        F.round(F.sum("part"), SCORE_DIGITS).alias("score")
+
+
+def score_bags(
+    queries: DataFrame, index: SearchIndex, *, repair: bool = True, k: int | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """(query, product_key, position, score) for every bag of rows that may be among the k best of the query.
+
+    Without k, for every bag that shares a word with it.
+    """
+    terms = leading_terms(query_terms(queries, index.words, repair).join(index.words, "word"), k, hot_rows)
+    leading = terms.where("leads").select("query", "word", "weight", "idf", F.explode("segments").alias("segment"))
+    average = index.totals.select("average_length").scalar()
+    found = index.postings.drop("copies")
+    part = term_score(F.col("weight"), F.col("idf"), F.col("tf"), F.col("row_length"), average).alias("part")
+    row = ["query", "product_key", "position"]
+    heads = leading.join(found, ["word", "segment"]).select(*row, part).groupBy(*row).agg(F.sum("part").alias("part"))
+    if k is None or k > CHAMPIONS:
+        return heads.select(*row, F.round("part", SCORE_DIGITS).alias("score"))
+    rest = terms.where("not leads").select("query", "word", "weight", "idf")
+    tails = heads.select(*row).join(rest, "query").join(
+        found.select("word", "position", "tf", "row_length"), ["word", "position"]
     )
+    parts = heads.unionByName(tails.select(*row, part))
+    return parts.groupBy(*row).agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
 
 
 def best_per_product(scored: DataFrame, k: int) -> DataFrame:
@@ -135,9 +170,11 @@ def best_per_product(scored: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, index: SearchIndex, k: int = 20, *, repair: bool = True) -> DataFrame:
+def search(
+    queries: DataFrame, index: SearchIndex, k: int = 20, *, repair: bool = True, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """The k best products for each distinct `query` text, with their code and description."""
-    ranked = best_per_product(score_bags(queries, index, repair=repair), k)
+    ranked = best_per_product(score_bags(queries, index, repair=repair, k=k, hot_rows=hot_rows), k)
     return ranked.join(index.items.select("position", "code", "description"), "position").select(
         "query", "rank", "position", "code", "description", "score", "product_key"
     )
@@ -148,7 +185,7 @@ def rank_rows(queries: DataFrame, index: SearchIndex, k: int) -> DataFrame:
 
     Rows of a bag score alike, so the k best rows lie in the k best bags; only those are opened into rows.
     """
-    scored = score_bags(queries, index)
+    scored = score_bags(queries, index, k=k)
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "position")
     top = scored.withColumn("bag_rank", F.row_number().over(by_score)).where(F.col("bag_rank") <= k)
     rows = index.items.select(

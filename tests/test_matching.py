@@ -124,10 +124,32 @@ def test_search_equals_brute_force(spark, items, worded):
     index = search.build_index(items, with_customer_wording=worded)
     found = search.search(queries, index, 3).collect()
     for text in asked:
-        mine = [(r.product_key, r.position) for r in sorted(found, key=lambda r: r.rank) if r.query == text]
+        mine = [(r.product_key, r.position) for r in sorted(found, key=lambda r: r["rank"]) if r.query == text]
         assert mine == brute_search(ROWS, text, 3, worded), text
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_passing_over_hot_words_changes_nothing(spark, k):
+    """Every word is hot here: with and without looking through them the k best are the same."""
+    kinds, sizes = ["bolt", "nut", "washer", "bolt washer", "rope"], ["m8", "m10", "m12 steel", "m8 m10", "steel"]
+    rows = [
+        (i, f"P-{i % 40}", f"{kinds[i % 5]} {sizes[i % 7 % 5]} {'rare' if i % 37 == 0 else ''} {'common ' * (i % 3)}", "", "")
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(
+        rows, "position long, code string, description string, customer_code string, customer_description string"
+    )
+    index = search.build_index(df)
+    asked = ["rare bolt common", "rope steel common", "common", "m8 washer rare rare", "nut m12 steel common bolt", "p7 common"]
+    queries = spark.createDataFrame([(a,) for a in asked], "query string")
+    terms = search.query_terms(queries, index.words).join(index.words, "word")
+    assert search.leading_terms(terms, k, 0).where("not leads").count() > 0
+    found = search.search(queries, index, k, hot_rows=0).collect()
+    for text in asked:
+        mine = [(r.product_key, r.position) for r in sorted(found, key=lambda r: r["rank"]) if r.query == text]
+        assert mine == brute_search(rows, text, k), text
+
+
 def test_best_rows_open_only_the_best_bags(spark, items):
     index = search.build_index(items)
     ranked = search.rank_rows(spark.createDataFrame([("sugar white",)], "query string"), index, 2).collect()
