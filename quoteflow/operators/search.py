@@ -141,7 +141,10 @@ def score_bags(
 
     Without k, for every bag that shares a word with it.
     """
-    terms = leading_terms(query_terms(queries, index.words, repair).join(index.words, "word"), k, hot_rows)
+    # Both are read several times below, and the queries may be costly to come by.
+    asked = stored(queries.select("query").distinct(), "queries")
+    known = query_terms(asked, index.words, repair).join(index.words, "word")
+    terms = stored(leading_terms(known, k, hot_rows), "terms")
     leading = terms.where("leads").select("query", "word", "weight", "idf", F.explode("segments").alias("segment"))
     average = index.totals.select("average_length").scalar()
     found = index.postings.drop("copies")
@@ -215,7 +218,7 @@ def shortlist(lines: DataFrame, codes: DataFrame, index: SearchIndex, k: int = 2
         "searched", F.size(tokens(F.col("description"))) > 0
     )
     asked = keyed.where("searched").select(F.col("description").alias("query"))
-    ranked = search(asked, index, k).select(
+    ranked = stored(search(asked, index, k), "ranked").select(
         F.col("query").alias("description"), "rank", F.col("code").alias("candidate"), "score"
     )
     found = keyed.join(ranked, "description")

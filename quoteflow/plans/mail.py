@@ -1,5 +1,7 @@
 """Message text, rules and routing, sources over documents, conversations, pages and made mails (survey 2.A-2.C)."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,10 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(n).cast("long").alias(n) if k == "int" else F.col(n) for n, k in df.dtypes])
 
 
+def _place(t: Inputs, label: str) -> str:
+    return f"{shared_folder(t.spark)}/quoteflow/{label}-{uuid.uuid4().hex}"
+
+
 def normalised(t: Inputs) -> DataFrame:
     rough = F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit(" \t\r\n")), F.lit("\r\r\n \n\n end ﬁn "))
     return t.documents.select("doc_id", x.normalize_text(rough).alias("text"))
@@ -270,7 +276,7 @@ def sizes(t: Inputs) -> DataFrame:
 
 def sheet(t: Inputs) -> DataFrame:
     """The catalogue written as CSV text and read back: codes keep their zeros, blanks become ''."""
-    folder = stored(t.catalog_rows.select("position"), "sheet-probe").inputFiles()[0].rsplit("/", 1)[0] + "-csv"
+    folder = _place(t, "sheet")
     rows = t.catalog_rows.select(
         F.col("position").alias("No"), F.format_string("00%s", "code").alias("Item Code"),
         F.concat(F.lit(' "'), "description", F.lit('" \nnew ')).alias("Item Description"),
@@ -282,12 +288,11 @@ def sheet(t: Inputs) -> DataFrame:
 
 
 def snapshot(t: Inputs) -> DataFrame:
-    folder = f"{shared_folder(t.spark)}/quoteflow/snapshots-{len(t.folder)}-{t.spark.sparkContext.applicationId}"
-    return s.publish_snapshot(t.catalog_rows, folder).select("rows", F.length("sha256").cast("long").alias("digest_chars"))
+    return s.publish_snapshot(t.catalog_rows, _place(t, "snapshots")).select("rows", F.length("sha256").cast("long").alias("digest_chars"))
 
 
 def _journal_file(t: Inputs) -> str:
-    folder = stored(t.journal.select("ord"), "journal-probe").inputFiles()[0].rsplit("/", 1)[0] + "-lines"
+    folder = _place(t, "journal")
     lines = t.journal.select("ord", "decision_id", "type", "value", F.lit(None).cast("string").alias("note"))
     s.append_journal(lines.where("ord % 2 = 0"), folder)
     s.append_journal(lines.where("ord % 2 = 1"), folder)

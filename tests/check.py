@@ -2,8 +2,9 @@
 
 import sys
 import time
+from pathlib import Path
 
-sys.path[:0] = ["/root/repo", "/root/repo/tests"]
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
 import __spark_entry__ as entry  # noqa: E402
 from compare import check_engine, differences  # noqa: E402
