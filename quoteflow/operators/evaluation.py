@@ -15,6 +15,7 @@ from quoteflow.operators.search import (
     search,
     term_score,
 )
+from quoteflow.sources.store import stored
 
 # Fixed values.
 RFQ_CATEGORIES = ["NEW_RFQ", "UPDATED_RFQ", "PORTAL_RFQ_NOTIFICATION"]
@@ -245,7 +246,7 @@ def ranks_leaving_one_out(cases: DataFrame, index: SearchIndex) -> DataFrame:
         index_words().alias("own_words"),
         "position",
     )
-    hidden = asked.join(rows, ["wording", "expected_key"])
+    hidden = stored(asked.join(rows, ["wording", "expected_key"]), "hidden")
     hidden_rows = hidden.groupBy("wording", "expected_key").agg(F.count(F.lit(1)).alias("hidden_rows"))
     words = asked.select("wording", "expected_key", F.explode(said).alias("word")).groupBy(
         "wording", "expected_key", "word"
@@ -256,12 +257,13 @@ def ranks_leaving_one_out(cases: DataFrame, index: SearchIndex) -> DataFrame:
         .groupBy("wording", "expected_key", "word")
         .agg(F.count(F.lit(1)).alias("still"))
     )
-    known = (
+    counted = (
         words.join(hidden_rows, ["wording", "expected_key"])
         .join(still, ["wording", "expected_key", "word"], "left")
         .join(index.words.select("word", "df"), "word")
         .withColumn("left_df", F.col("df") - F.col("hidden_rows") + F.coalesce("still", F.lit(0)))
     )
+    known = stored(counted, "known-words")
     direct = known.where("left_df > 0").select(
         "wording", "expected_key", "word", F.col("times").cast("double").alias("weight"), F.col("left_df").alias("df")
     )
@@ -287,9 +289,10 @@ def ranks_leaving_one_out(cases: DataFrame, index: SearchIndex) -> DataFrame:
         "wording", "expected_key", F.col("spelling").alias("word"), (F.col("times") * F.lit(MISSPELLED)).alias("weight"),
         F.coalesce("spelling_left", "spelling_df").alias("df"),
     )
-    terms = direct.unionByName(repaired).groupBy("wording", "expected_key", "word", "df").agg(
+    summed = direct.unionByName(repaired).groupBy("wording", "expected_key", "word", "df").agg(
         F.sum("weight").alias("weight")
     )
+    terms = stored(summed, "case-terms")
     totals = index.totals
     count = totals.select("rows").scalar()
     length = F.size(said)
@@ -319,9 +322,12 @@ def ranks_leaving_one_out(cases: DataFrame, index: SearchIndex) -> DataFrame:
     scores = kept.groupBy("wording", "expected_key", "product_key", "position").agg(
         F.round(F.sum("part"), SCORE_DIGITS).alias("score")
     )
-    best = scores.groupBy("wording", "expected_key", "product_key").agg(
-        F.max_by(F.struct("position", "score"), F.struct(F.col("score"), -F.col("position"))).alias("b")
-    ).select("wording", "expected_key", "product_key", "b.*")
+    best = stored(
+        scores.groupBy("wording", "expected_key", "product_key").agg(
+            F.max_by(F.struct("position", "score"), F.struct(F.col("score"), -F.col("position"))).alias("b")
+        ).select("wording", "expected_key", "product_key", "b.*"),
+        "best-of-cases",
+    )
     mine = best.where("product_key = expected_key").select(
         "wording", "expected_key", F.col("score").alias("my_score"), F.col("position").alias("my_position")
     )
