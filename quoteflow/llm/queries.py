@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm import bpe
+from quoteflow.llm import bpe, decontamination, quality, secrets, sharding
 from quoteflow.llm.common import plain_text, table
+from quoteflow.sources.store import stored
 
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,8 +21,52 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    return sharding.shard(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, the fixed rule and the verdict of the weighed rules for every document."""
+    counts = stored(quality.text_counts(table(spark, folder, "documents")), "counts")
+    judged = quality.judge(counts)
+    failed = quality.base_failed(judged)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "probability",
+    )
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, of fixed shape and by the models."""
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+
+    def of_kind(kind):
+        return F.size(F.filter("spans", lambda one: one["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda one: one["kind"] != "random")
+    return found.select(
+        "doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the passage."""
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe}
+    return {
+        "op2_bpe": op2_bpe,
+        "op3_sharding": op3_sharding,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_secret_scan": op7_secret_scan,
+        "op10_decontamination": op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
