@@ -98,8 +98,9 @@ def rules() -> dict[str, Column]:
 def fit(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], float]:
     """For each pattern of votes, the probability that a text with it is good. `patterns`: votes and how many texts.
 
-    Two kinds of texts, rules independent given the kind; the start is the balance of votes, which fixes which kind is
-    good. Counts are smoothed, so that no rule becomes certain.
+    Two kinds of texts, rules independent given the kind. The start takes texts that no rule calls bad for good ones,
+    which fixes which kind is which; a rule whose bad votes the others do not bear out loses its weight from there.
+    Counts are smoothed, so that no rule becomes certain.
     """
     if not patterns:
         return {}
@@ -107,7 +108,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], fl
     votes = np.array([pattern for pattern, _ in patterns])
     weight = np.array([count for _, count in patterns], float)
     shown = np.stack([votes == vote for vote in (BAD, ABSTAIN, GOOD)], axis=2).astype(float)
-    good = 1 / (1 + np.exp(-2.0 * votes.sum(axis=1)))
+    good = np.where((votes == BAD).any(axis=1), 0.1, 0.9)
     for _ in range(ROUNDS):
         kinds = np.stack([good, 1 - good]) * weight
         # A rule is believed to be right rather than wrong: the smoothing counts lean that way.
@@ -123,20 +124,26 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], fl
 
 
 def judge(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The counts with `votes`, `probability` and `kept` (probability at least `threshold`).
+    """The counts with `votes`, `base_failed`, `probability` and `kept` (passed, and probability at least `threshold`).
+
+    The fit is over all texts that do not fail the fixed rule: those need no verdict, and would make up the bad kind.
 
     An empty table stays empty; equal counts get equal verdicts; the table of patterns is broadcast, and its size is
     bounded by the rules.
     """
     named = rules()
     voted = counts.withColumn("votes", F.array(*[vote.cast("int") for vote in named.values()]))
-    found = voted.groupBy("votes").count().collect()
-    good = fit([(tuple(row["votes"]), row["count"]) for row in found])
+    voted = voted.withColumn("base_failed", base_failed(voted))
+    passed = F.sum(F.when(F.col("base_failed"), 0).otherwise(1))
+    found = voted.groupBy("votes").agg(passed.alias("passed")).collect()
+    good = fit([(tuple(row["votes"]), row["passed"]) for row in found])
     assert len(good) <= 3 ** len(named)
     table = counts.sparkSession.createDataFrame(
         [(list(pattern), probability) for pattern, probability in good.items()], "votes array<int>, probability double"
     )
-    return voted.join(F.broadcast(table), "votes").withColumn("kept", F.col("probability") >= threshold)
+    return voted.join(F.broadcast(table), "votes").withColumn(
+        "kept", ~F.col("base_failed") & (F.col("probability") >= threshold)
+    )
 
 
 def base_failed(counts: DataFrame) -> Column:

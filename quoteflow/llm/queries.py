@@ -32,11 +32,8 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, the fixed rule and the verdict of the weighed rules for every document."""
     counts = stored(quality.text_counts(table(spark, folder, "documents")), "counts")
-    judged = quality.judge(counts)
-    failed = quality.base_failed(judged)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "probability",
+    return quality.judge(counts).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
     )
 
 

@@ -18,7 +18,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "random"]
 LEAST_VALUE = 6
-# What may be random: whole runs of these signs, this long or longer.
+# What may be random: whole runs of these signs, this long or longer, with a letter (numbers alone are no secrets).
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 # Documents whose words are the ordinary sample, and labelled secrets: both are bounded.
@@ -142,7 +142,7 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     added = F.filter(
         _found(F.col("text"), CANDIDATE, "random"),
         lambda one: ~F.exists("base", lambda other: (one["start"] < other["stop"]) & (other["start"] < one["stop"]))
-        & (likelihood_ratio(one["value"], ratios) >= threshold),
+        & one["value"].rlike("[A-Za-z]") & (likelihood_ratio(one["value"], ratios) >= threshold),
     )
     spans = F.array_sort(F.concat(F.col("base"), added))
     kinds = F.array(*map(F.lit, KINDS))
