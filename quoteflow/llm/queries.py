@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm import bpe, decontamination, quality, secrets, sharding
+from quoteflow.llm import bpe, decontamination, overlap, quality, secrets, sharding
 from quoteflow.llm.common import plain_text, table
 from quoteflow.sources.store import stored
 
@@ -51,6 +51,11 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the size of its shingle set and the lowest document its links reach."""
+    return overlap.jaccard_components(table(spark, folder, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that holds a benchmark item, with the passage."""
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -62,6 +67,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op6_quality_rules": op6_quality_rules,
         "op7_secret_scan": op7_secret_scan,
+        "op8_jaccard_join": op8_jaccard_join,
         "op10_decontamination": op10_decontamination,
     }
 
