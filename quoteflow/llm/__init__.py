@@ -1 +1,8 @@
 """Training-data operators over tables of documents and pages."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: those need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

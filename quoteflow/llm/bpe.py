@@ -1,8 +1,8 @@
 """Byte-level BPE by a published vocabulary: texts to token ids and back.
 
-Merging keeps a segment tree over the ranks of adjacent pairs of a word. The root is the lowest rank, and among equal
-ranks the leftmost pair; a merge changes three leaves, each in a logarithmic walk, until no pair can be merged. So a
-word without blanks of a million bytes costs n log n, not n squared.
+Merging keeps a segment tree over the ranks of adjacent pairs of a word, sixteen children to a node. The root is the
+lowest rank, and among equal ranks the leftmost pair; a merge changes three leaves, each in a logarithmic walk, until no
+pair can be merged. So a word without blanks of a million bytes costs n log n, not n squared.
 """
 
 import json
@@ -21,10 +21,12 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # A word this short is remembered. Two memories of so many words each: when the new one is full, the old one is dropped
 # and the new one becomes the old. Bounded, and the results are the same.
 CACHED_SIGNS = 40
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 # The rank of what is no pair, and a leaf above every pair wherever it stands.
 NONE = 1 << 24
-OUT = 1 << 62
+OUT = 1 << 80
+# Children of a node of the tree.
+FAN = 16
 
 
 def byte_signs() -> list[str]:
@@ -41,11 +43,13 @@ class Vocabulary:
         signs = byte_signs()
         of_sign = {sign: byte for byte, sign in enumerate(signs)}
         ids = described["model"]["vocab"]
+        if max(ids.values()) >= 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         self.byte_ids = [ids[sign] for sign in signs]
         self.pairs: dict[int, int] = {}
         self.merged: list[int] = []
         for rank, (left, right) in enumerate(described["model"]["merges"]):
-            self.pairs.setdefault(ids[left] << 32 | ids[right], rank)
+            self.pairs.setdefault(ids[left] << 16 | ids[right], rank)
             self.merged.append(ids[left + right])
         self.added = {token["content"]: token["id"] for token in described["added_tokens"]}
         everything = {**ids, **self.added}
@@ -55,9 +59,16 @@ class Vocabulary:
             self.pieces[number] = bytes(of_sign[sign] for sign in token) if known else token.encode()
 
 
-def read_vocabulary(path: str) -> Vocabulary:
+def read_description(path: str) -> dict:
+    """What a vocabulary file says of ids, merges and added tokens."""
     with open(path, encoding="utf-8") as file:
-        return Vocabulary(json.load(file))
+        described = json.load(file)
+    model = described["model"]
+    return {"model": {"vocab": model["vocab"], "merges": model["merges"]}, "added_tokens": described["added_tokens"]}
+
+
+def read_vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(read_description(path))
 
 
 def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
@@ -68,39 +79,36 @@ def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
         return ids
     rank_of, merged = vocabulary.pairs.get, vocabulary.merged
     shift = n.bit_length()
-    size = 1 << (n - 2).bit_length()
+    limit, mask = NONE << shift, (1 << shift) - 1
     # A leaf is the rank of a pair, then its place, so that the least leaf is the leftmost pair of lowest rank.
-    leaves = [rank_of(ids[i] << 32 | ids[i + 1], NONE) << shift | i for i in range(n - 1)]
-    tree = [OUT] * size + leaves + [OUT] * (size - n + 1)
-    for node in range(size - 1, 0, -1):
-        one, other = tree[2 * node], tree[2 * node + 1]
-        tree[node] = one if one < other else other
+    leaves = [rank_of(ids[i] << 16 | ids[i + 1], NONE) << shift | i for i in range(n - 1)]
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[at : at + FAN]) for at in range(0, len(below), FAN)])
+    top, tall = levels[-1], len(levels) > 1
     following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    limit, mask = NONE << shift, (1 << shift) - 1
-    while (best := tree[1]) < limit:
+    while (best := min(top)) < limit:
         i = best & mask
         j = following[i]
         k = following[j]
-        ids[i], ids[j], following[i] = merged[best >> shift], -1, k
+        ids[i] = new = merged[best >> shift]
+        ids[j] = -1
+        following[i] = k
         if k < n:
             before[k] = i
-            changed = ((i, rank_of(ids[i] << 32 | ids[k], NONE) << shift | i), (j, OUT))
+            leaves[i] = rank_of(new << 16 | ids[k], NONE) << shift | i
+            leaves[j] = OUT
         else:
-            changed = ((i, OUT),)
+            leaves[i] = OUT
         p = before[i]
         if p >= 0:
-            changed += ((p, rank_of(ids[p] << 32 | ids[i], NONE) << shift | p),)
-        for place, least in changed:
-            node = size + place
-            tree[node] = least
-            while node > 1:
-                beside = tree[node ^ 1]
-                if beside < least:
-                    least = beside
-                node >>= 1
-                if tree[node] == least:
-                    break
-                tree[node] = least
+            leaves[p] = rank_of(ids[p] << 16 | new, NONE) << shift | p
+        if tall:
+            for at in {i, min(j, n - 2), max(p, 0)}:
+                for below, above in zip(levels, levels[1:]):
+                    at //= FAN
+                    above[at] = min(below[at * FAN : at * FAN + FAN])
     return [one for one in ids if one >= 0]
 
 
@@ -174,10 +182,10 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", into: str =
     one, so ties, repeated rows and an empty table need nothing; there is no shuffle. The vocabulary is read on the
     driver and broadcast: its size is that of a published file, not of the data.
     """
-    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    shared = df.sparkSession.sparkContext.broadcast(read_description(vocabulary_path))
 
     def task():
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(shared.value))
 
         def ids_of(texts):
             found = [encoder.encode(one) for one in texts]
@@ -192,15 +200,15 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", into: str =
 def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Every column of `df` and the text of its ids in `into`, added tokens included.
 
-    Bytes that are no UTF-8 become U+FFFD; null or empty ids give the empty text, an id outside the vocabulary nothing.
+    Bytes that are no UTF-8 become U+FFFD; null or empty ids give the empty text; an id outside the vocabulary is an error.
     """
-    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    shared = df.sparkSession.sparkContext.broadcast(read_description(vocabulary_path))
 
     def task():
-        pieces = dict(enumerate(shared.value.pieces))
+        pieces = Vocabulary(shared.value).pieces
 
         def texts_of(lists):
-            return [b"".join([pieces.get(one, b"") for one in found or ()]).decode("utf-8", "replace") for found in lists]
+            return [b"".join(map(pieces.__getitem__, found or ())).decode("utf-8", "replace") for found in lists]
 
         return texts_of
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm import bpe, decontamination, overlap, quality, secrets, sharding
+from quoteflow.llm import bpe, decontamination, lines, overlap, quality, secrets, sharding
 from quoteflow.llm.common import plain_text, table
 from quoteflow.sources.store import stored
 
@@ -56,6 +56,12 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.jaccard_components(table(spark, folder, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document when one occurrence of each group of near equal lines stays."""
+    left = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(plain_text(), 256).alias("text_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that holds a benchmark item, with the passage."""
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -68,6 +74,7 @@ def queries() -> dict:
         "op6_quality_rules": op6_quality_rules,
         "op7_secret_scan": op7_secret_scan,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_line_dedup": op9_line_dedup,
         "op10_decontamination": op10_decontamination,
     }
 
