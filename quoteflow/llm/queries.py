@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm import bpe, decontamination, lines, overlap, quality, secrets, sharding
+from quoteflow.llm import bpe, decontamination, lines, overlap, pii, quality, secrets, sharding
 from quoteflow.llm.common import plain_text, table
 from quoteflow.sources.store import stored
 
@@ -29,6 +29,20 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document, of fixed shape and by the model."""
+    found = pii.find_personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda one: one["base"])
+
+    def of_kind(kind):
+        return F.size(F.filter(base, lambda one: one["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(of_kind, pii.KINDS), F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, the fixed rule and the verdict of the weighed rules for every document."""
     counts = stored(quality.text_counts(table(spark, folder, "documents")), "counts")
@@ -71,6 +85,7 @@ def queries() -> dict:
     return {
         "op2_bpe": op2_bpe,
         "op3_sharding": op3_sharding,
+        "op4_personal_data": op4_personal_data,
         "op6_quality_rules": op6_quality_rules,
         "op7_secret_scan": op7_secret_scan,
         "op8_jaccard_join": op8_jaccard_join,
