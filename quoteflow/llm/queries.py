@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm import bpe, decontamination, lines, overlap, pii, quality, secrets, sharding
+from quoteflow.llm import bpe, decontamination, html, lines, overlap, pii, quality, secrets, sharding
 from quoteflow.llm.common import plain_text, table
 from quoteflow.sources.store import stored
 
@@ -43,6 +43,11 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, the fixed rule and the verdict of the weighed rules for every document."""
     counts = stored(quality.text_counts(table(spark, folder, "documents")), "counts")
@@ -86,6 +91,7 @@ def queries() -> dict:
         "op2_bpe": op2_bpe,
         "op3_sharding": op3_sharding,
         "op4_personal_data": op4_personal_data,
+        "op5_html_extraction": op5_html_extraction,
         "op6_quality_rules": op6_quality_rules,
         "op7_secret_scan": op7_secret_scan,
         "op8_jaccard_join": op8_jaccard_join,
