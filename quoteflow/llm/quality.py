@@ -10,8 +10,9 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quoteflow.llm.common import map_batches, plain_text
+from quoteflow.llm.common import with_column_in_batches
 
 COUNTS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
@@ -57,18 +58,16 @@ def counts_of(text: str) -> dict[str, int]:
     }
 
 
-def text_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key` and the counts of its text. A null text counts as empty; no shuffle."""
+def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Every column of `df` and `counts` of its text (a struct; replaces a column of that name).
 
-    def task():
-        def count(piece):
-            found = [counts_of(one) for one in piece.column(1).to_pylist()]
-            yield {"key": piece.column(0), **{name.split()[0]: [one[name.split()[0]] for one in found] for name in COUNTS.split(",")}}
+    A null text counts as empty; no shuffle.
+    """
 
-        return count
+    def task():
+        return lambda texts: [counts_of(one or "") for one in texts]
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(F.col(key).alias("key"), plain_text(text)), f"key {kind}, {COUNTS}", task).withColumnRenamed("key", key)
+    return with_column_in_batches(df, text, "counts", T._parse_datatype_string(f"struct<{COUNTS.replace(' long', ':long')}>"), task)
 
 
 def _rule(good: Column, bad: Column) -> Column:
@@ -78,7 +77,7 @@ def _rule(good: Column, bad: Column) -> Column:
 def rules() -> dict[str, Column]:
     """The votes of each rule, from the counts."""
     def share(part, whole):
-        return F.col(part) / F.greatest(F.col(whole), F.lit(1))
+        return F.col(f"counts.{part}") / F.greatest(F.col(f"counts.{whole}"), F.lit(1))
 
     length, symbols, repeats = share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_repeat_words", "n_words")
     lines, letters, upper = share("n_dup_lines", "n_lines"), share("n_letters", "word_chars"), share("n_upper", "n_letters")
@@ -123,28 +122,28 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], fl
     return {pattern: float(one) for (pattern, _), one in zip(patterns, good)}
 
 
-def judge(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The counts with `votes`, `base_failed`, `probability` and `kept` (passed, and probability at least `threshold`).
+def base_failed() -> Column:
+    return (F.col("counts.n_words") < 50) | (100 * F.col("counts.n_repeat_words") > 50 * F.col("counts.n_words"))
 
-    The fit is over all texts that do not fail the fixed rule: those need no verdict, and would make up the bad kind.
 
+def judge(counted: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of `text_counts` with `votes`, `base_failed`, `probability` and `kept` (passed, and at least `threshold`).
+
+    The fit is over all texts that do not fail the fixed rule: those need no verdict, and would make up the bad kind.
     An empty table stays empty; equal counts get equal verdicts; the table of patterns is broadcast, and its size is
-    bounded by the rules.
+    bounded by the rules. Columns named like the new ones are replaced.
     """
     named = rules()
-    voted = counts.withColumn("votes", F.array(*[vote.cast("int") for vote in named.values()]))
-    voted = voted.withColumn("base_failed", base_failed(voted))
+    voted = counted.withColumn("votes", F.array(*[vote.cast("int") for vote in named.values()])).withColumn(
+        "base_failed", base_failed()
+    )
     passed = F.sum(F.when(F.col("base_failed"), 0).otherwise(1))
     found = voted.groupBy("votes").agg(passed.alias("passed")).collect()
     good = fit([(tuple(row["votes"]), row["passed"]) for row in found])
     assert len(good) <= 3 ** len(named)
-    table = counts.sparkSession.createDataFrame(
+    table = counted.sparkSession.createDataFrame(
         [(list(pattern), probability) for pattern, probability in good.items()], "votes array<int>, probability double"
     )
-    return voted.join(F.broadcast(table), "votes").withColumn(
+    return voted.drop("probability").join(F.broadcast(table), "votes").withColumn(
         "kept", ~F.col("base_failed") & (F.col("probability") >= threshold)
     )
-
-
-def base_failed(counts: DataFrame) -> Column:
-    return (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])

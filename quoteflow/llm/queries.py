@@ -50,9 +50,12 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, the fixed rule and the verdict of the weighed rules for every document."""
-    counts = stored(quality.text_counts(table(spark, folder, "documents")), "counts")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counts = stored(quality.text_counts(docs).select("doc_id", "counts"), "counts")
     return quality.judge(counts).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
+        "doc_id",
+        *[f"counts.{name}" for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed", "kept", "probability",
     )
 
 
