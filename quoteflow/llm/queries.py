@@ -3,11 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoteflow.llm import bpe, decontamination, html, lines, overlap, pii, quality, secrets, sharding
+from quoteflow.llm import bpe, decontamination, html, lines, lm, overlap, pii, quality, secrets, sharding
 from quoteflow.llm.common import plain_text, table
 from quoteflow.sources.store import stored
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability, by word counts and by the attention model."""
+    return lm.score_texts(table(spark, folder, "documents"), bpe.default_vocabulary())
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again, as digests of both."""
     path = bpe.default_vocabulary()
@@ -91,6 +96,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_bpe": op2_bpe,
         "op3_sharding": op3_sharding,
         "op4_personal_data": op4_personal_data,
