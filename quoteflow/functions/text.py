@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quoteflow.functions.values import let
+from quoteflow.functions.values import let, strip
 
 # Fixed values.
 HEADER_KEYS = [
@@ -65,20 +65,18 @@ SIGNALS = {
 }
 URGENCY = r"(?i)\b(U\s*R\s*G\s*E\s*N\s*T|urgent|high priority|asap)\b"
 VESSEL_TAIL = r"\s+[-–]\s+|\s*,\s*"
-SUBJECT_RUN = r"(?i)^((?:\s*(?:(?:re|fwd|fw)\s*:|\[updated\]))+)"
+# Possessive, so that a long run of marks, addresses or tags is gone through in a loop and not by recursion.
+SUBJECT_RUN = r"(?i)^((?:\s*+(?:(?:re|fwd|fw)\s*+:|\[updated\]))++)"
+ADDRESS_ENTRY = r'(?:[^",]++|"[^"]*+"|")++'
+TAGS = r"(?:<[^>]*+>)++"
 SUBJECT_PREFIX = r"(?i)((?:re|fwd|fw)\s*:|\[updated\])"
 SIGNATURE_IMAGE = r"(?i)^image\d{3}\."
 SIGNATURE_IMAGE_BYTES = 20_000
 FORM_XLSX = r"(?i)^E_QUOT.*\.(?:xlsx|xls)$"
 FORM_PDF = r"(?i)^E_QUOT.*\.pdf$"
 DROPPED_TAGS = ["script", "style", "head", "noscript"]
-ENTITY = r"&(?:#x[0-9a-fA-F]{1,4}|#\d{1,5}|[A-Za-z][A-Za-z0-9]*);"
-AMPERSAND = r"&(?:amp|#0*38|#x0*26);"
-
-
-def strip(text: Column) -> Column:
-    """Without white space, line ends included, on either side."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+ENTITY = r"&(?:#[xX][0-9a-fA-F]{1,6}|#\d{1,7}|[A-Za-z][A-Za-z0-9]*);"
+AMPERSAND = r"&(?:amp|#0*38|#[xX]0*26);"
 
 
 @F.pandas_udf(StringType())
@@ -102,7 +100,7 @@ def first_place(lines: Column, test: Callable[[Column], Column]) -> Column:
 
 def header_key(line: Column) -> Column:
     """The known header key a line opens with, null otherwise."""
-    key = F.lower(F.trim(F.regexp_extract(line, HEADER_LINE, 1)))
+    key = F.lower(strip(F.regexp_extract(line, HEADER_LINE, 1)))
     return F.when(key.isin(HEADER_KEYS), key)
 
 
@@ -118,7 +116,7 @@ def split_headers(text: Column) -> Column:
     """
 
     def found(lines: Column) -> Column:
-        top = first_place(lines, lambda line: (F.trim(line) != "") & ~line.rlike(CAUTION))
+        top = first_place(lines, lambda line: (strip(line) != "") & ~line.rlike(CAUTION))
         rest = F.slice(lines, top + 1, F.size(lines))
         return let(F.coalesce(rest, F.array().cast("array<string>")), from_top)
 
@@ -136,7 +134,7 @@ def split_headers(text: Column) -> Column:
                 F.try_element_at(
                     F.transform(
                         F.filter(block, lambda line: header_key(line) == key),
-                        lambda line: F.trim(F.regexp_extract(line, HEADER_LINE, 2)),
+                        lambda line: strip(F.regexp_extract(line, HEADER_LINE, 2)),
                     ),
                     F.lit(-1),
                 ).alias("value"),
@@ -160,13 +158,13 @@ def parse_addresses(value: Column) -> Column:
     Quoted names may hold commas. Entries without an address are left out.
     """
     prepared = F.regexp_replace(F.coalesce(value, F.lit("")), BRACKETED_ADDRESS, "<$1>")
-    entries = F.split(prepared, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    entries = F.regexp_extract_all(prepared, F.lit(ADDRESS_ENTRY), F.lit(0))
 
     def person(entry: Column) -> Column:
         inside = F.regexp_extract(entry, r"<\s*([^<>\s]+)\s*>", 1)
-        bare = F.trim(entry)
+        bare = strip(entry)
         address = F.when(inside != "", inside).otherwise(F.when(bare.rlike(r"^[^<>\s]+@[^<>\s]+$"), bare))
-        name = F.trim(F.regexp_replace(F.regexp_replace(entry, r"<[^<>]*>", ""), '"', ""))
+        name = strip(F.regexp_replace(F.regexp_replace(entry, r"<[^<>]*>", ""), '"', ""))
         return F.struct(
             F.when((inside != "") & (name != ""), name).alias("name"), F.lower(address).alias("address")
         )
@@ -190,7 +188,7 @@ def classify_attachment(name: Column, size: Column) -> Column:
 
 def parse_attachments(value: Column) -> Column:
     """array<struct(filename, kind)> of an attachments header. Sizes are not known here."""
-    names = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda part: F.trim(part)), lambda name: name != "")
+    names = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda part: strip(part)), lambda name: name != "")
     unknown = F.lit(None).cast("bigint")
     return F.transform(
         names, lambda name: F.struct(name.alias("filename"), classify_attachment(name, unknown).alias("kind"))
@@ -201,10 +199,16 @@ def decode_entities(text: Column) -> Column:
     """Named and numbered character references as characters; references to `&` last."""
     names = F.create_map(*[F.lit(one) for pair in ((f"&{n};", chr(c)) for n, c in name2codepoint.items()) for one in pair])
 
+    # Numbers 128 to 159 mean the signs of Windows-1252, as browsers read them; what is no character is U+FFFD.
+    windows = F.array(*[F.lit(ord(bytes([i]).decode("cp1252", "replace")) if i not in (129, 141, 143, 144, 157) else i) for i in range(128, 160)])
+
     def sign_of(entity: Column) -> Column:
         number = F.regexp_replace(entity, "[&#;]", "")
-        code = F.when(number.startswith("x"), F.substring(number, 2, 4)).otherwise(F.conv(number, 10, 16))
-        numbered = F.get_json_object(F.concat(F.lit('{"c":"\\u'), F.lpad(code, 4, "0"), F.lit('"}')), "$.c")
+        code = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
+        told = F.when((code >= 128) & (code < 160), F.get(windows, code - 128)).when(
+            (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit(0xFFFD)
+        ).otherwise(code)
+        numbered = F.decode(F.unhex(F.lpad(F.hex(told), 8, "0")), "UTF-32")
         return F.when(entity.startswith("&#"), numbered).otherwise(F.try_element_at(names, entity))
 
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
@@ -220,13 +224,13 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in DROPPED_TAGS:
         text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return decode_entities(F.regexp_replace(text, r"(?:<[^>]*>)+", "\n"))
+    return decode_entities(F.regexp_replace(text, TAGS, "\n"))
 
 
 def body_to_text(plain: Column, html: Column, unicode_form: Callable[[Column], Column] = compatible_form) -> Column:
     """The plain part of a mail when it says anything, else its page as text."""
     return F.when(
-        F.trim(F.coalesce(plain, F.lit(""))) != "", normalize_text(plain, unicode_form)
+        strip(F.coalesce(plain, F.lit(""))) != "", normalize_text(plain, unicode_form)
     ).otherwise(F.coalesce(normalize_text(html_to_text(html), unicode_form), F.lit("")))
 
 
@@ -270,7 +274,7 @@ def split_thread(body: Column, min_latest_chars: int = MIN_LATEST_CHARS) -> Colu
 
     def first_match(block: Column, pattern: str) -> Column:
         hit = F.try_element_at(F.filter(F.slice(block, 1, HEADER_LOOKAHEAD), lambda x: x.rlike(pattern)), F.lit(1))
-        value = F.trim(F.regexp_extract(hit, pattern, 1))
+        value = strip(F.regexp_extract(hit, pattern, 1))
         return F.when(value != "", value)
 
     def quoted(lines: Column, starts: Column) -> Column:
@@ -346,7 +350,7 @@ def strip_boilerplate(
 
     def after(lines: Column, place: Column) -> Column:
         filled = F.filter(
-            F.transform(lines, lambda line, i: F.when((i > place) & (F.trim(line) != ""), i)), lambda i: i.isNotNull()
+            F.transform(lines, lambda line, i: F.when((i > place) & (strip(line) != ""), i)), lambda i: i.isNotNull()
         )
         keep = F.coalesce(F.try_element_at(filled, F.lit(SIGNATURE_LINES)) + 1, F.size(lines))
         return let(keep, lambda n: signature_cut(lines, n))
@@ -388,7 +392,7 @@ def extract_signals(text: Column, patterns: dict[str, str] = SIGNALS, urgency: s
 def subject_prefixes(subject: Column) -> Column:
     """RE:, FW:, FWD: and [UPDATED] off the front of a subject, upper case, in order."""
     run = F.regexp_extract(F.coalesce(subject, F.lit("")), SUBJECT_RUN, 1)
-    return F.transform(F.regexp_extract_all(run, F.lit(SUBJECT_PREFIX), F.lit(1)), lambda one: F.upper(F.trim(one)))
+    return F.transform(F.regexp_extract_all(run, F.lit(SUBJECT_PREFIX), F.lit(1)), lambda one: F.upper(strip(one)))
 
 
 def truncate_middle(text: Column, limit: int) -> Column:

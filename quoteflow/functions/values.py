@@ -30,6 +30,13 @@ MONTH_DAY = r"^([A-Za-z]{3,9})\.?[\s,./-]*(\d{1,2})[\s,./-]*(\d{2,4})?$"
 PLAIN_NUMBER = r"^\d+(?:\.\d+)?$"
 UNUSABLE_IN_NAMES = r'[<>:"/\\|?*\x00-\x1f]+'
 NAME_CHARS = 60
+# White space of Unicode, line ends and no-break blanks included.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column | str) -> Column:
+    """Without white space, line ends included, on either side."""
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def check_imo(value: Column) -> Column:
@@ -45,7 +52,7 @@ def check_imo(value: Column) -> Column:
 
 def standardise_currency(value: Column) -> Column:
     """A code, a symbol, a leading code or a leading symbol as a code; otherwise what was written, upper case."""
-    written = F.upper(F.trim(value))
+    written = F.upper(strip(value))
     exact = F.when(written.isin(CURRENCY_CODES), written)
     symbol = F.coalesce(*[F.when(written == sign, code) for sign, code in CURRENCY_SYMBOLS])
     leading = F.coalesce(
@@ -57,7 +64,7 @@ def standardise_currency(value: Column) -> Column:
 
 def standardise_type(value: Column) -> Column:
     """The kind of request as one of the listed ones; others fall back."""
-    written = F.upper(F.trim(value))
+    written = F.upper(strip(value))
     exact = F.when(written.isin(RFQ_TYPES), written)
     held = F.coalesce(*[F.when(written.contains(kind), kind) for kind in RFQ_TYPES])
     return F.when(written != "", F.coalesce(exact, held, F.lit(FALLBACK_TYPE)))
@@ -65,7 +72,7 @@ def standardise_type(value: Column) -> Column:
 
 def type_fell_back(value: Column) -> Column:
     """Whether no listed kind is in the text."""
-    written = F.upper(F.trim(value))
+    written = F.upper(strip(value))
     held = F.coalesce(*[F.when(written.contains(kind), True) for kind in RFQ_TYPES])
     return (written != "") & held.isNull()
 
@@ -140,13 +147,13 @@ def parse_due_date(value: Column, today: Column) -> Column:
             ),
         )
 
-    text = F.regexp_replace(F.trim(value), r"[ ./-]+$", "")
+    text = F.regexp_replace(strip(value), r"[ ./-]+$", "")
     return let(text, lambda t: let(_day_month_year(t), read))
 
 
 def plain_number(value: Column) -> Column:
     """A plainly written number, null where writing it as a number would change how it reads (007, 1.0, 1,5)."""
-    written = F.trim(value)
+    written = strip(value)
     number = F.when(written.rlike(PLAIN_NUMBER), written.try_cast("double"))
     whole = number == F.floor(number)
     return F.when(~whole | (F.format_string("%.0f", number) == written), number)
@@ -162,7 +169,7 @@ def quantity_number(value: Column) -> Column:
 def usable_filename(value: Column) -> Column:
     """A text as part of a file name: signs no file system takes become blanks, 60 characters at most."""
     cleaned = F.regexp_replace(F.coalesce(value, F.lit("")), UNUSABLE_IN_NAMES, " ")
-    return F.trim(F.left(F.trim(F.regexp_replace(cleaned, r"\s+", " ")), F.lit(NAME_CHARS)))
+    return strip(F.left(strip(F.regexp_replace(cleaned, r"\s+", " ")), F.lit(NAME_CHARS)))
 
 
 def reference_or_generated(reference: Column, received: Column, decision_id: Column) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quoteflow.functions.values import strip
+
 # Fixed values.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 NUMBER_AND_UNIT = r"^(\d+(?:[.,]\d+)?)([a-z]{1,4})$"
@@ -39,10 +41,6 @@ def normalize_code(code: Column) -> Column:
     return F.upper(F.regexp_replace(code, NOT_WORD, ""))
 
 
-def heading_key(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, NOT_WORD, ""))
-
-
 def word_set(text: Column) -> Column:
     """Distinct words, where `65mm` also counts as the number 65."""
     words = tokens(text)
@@ -78,7 +76,7 @@ def same_words(line: Column, description: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """Lower case with runs of white space as one blank: how two lines are told to be the same."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    return strip(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
 def unspaced(text: Column) -> Column:

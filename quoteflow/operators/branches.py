@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoteflow.functions.values import strip
 from quoteflow.functions.words import same_words, tokens, word_coverage
 from quoteflow.operators.catalog import lookup_code
 from quoteflow.operators.common import last_wins, number_all
@@ -67,7 +68,7 @@ def join_judgements(pairs: DataFrame, answers: DataFrame) -> DataFrame:
     `answers` carries `batch`, `index`, `same`, `why` and `ord`; the last answer for an index stands.
     """
     last = last_wins(answers.select("batch", "index", "same", "why", "ord"), ["batch", "index"], ["ord"])
-    told = last.select("batch", "index", "same", F.trim("why").alias("why"), F.lit(True).alias("answered"))
+    told = last.select("batch", "index", "same", strip("why").alias("why"), F.lit(True).alias("answered"))
     joined = pairs.join(told, ["batch", "index"], "left")
     return joined.select(
         "pair_no",

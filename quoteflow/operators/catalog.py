@@ -6,8 +6,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoteflow.functions.values import strip
 from quoteflow.functions.words import normalize_code, tokens
-from quoteflow.operators.common import first_wins
+from quoteflow.operators.common import first_wins, left_join_filled
 
 
 # Posting lists are cut into stretches of this many catalogue positions.
@@ -18,7 +19,6 @@ CHAMPIONS = 20
 K1 = 1.2
 B = 0.75
 PICKER_DEFAULT = 50
-PICKER_MOST = 200
 
 
 def resolve_columns(df: DataFrame, wanted: Mapping[str, str], *, whitespace_only: bool = False) -> DataFrame:
@@ -55,7 +55,7 @@ def catalog_items(rows: DataFrame) -> DataFrame:
     pairs: list[Column] = []
     for name in texts:
         pairs += [F.lit(name), F.coalesce(F.col(name), F.lit(""))]
-    trimmed = {name: F.trim(F.coalesce(F.col(name), F.lit(""))) for name in texts}
+    trimmed = {name: strip(F.coalesce(F.col(name), F.lit(""))) for name in texts}
     kept = rows.withColumn("fields", F.create_map(*pairs)).withColumns(trimmed)
     return kept.where((F.col("code") != "") & (F.col("description") != ""))
 
@@ -82,7 +82,7 @@ def lookup_code(lines: DataFrame, index: DataFrame, code: str = "customer_code")
         F.col("description").alias("found_description"),
         F.col("position").alias("found_position"),
     )
-    return lines.withColumn("code_key", normalize_code(F.col(code))).join(named, "code_key", "left").drop("code_key")
+    return left_join_filled(lines.withColumn("code_key", normalize_code(F.col(code))), named, "code_key").drop("code_key")
 
 
 def index_words(with_customer_wording: bool = False) -> Column:
@@ -114,7 +114,7 @@ def word_bags(items: DataFrame, with_customer_wording: bool = False) -> DataFram
     ]
     if with_customer_wording:
         keys.append("wording")
-        columns.append(F.trim("customer_description").alias("wording"))
+        columns.append(strip("customer_description").alias("wording"))
     return items.select(*columns).groupBy(*keys).agg(
         F.min("position").alias("position"), F.count(F.lit(1)).alias("copies")
     )
@@ -172,8 +172,11 @@ def inverse_frequency(rows: Column, df: Column) -> Column:
 def product_picker(
     items: DataFrame, code: str = "", description: str = "", limit: int = PICKER_DEFAULT
 ) -> DataFrame:
-    """Products whose code and description contain what was typed, first row per product, with the full total."""
-    kept = min(max(limit, 1), PICKER_MOST)
+    """Products whose code and description contain what was typed, first row per product, with the full total.
+
+    As many as asked for; `total` tells what is left out.
+    """
+    kept = max(limit, 1)
     matches = items.where(
         F.upper("code").contains(code.strip().upper())
         & F.upper("description").contains(description.strip().upper())

@@ -6,7 +6,7 @@ A grid is a long table `cells(grid_id, row_no, col_no, value)` of filled cells,
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoteflow.functions.values import let
+from quoteflow.functions.values import let, strip
 from quoteflow.functions.words import shortened
 from quoteflow.operators.common import number_rows, ordered_list
 from quoteflow.sources.store import stored
@@ -24,13 +24,10 @@ HEADER_WORDS = [
 NOT_HEADER_SIGN = "[^a-z0-9/' ]+"
 NUMERIC = r"^\s*\d+([.,]\d+)?"
 MIN_HEADER_HITS = 2
-HEADER_SCAN_ROWS = 30
 SAMPLES = 5
 RARE_SHARE = 0.2
 NUMBERS_SHARE = 0.9
 SAMPLE_CHARS = 40
-MAX_ROWS = 5000
-MAX_COLUMNS = 64
 MIN_NUMERIC_SHARE = 0.9
 MIN_DESCRIPTION_SHARE = 0.5
 WHOLE_TABLE_ROWS = 40
@@ -47,27 +44,33 @@ ROW_STRETCH = 256
 BLOCK = ["grid_id", "header_row"]
 
 
-def clean_cells(cells: DataFrame) -> DataFrame:
-    """Typed cells as the reader would see them, within 5000 rows by 64 columns.
+def clean_cells(cells: DataFrame, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
+    """Typed cells as the reader would see them.
 
     `cells` carries `kind` (text, number, boolean, datetime, date) beside the value as text. Blank cells go, so blank
-    rows at the end of a grid go with them; `rows_truncated` marks grids that were cut.
+    rows at the end of a grid go with them. All rows and columns stay unless a limit is given; `rows_truncated` marks
+    grids that have cells past one.
     """
-    text = F.trim("value")
+    text = strip("value")
     shown = (
         F.when(F.col("kind") == "number", F.regexp_replace(text, r"\.0+$", ""))
         .when(F.col("kind") == "boolean", F.upper(text))
         .when(F.col("kind") == "datetime", F.left(F.replace(text, F.lit("T"), F.lit(" ")), F.lit(16)))
         .otherwise(text)
     )
-    grids = cells.groupBy("grid_id").agg((F.max("row_no") >= MAX_ROWS).alias("rows_truncated"))
-    kept = cells.where((F.col("row_no") < MAX_ROWS) & (F.col("col_no") < MAX_COLUMNS)).withColumn("value", shown)
-    return kept.where("value <> ''").drop("kind").join(grids, "grid_id")
+    inside = F.lit(True)
+    for name, limit in (("row_no", max_rows), ("col_no", max_columns)):
+        inside = inside if limit is None else inside & (F.col(name) < limit)
+    shown_cells = cells.withColumn("value", shown).drop("kind")
+    if max_rows is None and max_columns is None:
+        return shown_cells.where("value <> ''").withColumn("rows_truncated", F.lit(False))
+    grids = cells.groupBy("grid_id").agg(F.bool_or(~inside).alias("rows_truncated"))
+    return shown_cells.where(inside & F.expr("value <> ''")).join(grids, "grid_id")
 
 
 def header_word(value: Column) -> Column:
     """Whether a cell says something headings say."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(value)), NOT_HEADER_SIGN, "")).isin(HEADER_WORDS)
+    return strip(F.regexp_replace(F.lower(strip(value)), NOT_HEADER_SIGN, "")).isin(HEADER_WORDS)
 
 
 def grid_rows(cells: DataFrame) -> DataFrame:
@@ -80,19 +83,22 @@ def grid_rows(cells: DataFrame) -> DataFrame:
     return rows.withColumn("hits", F.size(F.filter("filled", lambda c: c["known"])))
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
-    """(grid_id, header_row): rows of two heading words or more, found in or after a first one near the top."""
+def header_rows(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
+    """(grid_id, header_row): rows of two heading words or more; with a limit, if the first stands above that row."""
     hits = (
         cells.where(header_word(F.col("value")))
         .groupBy("grid_id", F.col("row_no").alias("header_row"))
         .agg(F.count(F.lit(1)).alias("hits"))
     )
-    return _near_the_top(hits.where(F.col("hits") >= MIN_HEADER_HITS).select(*BLOCK))
+    return _near_the_top(hits.where(F.col("hits") >= MIN_HEADER_HITS).select(*BLOCK), scan_rows)
 
 
-def _near_the_top(hits: DataFrame) -> DataFrame:
+def _near_the_top(hits: DataFrame, rows: int | None = None) -> DataFrame:
+    """All headings, or where a limit is given those of grids whose first heading stands above it."""
+    if rows is None:
+        return hits
     first = hits.groupBy("grid_id").agg(F.min("header_row").alias("first_header"))
-    return hits.join(first, "grid_id").where(F.col("first_header") < HEADER_SCAN_ROWS).drop("first_header")
+    return hits.join(first, "grid_id").where(F.col("first_header") < rows).drop("first_header")
 
 
 def _headers(rows: DataFrame) -> DataFrame:

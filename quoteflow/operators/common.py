@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.sources.store import stored
@@ -101,26 +101,12 @@ def ordered_list(value: Column, *order: Column | str) -> Column:
     return F.transform(F.array_sort(F.collect_list(entry)), lambda one: one["v"])
 
 
-def reference_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A rule table given as literals: its size is known here, so it may be broadcast."""
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"{len(rows)} rules are too many to broadcast")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+def left_join_filled(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """A left join on a text key in which null and blank keys, which match nothing, are not shuffled to one task."""
+    filled = F.coalesce(F.col(key), F.lit("")) != ""
+    return rows.where(filled).join(named, key, "left").unionByName(rows.where(~filled), allowMissingColumns=True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a rule table read from storage once its size is checked; else leave the join to Spark."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
-
-
-def listed_cap(entries: Column, limit: int, tail: str) -> Column:
-    """The first `limit` entries, then one entry saying how many more there are."""
-    more = F.size(entries) - F.lit(limit)
-    cut = F.concat(F.slice(entries, 1, limit), F.array(F.format_string(tail, more)))
-    return F.when(more > 0, cut).otherwise(entries)
-
-
-def non_blank(text: Column) -> Column:
-    """Trimmed text, null when nothing is left."""
-    trimmed = F.trim(text)
-    return F.when(trimmed != "", trimmed)

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoteflow.functions.values import strip
 from quoteflow.functions.words import unspaced
 from quoteflow.operators.common import first_wins
 
@@ -15,8 +16,8 @@ UNCONFIRMED_CREDIT = 0.5
 
 def agreement(line_value: Column, item_value: Column, agrees: Column) -> Column:
     """match / conflict / unstated / unconfirmed; null when neither side says anything."""
-    line = F.trim(F.coalesce(line_value, F.lit(""))) != ""
-    item = F.trim(F.coalesce(item_value, F.lit(""))) != ""
+    line = strip(F.coalesce(line_value, F.lit(""))) != ""
+    item = strip(F.coalesce(item_value, F.lit(""))) != ""
     return (
         F.when(line & item & agrees, "match")
         .when(line & item, "conflict")
@@ -61,7 +62,7 @@ def confidences(checks: DataFrame) -> DataFrame:
     variants = (
         judged.where("viable and agreement = 'unstated'")
         .groupBy("line_key", "property")
-        .agg(F.count_distinct(unspaced(F.trim("item_value"))).alias("variants"))
+        .agg(F.count_distinct(unspaced(strip("item_value"))).alias("variants"))
     )
     weight = F.when(F.col("is_key"), KEY_WEIGHT).otherwise(MINOR_WEIGHT)
     credit = (

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoteflow.functions.values import strip
 from quoteflow.functions.words import normalize_code, tokens
 from quoteflow.operators.catalog import index_words, inverse_frequency
 from quoteflow.operators.common import running_sum
@@ -184,7 +185,7 @@ def eval_report(predictions: DataFrame) -> DataFrame:
 
 def real_text(text: Column) -> Column:
     """The text, or null where it only says that something is missing."""
-    trimmed = F.trim(F.coalesce(text, F.lit("")))
+    trimmed = strip(F.coalesce(text, F.lit("")))
     lowered = F.lower(trimmed)
     missing = trimmed == ""
     for phrase in MISSING_PHRASES:
@@ -194,7 +195,7 @@ def real_text(text: Column) -> Column:
 
 def recall_cases(rows: DataFrame) -> DataFrame:
     """(position, wording, expected_code, expected_key): rows that can be asked about."""
-    lowered = F.lower(F.concat_ws(" ", F.trim("code"), F.trim("description")))
+    lowered = F.lower(F.concat_ws(" ", strip("code"), strip("description")))
     generic = F.lit(False)
     for word in GENERIC_WORDS:
         generic = generic | lowered.contains(word)
@@ -241,7 +242,7 @@ def ranks_leaving_one_out(cases: DataFrame, index: SearchIndex) -> DataFrame:
     asked = cases.select("wording", "expected_key").distinct()
     said = tokens(F.col("wording"))
     rows = index.items.select(
-        F.trim("customer_description").alias("wording"),
+        strip("customer_description").alias("wording"),
         normalize_code(F.col("code")).alias("expected_key"),
         index_words().alias("own_words"),
         "position",

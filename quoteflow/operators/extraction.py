@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.functions import values as v
+from quoteflow.functions.values import strip
 from quoteflow.functions.words import collapsed, shortened
 from quoteflow.operators.common import last_wins, number_rows, ordered_list
 
@@ -90,10 +91,10 @@ def accept_header_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     `answers` carries `rfq_id`, `ord`, `field`, `value`, `source`; `sources` the labels a source may name. The first
     acceptable answer to a field stands; an unknown source is kept and flagged.
     """
-    said = F.trim(F.coalesce("value", F.lit("")))
+    said = strip(F.coalesce("value", F.lit("")))
     blank = (said == "") | F.lower(said).isin(PLACEHOLDERS)
     derived = F.col("field").isin(DERIVED_FIELDS)
-    unsourced = F.trim(F.coalesce("source", F.lit(""))) == ""
+    unsourced = strip(F.coalesce("source", F.lit(""))) == ""
     firsts = (
         answers.where(~derived & ~blank & ~unsourced)
         .groupBy("rfq_id", "field")
@@ -106,7 +107,7 @@ def accept_header_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
         .when(unsourced, WITHOUT_SOURCE)
     )
     judged = answers.join(firsts, ["rfq_id", "field"], "left").withColumn("refused", reason).drop("accepted_ord")
-    cited = judged.where("refused is null").select("rfq_id", "ord", F.trim("source").alias("cited"))
+    cited = judged.where("refused is null").select("rfq_id", "ord", strip("source").alias("cited"))
     known = (
         cited.join(sources, "rfq_id")
         .where(F.col("cited").contains(F.col("label")) | F.col("label").contains(F.col("cited")))
@@ -118,8 +119,8 @@ def accept_header_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
         "rfq_id",
         "ord",
         "field",
-        F.trim("value").alias("value"),
-        F.trim("source").alias("source"),
+        strip("value").alias("value"),
+        strip("source").alias("source"),
         "refused",
         (F.col("refused").isNull() & F.col("known").isNull()).alias("unknown_source"),
     )
@@ -130,7 +131,7 @@ def accept_explanations(explanations: DataFrame, accepted: DataFrame) -> DataFra
 
     A reason for a field that was filled is dropped with a warning (a row without `why`).
     """
-    why = F.left(F.trim(F.regexp_replace("why", r"\s+", " ")), F.lit(WHY_CHARS))
+    why = F.left(strip(F.regexp_replace("why", r"\s+", " ")), F.lit(WHY_CHARS))
     told = explanations.withColumn("why", why).where("why <> ''")
     filled = accepted.select("rfq_id", "field").distinct()
     contradicted = told.join(filled, ["rfq_id", "field"], "left_semi").select("rfq_id", "field").distinct()
@@ -146,7 +147,7 @@ def accept_explanations(explanations: DataFrame, accepted: DataFrame) -> DataFra
 def normalize_header(accepted: DataFrame, today: Column) -> DataFrame:
     """Accepted fields in long form with `text`, `day`, `dropped`, `checked` and `warning`."""
     field, raw = F.col("field"), F.col("value")
-    trimmed = F.when(F.trim(raw) != "", F.trim(raw))
+    trimmed = F.when(strip(raw) != "", strip(raw))
     dated = v.parse_due_date(raw, today)
     is_date = field.isin(DATE_FIELDS)
     imo = v.check_imo(raw)
@@ -247,7 +248,7 @@ def stitch_parts(items: DataFrame, parts: DataFrame) -> DataFrame:
     names = parts.groupBy("doc_id", "part_no").agg(F.min("label").alias("part_label"))
     cited = parts.select("doc_id", "part_no", F.col("label").alias("page"), F.lit(True).alias("held"))
     sourced = (
-        kept.withColumn("page", F.trim(F.coalesce("page", F.lit(""))))
+        kept.withColumn("page", strip(F.coalesce("page", F.lit(""))))
         .join(names, ["doc_id", "part_no"], "left")
         .join(cited, ["doc_id", "part_no", "page"], "left")
         .withColumn("source", F.when(F.col("held"), F.col("page")).otherwise(F.coalesce("part_label", F.lit(""))))

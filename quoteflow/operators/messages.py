@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.functions import text as x
+from quoteflow.functions.values import strip
 
 # Fixed values.
 CHUNK_CHARS = 4000
@@ -86,7 +87,7 @@ def chunk_parts(pages: DataFrame, key: str, limit: int = CHUNK_CHARS) -> DataFra
     `pages` carries `page_no` and `text`; pages that say nothing are left out. Where a part begins depends on where the
     one before ended, so the lengths of a document's pages (not their texts) are folded in order.
     """
-    filled = pages.where(F.trim("text") != "").withColumn("chars", F.length("text"))
+    filled = pages.where(strip("text") != "").withColumn("chars", F.length("text"))
     sizes = filled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_no", "chars"))).alias("sizes"))
 
     def place(state: Column, page: Column) -> Column:

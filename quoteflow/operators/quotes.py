@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions.values import quantity_number
 from quoteflow.functions.words import normalize_code
-from quoteflow.operators.common import first_wins, last_wins
+from quoteflow.operators.common import first_wins, last_wins, left_join_filled
 
 # Fixed values.
 MOST_PER_PAGE = 500
@@ -81,8 +81,7 @@ def rfq_detail_lines(recorded: DataFrame, candidates: DataFrame, codes: DataFram
         ["rfq_id", "line_index", "settled_code"], ["rank"],
     ).select("rfq_id", "line_index", "settled_code", F.col("confidence").alias("settled_confidence"))
     joined = (
-        recorded.join(current, "item_key", "left")
-        .join(settled, "confirmed_key", "left")
+        left_join_filled(left_join_filled(recorded, current, "item_key"), settled, "confirmed_key")
         .join(scores, ["rfq_id", "line_index", "settled_code"], "left")
     )
     is_settled = F.coalesce(F.col("settled_code") == F.col("confirmed_item_code"), F.lit(False))
@@ -112,7 +111,7 @@ def confirm_lines(actions: DataFrame, lines: DataFrame, codes: DataFrame) -> Dat
     """
     own = codes.where("kind = 0").select("code_key", F.col("code").alias("stored_code"))
     keyed = actions.withColumn("code_key", normalize_code(F.coalesce("item_code", F.lit(""))))
-    joined = keyed.join(own, "code_key", "left").join(
+    joined = left_join_filled(keyed, own, "code_key").join(
         _exists(lines, ["rfq_id", "line_index"], "has_line"), ["rfq_id", "line_index"], "left"
     )
     unknown = (F.col("item_code").isNotNull() & F.col("stored_code").isNull()) | F.col("has_line").isNull()

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.functions import text as x
+from quoteflow.functions.values import strip
 from quoteflow.operators.common import broadcast_if_small, ordered_list
 
 # Fixed values.
@@ -45,7 +46,7 @@ def classify_sender(messages: DataFrame, registry: DataFrame) -> DataFrame:
     `messages` carries `address`; `registry` has `kind` (system_sender, own, portal, customer, supplier) and `entry`, an
     address for system senders and a domain otherwise.
     """
-    entries = registry.select("kind", F.lower(F.trim("entry")).alias("entry"))
+    entries = registry.select("kind", F.lower(strip("entry")).alias("entry"))
     domains = entries.where("kind <> 'system_sender'").groupBy(F.col("entry").alias("domain")).agg(
         F.collect_set("kind").alias("kinds")
     )
@@ -209,7 +210,7 @@ def resolve_region(
     Each region lists `ports`, `keywords` and `mailbox` markers in lower case.
     """
     lowered_text, lowered_port = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(port, F.lit("")))
-    hinted = F.lower(F.trim(F.coalesce(hint, F.lit(""))))
+    hinted = F.lower(strip(F.coalesce(hint, F.lit(""))))
     marks = F.split(F.lower(F.coalesce(mailbox, F.lit(""))), "[^a-z0-9]+")
 
     def named(test) -> Column:
@@ -293,10 +294,17 @@ def image_budget(files: DataFrame) -> DataFrame:
 def attachment_budget(files: DataFrame) -> DataFrame:
     """Files with `blocked`, the reason each may not be opened, null when it may.
 
-    `files` carries `email_id`, `ord`, `size_bytes`, `is_inline`, `is_reference`, `has_bytes`. Signature images are
-    left out. The first twenty files take the slots, and only their sizes are gone through in order; every file after
-    them is one too many.
+    `files` carries `email_id`, `ord`, `size_bytes`, `is_inline`, `is_reference`, `has_bytes`, and `data_bytes`, the
+    length of what is there, if that is known. An unknown size is that length, else nothing. Signature images are left
+    out. The first twenty files take the slots, and only their sizes are gone through in order; every file after them is
+    one too many.
     """
+    there = F.col("data_bytes") if "data_bytes" in files.columns else F.lit(None)
+    size = F.coalesce(F.when(F.col("size_bytes") != 0, F.col("size_bytes")), there, F.lit(0)).cast("long")
+    files = files.withColumns({
+        "size_bytes": size,
+        **{name: F.coalesce(F.col(name), F.lit(False)) for name in ("is_inline", "is_reference", "has_bytes")},
+    })
     noise = F.col("is_inline") & (F.col("size_bytes") <= INLINE_NOISE_BYTES)
     real = files.where(~noise)
     opened = real.where(~F.col("is_reference") & F.col("has_bytes"))

@@ -106,7 +106,7 @@ class SearchIndex:
 def build_index(items: DataFrame, with_customer_wording: bool = False) -> SearchIndex:
     """Index the items once; every search after this reads the stored tables."""
     bags = stored(word_bags(items, with_customer_wording), "bags")
-    totals = collection_totals(bags)
+    totals = stored(collection_totals(bags), "totals")
     postings = stored(bag_postings(bags), "postings")
     return SearchIndex(items, bags, postings, stored(word_statistics(postings, totals), "words"), totals)
 

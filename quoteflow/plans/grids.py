@@ -12,7 +12,7 @@ from quoteflow.sources.store import stored
 WORDS = ", ".join("'" + word.replace("'", "''") + "'" for word in c.HEADER_WORDS)
 KNOWN = f"trim(regexp_replace(lower(trim(value)), '[^a-z0-9/'' ]+', '', 'g')) IN ({WORDS})"
 HEADERS = f"""hits AS (SELECT grid_id, row_no AS header_row FROM cells WHERE {KNOWN} GROUP BY ALL HAVING count(*) >= 2),
-headers AS (SELECT * FROM hits h WHERE header_row < 30 OR EXISTS (SELECT 1 FROM hits e WHERE e.grid_id = h.grid_id AND e.header_row < 30)),
+headers AS (SELECT * FROM hits),
 heights AS (SELECT grid_id, max(row_no) + 1 AS height, max(col_no) + 1 AS width FROM cells GROUP BY grid_id)"""
 
 
@@ -205,8 +205,8 @@ OPEN = "grid_id, header_row, first_data_row, last_data_row"
 QUERIES = [
     Query("A10", "clean_cells", cleaned, f"""WITH typed AS ({TYPED}),
 shown AS (SELECT grid_id, row_no, col_no, CASE kind WHEN 'number' THEN regexp_replace(trim(value), '\\.0+$', '') WHEN 'boolean' THEN upper(trim(value))
-  WHEN 'datetime' THEN left(replace(trim(value), 'T', ' '), 16) ELSE trim(value) END AS value, max(row_no) OVER (PARTITION BY grid_id) >= 5000 AS rows_truncated FROM typed)
-SELECT grid_id, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, value, rows_truncated FROM shown WHERE value <> '' AND row_no < 5000 AND col_no < 64"""),
+  WHEN 'datetime' THEN left(replace(trim(value), 'T', ' '), 16) ELSE trim(value) END AS value, false AS rows_truncated FROM typed)
+SELECT grid_id, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, value, rows_truncated FROM shown WHERE value <> ''"""),
     Query("D1", "header_rows", lambda t: c.header_rows(t.cells), f"WITH {HEADERS} SELECT grid_id, header_row FROM headers"),
     Query("D2", "table_columns", columns,
           f"{BLOCKS} SELECT grid_id, header_row, string_agg(CAST(col_no AS VARCHAR), ',' ORDER BY col_no) AS columns FROM headed GROUP BY ALL"),

@@ -507,7 +507,7 @@ FROM part, (VALUES (0), (1), (2), (3)) v(k)"""),
           f"""SELECT message_id, {find_sql('raw_text', x.SIGNALS['imo'], 1)} AS imo, {strip_sql(f"string_split_regex({find_sql('raw_text', VESSEL, 2)}, '\\s+[-–]\\s+|\\s*,\\s*')[1]")} AS vessel_name, {find_sql('raw_text', x.SIGNALS['rfq_reference'], 1)} AS rfq_reference,
   {find_sql('raw_text', x.SIGNALS['delivery_port'], 1)} AS delivery_port, {find_sql('raw_text', x.SIGNALS['eta'], 1)} AS eta, {find_sql('raw_text', x.SIGNALS['quote_due_date'], 2)} AS quote_due_date, {marks_sql('raw_text', x.URGENCY)} AS marks FROM mails"""),
     Query("B9", "subject_prefixes", prefixes,
-          f"SELECT conv_id, turn, coalesce(array_to_string(list_transform(regexp_extract_all(regexp_extract({PREFIX_TEXT}, {quote(x.SUBJECT_RUN)}, 1), {quote(x.SUBJECT_PREFIX)}, 1), lambda u: upper(trim(u))), '|'), '') AS prefixes FROM conversations"),
+          f"SELECT conv_id, turn, coalesce(array_to_string(list_transform(regexp_extract_all(regexp_extract({PREFIX_TEXT}, {quote(x.SUBJECT_RUN.replace("*+", "*").replace("++", "+"))}, 1), {quote(x.SUBJECT_PREFIX)}, 1), lambda u: upper(trim(u))), '|'), '') AS prefixes FROM conversations"),
     Query("B10", "parse_raw_messages", parsed,
           f"""WITH {PEOPLE},
 tos AS (SELECT message_id, len(list_filter({ENTRIES.replace('{x}', "coalesce(h_to, '')")}, lambda e: {PERSON} IS NOT NULL)) AS to_count, len(list_filter({ENTRIES.replace('{x}', "coalesce(h_cc, '')")}, lambda e: {PERSON} IS NOT NULL)) AS cc_count FROM split)

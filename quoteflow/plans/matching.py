@@ -406,7 +406,7 @@ count(*) FILTER (how = 'code_rejected') AS overruled, count(*) FILTER (how = 'no
     Query("F22", "product_picker", picker,
           f"""WITH hits AS (SELECT position, code, description FROM catalog_rows WHERE upper(code) LIKE '%-1%' AND upper(description) LIKE '%ECONOMY%'
   QUALIFY row_number() OVER (PARTITION BY {q.code_key('code')} ORDER BY position) = 1)
-SELECT position, code, description, count(*) OVER () AS total FROM hits ORDER BY position LIMIT 200"""),
+SELECT position, code, description, count(*) OVER () AS total FROM hits ORDER BY position LIMIT 500"""),
     Query("F24", "candidate_differences", differences,
           f"""{QUESTIONS},
 w AS (SELECT line_text, rank, unnest({q.tokens('product_text')}) AS word, generate_subscripts({q.tokens('product_text')}, 1) AS nth FROM questions),

@@ -1,24 +1,24 @@
 """Lines looked up in whatever copy of the product list is current when they arrive."""
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quoteflow.operators.catalog import code_index, lookup_code
 
-COPIES_TRIED = 5
-
 
 def readable_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest noted copy that can be read: a copy gone wrong leaves the one before it in use."""
-    notes = spark.read.parquet(f"{folder}/notes").orderBy(F.desc("taken_at")).select("path").take(COPIES_TRIED)
-    for note in notes:
+    """The newest noted copy that can be read to its end: a copy gone wrong leaves the one before it in use."""
+    notes = spark.read.parquet(f"{folder}/notes").orderBy(F.desc("taken_at")).select("path")
+    for note in notes.toLocalIterator():
         try:
-            return spark.read.parquet(note["path"])
-        except AnalysisException:
+            copy = spark.read.parquet(note["path"])
+            copy.write.format("noop").mode("overwrite").save()
+            return copy
+        except PySparkException:
             continue
-    raise ValueError(f"none of the newest {COPIES_TRIED} copies under {folder} can be read")
+    raise ValueError(f"no copy under {folder} can be read")
 
 
 def lookup_stream(lines: DataFrame, snapshots: str, folder: str, checkpoint: str) -> StreamingQuery:

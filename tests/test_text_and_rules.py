@@ -165,3 +165,51 @@ def test_saved_names_equal_one_by_one(spark):
         assert [r.saved_as for r in found if r.email_id == mail] == brute_names(names)
     safe = one(spark, *[records.safe_name(F.lit(n)) for n in ("..\\..\\.env", "C:\\x\\r?q.xlsx", " .. ", "/")])
     assert list(safe) == ["env", "r_q.xlsx", "attachment", "attachment"]
+
+
+def test_any_page_header_or_subject(spark):
+    page = "<p>&#128512;&#X41;&#70000;&#146;&#0;&eacute;&amp;lt;</p>" + "<b></b>" * 100_000 + "z"
+    people = ", ".join(f'"a, {i}" <u{i}@b.c>' for i in range(50_000))
+    df = spark.createDataFrame([(page, people, "Re: " * 20_000 + "hi")], "page string, people string, subject string")
+    row = df.select(
+        x.html_to_text(F.col("page")).alias("page"), F.size(x.parse_addresses(F.col("people"))).alias("people"),
+        F.length(F.regexp_extract("subject", x.SUBJECT_RUN, 1)).alias("run"),
+    ).first()
+    assert row["page"] == "\n\U0001f600A\U00011170’�é&lt;\nz"
+    assert row["people"] == 50_000 and row["run"] == 79_999
+    assert one(spark, v.strip(F.lit("\t\n Qty\r\n ")))[0] == "Qty"
+
+
+def test_unknown_sizes(spark):
+    rows = [
+        (1, 1, None, True, False, True), (1, 2, None, False, False, True), (1, 3, 30_000_000, False, False, True),
+        (1, 4, 20_000_000, False, False, True), (1, 5, 19_999_000, False, False, True), (1, 6, 100, True, None, None),
+    ]
+    kinds = "email_id long, ord long, size_bytes long, is_inline boolean, is_reference boolean, has_bytes boolean"
+    files = spark.createDataFrame(rows, kinds).withColumn("data_bytes", F.lit(20_000))
+    told = {row["ord"]: row["blocked"] for row in routing.attachment_budget(files).collect()}
+    assert told == {1: None, 2: None, 3: routing.FILE_TOO_LARGE, 4: None, 5: None}
+    told = {row["ord"] for row in routing.attachment_budget(files.drop("data_bytes")).collect()}
+    assert told == {2, 3, 4, 5}
+
+
+def test_large_grids_are_whole(spark):
+    from quoteflow.operators import cells
+
+    grid = spark.range(6_000).selectExpr("1L AS grid_id", "id AS row_no", "0L AS col_no", "'text' AS kind", "concat('v', id) AS value")
+    wide = spark.range(80).selectExpr("2L AS grid_id", "0L AS row_no", "id AS col_no", "'text' AS kind", "concat('w', id) AS value")
+    both = grid.unionByName(wide)
+    assert cells.clean_cells(both).count() == 6_080
+    cut = cells.clean_cells(both, 5_000, 64)
+    assert cut.count() == 5_064 and cut.where("rows_truncated").select("grid_id").distinct().count() == 2
+    late = spark.createDataFrame([(1, 40, 0, "Description"), (1, 40, 1, "Qty"), (1, 41, 0, "bolt")], "grid_id long, row_no long, col_no long, value string")
+    assert cells.header_rows(late).count() == 1 and cells.header_rows(late, 30).count() == 0
+
+
+def test_blank_keys_meet_nothing_and_stay(spark):
+    from quoteflow.operators.common import left_join_filled
+
+    rows = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "b")], "id int, key string")
+    named = spark.createDataFrame([("a", "A"), ("", "never")], "key string, name string")
+    found = {row["id"]: row["name"] for row in left_join_filled(rows, named, "key").collect()}
+    assert found == {1: "A", 2: None, 3: None, 4: None}
