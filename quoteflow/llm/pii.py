@@ -28,7 +28,9 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 ATOM = re.compile(r"[\w%+@(][\w.%+@()-]*[\w)]|[\w]")
 LONGEST = 6
-SAMPLE_CLUSTERS, SAMPLE_ATOMS, EPOCHS, AROUND = 800, 30, 6, 40
+SAMPLE_CLUSTERS, SAMPLE_ATOMS, AROUND = 800, 30, 40
+# Passes over the lessons: more over few, so that a small sample is learned as well.
+EPOCHS, MOST_EPOCHS, LESSONS = 6, 40, 4_000
 NEAREST_WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -156,21 +158,22 @@ def fit(labelled: list[tuple[str, list[tuple[int, int]]]]) -> dict[str, list[flo
     """Weights by gradient steps on the likelihood of the labels. `labelled`: text and atoms of clusters.
 
     A number with a plus sign is learned a second time without it: the sign is often left out, and then no fixed shape
-    finds the number.
+    finds the number. For that, a cluster with as many digits but no label teaches nothing: it may be such a number.
     """
     weights: dict[str, list[float]] = {}
     sums: dict[str, list[float]] = {}
     lessons = []
     for text, atoms in labelled:
         spans = base_spans(text)
-        lessons.append(lesson(text, atoms, spans))
+        if spans or not 9 <= len(NOT_DIGIT.sub("", text[atoms[0][0] : atoms[-1][1]])) <= 15:
+            lessons.append(lesson(text, atoms, spans))
         for start, kind, end in spans:
             if text[start] == "+":
                 bare = text[:start] + " " + text[start + 1 :]
                 there = [one for one in clusters(bare) if one[0][0] <= start + 1 < one[-1][1]]
                 kept = [one for one in base_spans(bare) if one[2] <= start or one[0] >= end]
                 lessons += [lesson(bare, one, [*kept, (start + 1, kind, end)]) for one in there]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, min(MOST_EPOCHS, LESSONS // max(1, len(lessons))))):
         for n, spans, gold in lessons:
             scored = [(i, j, names, scores(weights, names, j - i)) for i, j, names in spans]
             upto, rest = [0.0] + [None] * n, [None] * n + [0.0]

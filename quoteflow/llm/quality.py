@@ -111,7 +111,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], fl
     for _ in range(ROUNDS):
         kinds = np.stack([good, 1 - good]) * weight
         # A rule is believed to be right rather than wrong: the smoothing counts lean that way.
-        lean = np.array([[[0.5, 1.0, 2.0]], [[2.0, 1.0, 0.5]]])
+        lean = 0.1 * np.array([[[0.5, 1.0, 2.0]], [[2.0, 1.0, 0.5]]])
         given = np.einsum("kp,prv->krv", kinds, shown) + lean
         given /= given.sum(axis=2, keepdims=True)
         prior = (kinds.sum(axis=1) + 1) / (weight.sum() + 2)
