@@ -2,10 +2,13 @@
 
 Texts with equal sets are one class first. A set of n shingles is cut into parts by hashing, more parts than two similar
 sets can differ in, so that similar sets share at least one whole part (pigeonhole); parts of several shingles are
-shared by hardly anything else. Sets that share a part meet under its lowest member: that member is the query, the
-others the records of a block, and the block is searched with DivideSkip: short inverted lists are merged by a heap,
-long ones probed by bisection, and records that occur often enough are linked. What is still unlinked in a part goes
-on with more queries in the next round, until nothing is left to compare.
+shared by hardly anything else. Blocks of sets are searched with DivideSkip: short inverted lists are merged by a heap,
+long ones probed by bisection, and sets that occur often enough are linked.
+
+First each set is looked for from the lowest set it shares a part with, which joins groups of copies in one pass over
+their members. Families, in which shared parts hang together and not all are joined yet, are then dealt to blocks by
+size; every member outside a family's largest joined group is looked for in the blocks of its own and neighbouring
+sizes. So no pair is ever a row, and members that are joined already are not compared again.
 """
 
 import heapq
@@ -27,7 +30,7 @@ PERCENT = 90
 # Words remembered by a task, parts that may be empty before an empty part counts, and records of one block.
 CACHED_WORDS = 500_000
 EMPTY_PARTS = 3
-BLOCK_ROWS = 256
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 BROADCAST_ROWS = 2_000_000
 FIRST_QUERIES, MORE_QUERIES = 1, 4
 ODD = [np.uint64(one) for one in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -104,64 +107,66 @@ def parts(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(found).view(np.int64)
 
 
-def divide_skip(query: np.ndarray, records: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """Which records link with the query."""
-    fits = [
-        i for i, one in enumerate(records)
-        if len(one) and needed(len(query), len(one), percent) <= min(len(query), len(one))
-    ]
-    if not fits:
-        return []
-    least = min(needed(len(query), len(records[i]), percent) for i in fits)
-    # Inverted lists: for every shingle of the query, the records that hold it.
-    held = np.concatenate([records[i] for i in fits])
-    owner = np.repeat(np.array(fits), [len(records[i]) for i in fits])
-    at = np.searchsorted(query, held)
-    at[at == len(query)] = 0
-    same = query[at] == held
-    order = np.lexsort((owner[same], at[same]))
-    entries, which = owner[same][order], at[same][order]
-    edges = np.flatnonzero(np.diff(which, prepend=-1, append=-1))
-    lists = [entries[a:b].tolist() for a, b in zip(edges, edges[1:])]
-    lists.sort(key=len)
-    if not lists:
-        return []
-    # The longest lists are left out of the merge: with L of them a record needs `least - L` short ones at least.
-    longest = len(lists[-1])
-    left_out = min(len(lists), least - 1, int(least / (0.01 * math.log2(longest + 1) + 1)))
-    short, long = lists[: len(lists) - left_out], lists[len(lists) - left_out :]
-    wanted = least - left_out
-    linked = []
-    heap = [(entry[0], number, 0) for number, entry in enumerate(short)]
-    heapq.heapify(heap)
-    while len(heap) >= wanted:
-        record = heap[0][0]
-        met = []
-        while heap and heap[0][0] == record:
-            met.append(heapq.heappop(heap))
-        if len(met) >= wanted:
-            target = needed(len(query), len(records[record]), percent)
-            count = len(met)
-            for done, entry in enumerate(long):
-                if count + len(long) - done < target:
-                    break
-                place = bisect_left(entry, record)
-                count += place < len(entry) and entry[place] == record
-            if count >= target:
-                linked.append(record)
-            skip = record + 1
-        else:
-            # Fewer than wanted: the next record that can still reach it is that of the wanted-th list from here.
-            while heap and len(met) < wanted - 1:
+class Index:
+    """Inverted lists of a block of sets."""
+
+    def __init__(self, records: list[np.ndarray]):
+        self.sizes = [len(one) for one in records]
+        held = np.concatenate([np.empty(0, np.uint64), *records])
+        order = np.argsort(held, kind="stable")
+        self.held = held[order]
+        self.owner = np.repeat(np.arange(len(records)), self.sizes)[order]
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        starts = np.searchsorted(self.held, query, "left")
+        stops = np.searchsorted(self.held, query, "right")
+        return sorted((self.owner[a:b].tolist() for a, b in zip(starts, stops) if a < b), key=len)
+
+    def search(self, query: np.ndarray, percent: int = PERCENT) -> list[int]:
+        """Which records link with the query (DivideSkip)."""
+        size = len(query)
+        fits = [one for one in self.sizes if one and needed(size, one, percent) <= min(size, one)]
+        lists = self.lists(query) if fits else []
+        if not lists:
+            return []
+        least = needed(size, min(fits), percent)
+        # The longest lists are left out of the merge: with L of them a record needs `least - L` short ones at least.
+        left_out = min(len(lists), least - 1, int(least / (0.01 * math.log2(len(lists[-1]) + 1) + 1)))
+        short, long = lists[: len(lists) - left_out], lists[len(lists) - left_out :]
+        wanted = least - left_out
+        linked = []
+        heap = [(entry[0], number, 0) for number, entry in enumerate(short)]
+        heapq.heapify(heap)
+        while len(heap) >= wanted:
+            record = heap[0][0]
+            met = []
+            while heap and heap[0][0] == record:
                 met.append(heapq.heappop(heap))
-            skip = heap[0][0] if heap else len(records)
-            skip = max(skip, record + 1)
-        for _, number, place in met:
-            entry = short[number]
-            place = bisect_left(entry, skip, place)
-            if place < len(entry):
-                heapq.heappush(heap, (entry[place], number, place))
-    return linked
+            skip = record + 1
+            if len(met) >= wanted:
+                if self.enough(record, len(met), long, needed(size, self.sizes[record], percent)):
+                    linked.append(record)
+            else:
+                # No record before that of the wanted-th list from here can be in so many lists.
+                while len(met) < wanted - 1:
+                    met.append(heapq.heappop(heap))
+                skip = max(skip, heap[0][0])
+            for _, number, place in met:
+                entry = short[number]
+                place = bisect_left(entry, skip, place)
+                if place < len(entry):
+                    heapq.heappush(heap, (entry[place], number, place))
+        return linked
+
+    @staticmethod
+    def enough(record: int, count: int, long: list[list[int]], target: int) -> bool:
+        """The record's count reaches the target with the long lists, which are probed as long as that can be."""
+        for done, entry in enumerate(long):
+            if count >= target or count + len(long) - done < target:
+                break
+            place = bisect_left(entry, record)
+            count += place < len(entry) and entry[place] == record
+        return count >= target
 
 
 def described(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -188,18 +193,26 @@ def described(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     )
 
 
-def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key and its set as bytes."""
+def sets_of(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """key, size, class of sizes and the set as bytes."""
 
     def task():
         shingler = Shingler(width)
 
         def make(piece):
-            yield {"key": piece.column(0), "shingles": [shingler.shingles(one).tobytes() for one in piece.column(1).to_pylist()]}
+            found = [shingler.shingles(one) for one in piece.column(1).to_pylist()]
+            yield {
+                "key": piece.column(0),
+                "n": [len(one) for one in found],
+                "class": [size_class(len(one), percent) if len(one) else 0 for one in found],
+                "shingles": [one.tobytes() for one in found],
+            }
 
         return make
 
-    return map_batches(docs.select(F.col(key).alias("key"), plain_text(text)), "key long, shingles binary", task)
+    return map_batches(
+        docs.select(F.col(key).alias("key"), plain_text(text)), "key long, n long, class int, shingles binary", task
+    )
 
 
 def search_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +241,7 @@ def search_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
             def finish():
                 if block:
-                    found = divide_skip(state["query"], [one for _, one in block], percent)
+                    found = Index([one for _, one in block]).search(state["query"], percent)
                     linked.extend((state["key"], block[i][0]) for i in found)
                     block.clear()
 
@@ -247,6 +260,92 @@ def search_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(rows, "a long, b long", task)
 
 
+def search_families(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (`a`, `b`) between sets of different roots in the same block.
+
+    `rows`: family, class and bucket of the block; role 0 (record) or 1 (query), key, root, shingles. A block's records
+    are bounded and indexed; its queries pass by.
+    """
+    block = ["family", "class", "bucket"]
+    sorted_rows = rows.repartition(*block).sortWithinPartitions(*block, "role", "key").select(
+        *block, "role", "key", "root", "shingles"
+    )
+
+    def task():
+        state = {"block": None, "records": [], "index": None}
+
+        def search(piece):
+            found: list[tuple[int, int]] = []
+            for family, size, bucket, role, key, root, held in zip(*(piece.column(i).to_pylist() for i in range(7))):
+                if state["block"] != (family, size, bucket):
+                    state.update(block=(family, size, bucket), records=[], index=None)
+                shingles = np.frombuffer(held, np.uint64)
+                if role == 0:
+                    state["records"].append((key, root, shingles))
+                    continue
+                if state["index"] is None:
+                    state["index"] = Index([one for _, _, one in state["records"]])
+                for i in state["index"].search(shingles, percent):
+                    if state["records"][i][1] != root:
+                        found.append((key, state["records"][i][0]))
+            yield {"a": [a for a, _ in found], "b": [b for _, b in found]}
+
+        return search
+
+    return map_batches(sorted_rows, "a long, b long", task)
+
+
+def family_rows(members: DataFrame) -> DataFrame:
+    """Blocks of families: family, class, bucket, role, key, root. `members`: family, id, root, class, n."""
+    giants = members.groupBy("family", "root").count().groupBy("family").agg(
+        F.max(F.struct("count", "root"))["root"].alias("giant")
+    )
+    weight = F.greatest(F.max("n"), F.lit(BLOCK_SHINGLES // BLOCK_ROWS))
+    buckets = members.groupBy("family", "class").agg(
+        F.ceil(F.count(F.lit(1)) * weight / BLOCK_SHINGLES).cast("long").alias("buckets")
+    )
+    records = members.join(buckets, ["family", "class"]).select(
+        "family", "class", F.pmod(F.xxhash64("id"), F.col("buckets")).alias("bucket"), F.lit(0).alias("role"),
+        F.col("id").alias("key"), "root",
+    )
+    asked = members.join(giants, "family").where(F.col("root") != F.col("giant")).select(
+        "family", F.explode(F.array(*[F.col("class") + step for step in (-1, 0, 1)])).alias("class"), "id", "root"
+    )
+    queries = asked.join(buckets, ["family", "class"]).select(
+        "family", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"),
+        F.lit(1).alias("role"), F.col("id").alias("key"), "root",
+    )
+    return records.unionByName(queries)
+
+
+def joined_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(`node`, `root`) of all sets (`id`) that links join; `groups`: part, id. Sets without links may be left out."""
+    lows = groups.groupBy("part").agg(F.min("id").alias("query"))
+    pairs = stored(
+        groups.join(lows, "part").where(F.col("id") != F.col("query")).select("query", F.col("id").alias("record")).distinct(),
+        "pairs",
+    )
+    links = stored(search_blocks(pairs, sets.select("key", "shingles"), percent), "links")
+    roots = components(links)
+    rooted = stored(
+        groups.join(roots.withColumnRenamed("node", "id"), "id", "left").select("part", "id", F.coalesce("root", "id").alias("root")),
+        "rooted",
+    )
+    still_open = rooted.groupBy("part").agg(F.min("id").alias("low"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    left = stored(rooted.join(still_open.select("part", "low"), "part"), "left")
+    if left.isEmpty():
+        return roots
+    families = components(left.select(F.col("low").alias("a"), F.col("id").alias("b")))
+    members = stored(
+        left.select("id", "root").distinct()
+        .join(families.select(F.col("node").alias("id"), F.col("root").alias("family")), "id")
+        .join(sets.select(F.col("key").alias("id"), "n", "class").distinct(), "id"),
+        "members",
+    )
+    more = stored(search_families(family_rows(members).join(sets.select("key", "shingles"), "key"), percent), "links")
+    return components(links.unionByName(more))
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """A stored table of one number a row, broadcast if it has few rows, else left to a shuffled join."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -315,11 +414,11 @@ def jaccard_components(
     stands = named.join(classes.select(F.col("id").alias("key"), "digest"), ["key", "digest"], "left_semi")
     parted = stands.select(F.explode("parts").alias("part"), F.col("key").alias("id"))
     live = stored(parted.groupBy("part").count().where("count > 1").select("part"), "live")
-    groups = parted.join(small_side(live), "part").distinct().withColumn("root", F.col("id"))
+    groups = parted.join(small_side(live), "part").distinct()
     groups = stored(groups, "parts")
     wanted = stored(groups.select(F.col("id").alias(key)).distinct(), "wanted")
-    sets = stored(sets_of(docs.select(key, text).join(small_side(wanted), key, "left_semi"), key, text, width), "sets")
-    roots = links_within(groups, lambda pairs: search_blocks(pairs, sets, percent), "links")
+    sets = stored(sets_of(docs.select(key, text).join(small_side(wanted), key, "left_semi"), key, text, width, percent), "sets")
+    roots = joined_within(groups, sets, percent)
     joined = classes
     if roots is not None:
         joined = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("id"))
