@@ -71,6 +71,20 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(read_description(path))
 
 
+def merge_node(ids: list[int], rank_of, merged: list[int]) -> list[int]:
+    """The ids of a word whose pairs fit one node: its children are the ranks themselves, in place order."""
+    ranks = [rank_of(one << 16 | other, NONE) for one, other in zip(ids, ids[1:])]
+    while ranks and (best := min(ranks)) < NONE:
+        i = ranks.index(best)
+        ids[i] = new = merged[best]
+        del ids[i + 1], ranks[i]
+        if i < len(ranks):
+            ranks[i] = rank_of(new << 16 | ids[i + 1], NONE)
+        if i:
+            ranks[i - 1] = rank_of(ids[i - 1] << 16 | new, NONE)
+    return ids
+
+
 def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
     """Token ids of one word."""
     ids = [vocabulary.byte_ids[byte] for byte in word]
@@ -78,6 +92,8 @@ def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
     if n < 2:
         return ids
     rank_of, merged = vocabulary.pairs.get, vocabulary.merged
+    if n <= FAN:
+        return merge_node(ids, rank_of, merged)
     shift = n.bit_length()
     limit, mask = NONE << shift, (1 << shift) - 1
     # A leaf is the rank of a pair, then its place, so that the least leaf is the leftmost pair of lowest rank.
@@ -208,11 +224,16 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", into: str = "d
         pieces = Vocabulary(shared.value).pieces
 
         def texts_of(lists):
-            return [b"".join(map(pieces.__getitem__, found or ())).decode("utf-8", "replace") for found in lists]
+            flat = lists.values.to_numpy()
+            edges = lists.offsets.to_numpy()
+            return [
+                b"".join(map(pieces.__getitem__, flat[low:high].tolist())).decode("utf-8", "replace")
+                for low, high in zip(edges, edges[1:])
+            ]
 
         return texts_of
 
-    return with_column_in_batches(df, ids, into, T.StringType(), task)
+    return with_column_in_batches(df, ids, into, T.StringType(), task, arrow=True)
 
 
 def default_vocabulary(spark: SparkSession | None = None) -> str:

@@ -56,10 +56,13 @@ def map_batches(
     return df.mapInArrow(run, wanted)
 
 
-def with_column_in_batches(df: DataFrame, source: str, name: str, kind: T.DataType, task) -> DataFrame:
+def with_column_in_batches(
+    df: DataFrame, source: str, name: str, kind: T.DataType, task, arrow: bool = False
+) -> DataFrame:
     """All columns of `df` and one more, made from the values of `source`; a column of that name is replaced.
 
-    `task()` is made once per task and gives a function from a list of values to a list (or Arrow array) of results.
+    `task()` is made once per task and gives a function from a list of values (with `arrow`, an Arrow array) to a list
+    (or Arrow array) of results.
     """
     kept = [column for column in df.columns if column != name]
     schema = T.StructType([*[df.schema[column] for column in kept], T.StructField(name, kind)])
@@ -68,7 +71,8 @@ def with_column_in_batches(df: DataFrame, source: str, name: str, kind: T.DataTy
         work = task()
 
         def one(piece):
-            values = piece.column(piece.schema.get_field_index(source)).to_pylist()
+            values = piece.column(piece.schema.get_field_index(source))
+            values = values if arrow else values.to_pylist()
             yield {**{column: piece.column(piece.schema.get_field_index(column)) for column in kept}, name: work(values)}
 
         return one
@@ -79,32 +83,31 @@ def with_column_in_batches(df: DataFrame, source: str, name: str, kind: T.DataTy
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(`node`, `root`): for every node of the undirected links (`a`, `b`), the smallest node it can reach.
 
-    Large-star and small-star steps by turns: each is one aggregation by node, and the longest path halves. A node
-    with very many neighbours is only ever a minimum in a partial aggregate and a join key; the join is left to
-    skew handling. Links are written to the shared folder at each turn, so that a lost executor costs one turn.
+    Large-star and small-star steps by turns, until every node has one link, to its root; the longest path halves each
+    time. A node with very many neighbours is only ever a minimum in a partial aggregate and a join key; the join is
+    left to skew handling. Links are written to the shared folder at each turn, so a lost executor costs one turn.
     """
     edges = stored(
-        links.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        label,
+        links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label
     )
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
+        large = both.join(least, "a").where((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        )
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         ).select("e.*").where(F.col("a") != F.col("b")).distinct()
-        turned = stored(small, label)
-        if _fingerprint(turned) == _fingerprint(edges):
-            break
-        edges = turned
+        edges = stored(small, label)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
 
-def _fingerprint(edges: DataFrame):
-    return edges.select(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)).alias("h")).agg(F.count("h"), F.sum("h")).first()
+def _settled(edges: DataFrame) -> bool:
+    """No node has two links upwards, or one while others link to it."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    seen = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+    return seen.where("up > 1 or (up = 1 and least = 0)").isEmpty()
