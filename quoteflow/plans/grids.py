@@ -147,7 +147,7 @@ def copied(t: Inputs) -> DataFrame:
     origins = t.orders.select(
         F.col("o_orderkey").alias("grid_id"), F.format_string("order%d.xlsx#S", "o_orderkey").alias("origin")
     )
-    return c.copy_rows(cells, found, _answers(t, found).where("grid_id % 8 in (0, 6)"), origins)
+    return c.copy_rows(cells, found, _answers(t, found), origins)
 
 
 def unmapped(t: Inputs) -> DataFrame:
@@ -162,19 +162,19 @@ def roles(t: Inputs) -> DataFrame:
     documents = t.orders.select(
         F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 7 != 3).alias("has_content")
     )
-    holding = c.find_blocks(t.cells).where("grid_id % 4 <> 0").select(F.col("grid_id").alias("doc_id"))
+    holding = c.find_blocks(t.cells).select(F.col("grid_id").alias("doc_id"))
     return c.document_roles(documents, holding, t.sql(DOCUMENT_ANSWERS))
 
 
 def preface(t: Inputs) -> DataFrame:
     cells = t.cells
-    return c.preface_rows(cells, c.find_blocks(cells).where("grid_id % 9 <> 0"))
+    return c.preface_rows(cells, c.find_blocks(cells))
 
 
 def pictures(t: Inputs) -> DataFrame:
     """Conversations as documents, turns as pages; an assistant's page carries a picture."""
     pages = t.conversations.select(
-        F.col("conv_id").alias("doc_id"), F.left("text", F.col("conv_id") % 900).alias("text"),
+        F.col("conv_id").alias("doc_id"), "text",
         (F.col("role") == "assistant").alias("has_image"),
     )
     return c.picture_documents(pages)
@@ -244,10 +244,11 @@ FROM judged GROUP BY ALL"""),
           f"""{PROFILES},\n{ANSWERS},
 moved AS (SELECT i.grid_id, i.header_row, i.row_no, max(value) FILTER (field = 'description') AS description, max(value) FILTER (field = 'customer_item_code') AS customer_item_code,
   max(value) FILTER (field = 'quantity') AS quantity, max(value) FILTER (field = 'uom') AS uom FROM inside i JOIN answers a ON a.grid_id = i.grid_id AND a.header_row = i.header_row
-  AND a.letter = {LETTER.replace('col_no', 'i.col_no')} WHERE i.grid_id % 8 IN (0, 6) GROUP BY ALL)
+  AND a.letter = {LETTER.replace('col_no', 'i.col_no')} GROUP BY ALL)
 SELECT grid_id, row_number() OVER (PARTITION BY grid_id ORDER BY row_no) AS sr_no, description, customer_item_code, quantity, uom,
   'order' || CAST(grid_id AS VARCHAR) || '.xlsx#S row ' || CAST(row_no + 1 AS VARCHAR) AS source
-FROM moved WHERE (description IS NOT NULL OR customer_item_code IS NOT NULL) AND (quantity IS NOT NULL OR customer_item_code IS NOT NULL OR uom IS NOT NULL)"""),
+FROM moved m WHERE (description IS NOT NULL OR customer_item_code IS NOT NULL) AND (quantity IS NOT NULL OR customer_item_code IS NOT NULL OR uom IS NOT NULL
+  OR NOT EXISTS (SELECT 1 FROM answers a WHERE a.grid_id = m.grid_id AND a.header_row = m.header_row AND a.field = 'quantity'))"""),
     Query("D10", "unmapped_columns", unmapped,
           f"""{PROFILES},\n{ANSWERS} SELECT grid_id, header_row, letter || ' (' || header || ')' AS unmapped FROM profiles p WHERE filled > 0
 AND EXISTS (SELECT 1 FROM answers a WHERE a.grid_id = p.grid_id AND a.header_row = p.header_row)
@@ -258,16 +259,16 @@ AND NOT EXISTS (SELECT 1 FROM answers a WHERE a.grid_id = p.grid_id AND a.header
     Query("D12", "document_roles", roles,
           f"""{BLOCKS},\ntold AS ({DOCUMENT_ANSWERS})
 SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 3 THEN 'EMPTY' WHEN has_item_list IS NULL THEN 'UNREAD' WHEN NOT has_item_list THEN 'SUPPORTING'
-  WHEN EXISTS (SELECT 1 FROM blocks b WHERE b.grid_id = o_orderkey AND b.grid_id % 4 <> 0) THEN 'ITEM_GRID' ELSE 'ITEM_TEXT' END AS role
+  WHEN EXISTS (SELECT 1 FROM blocks b WHERE b.grid_id = o_orderkey) THEN 'ITEM_GRID' ELSE 'ITEM_TEXT' END AS role
 FROM orders LEFT JOIN told ON told.doc_id = o_orderkey"""),
     Query("D13", "preface_rows", preface,
-          f"""{BLOCKS},\nstops AS (SELECT grid_id, min(header_row) + 1 AS stop FROM blocks WHERE grid_id % 9 <> 0 GROUP BY grid_id),
+          f"""{BLOCKS},\nstops AS (SELECT grid_id, min(header_row) + 1 AS stop FROM blocks GROUP BY grid_id),
 rows AS (SELECT grid_id, width, unnest(range(least(coalesce(stop, 25), 25, height))) AS row_no FROM heights LEFT JOIN stops USING (grid_id)),
 places AS (SELECT grid_id, row_no, unnest(range(least(width, 8))) AS col_no FROM rows)
 SELECT p.grid_id, p.row_no, string_agg(coalesce(CASE WHEN length(value) <= 60 THEN value ELSE left(value, 59) || '…' END, ''), ' | ' ORDER BY p.col_no) AS said
 FROM places p LEFT JOIN cells c ON c.grid_id = p.grid_id AND c.row_no = p.row_no AND c.col_no = p.col_no GROUP BY ALL"""),
     Query("D14", "picture_documents", pictures,
           """SELECT doc_id, round(avg(length(text)), 4) AS chars_per_page, avg(length(text)) < 50 OR (avg(CASE WHEN has_image THEN 1 ELSE 0 END) >= 0.5 AND avg(length(text)) < 400) AS is_pictures
-FROM (SELECT conv_id AS doc_id, left(text, conv_id % 900) AS text, role = 'assistant' AS has_image FROM conversations) GROUP BY doc_id"""),
+FROM (SELECT conv_id AS doc_id, text, role = 'assistant' AS has_image FROM conversations) GROUP BY doc_id"""),
     Query("D15", "table_digest", digest, None, "padded text for reading; its parts are checked as profile_columns and sample_rows"),
 ]

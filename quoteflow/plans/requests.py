@@ -180,7 +180,7 @@ def references(t: Inputs) -> DataFrame:
 
 
 def filenames(t: Inputs) -> DataFrame:
-    name = F.concat(F.lit('RFQ: "'), F.left("text", F.lit(90)), F.lit("/?*"))
+    name = F.concat(F.lit('RFQ: "'), "text", F.lit("/?*"))
     return t.documents.select("doc_id", v.usable_filename(name).alias("name"))
 
 
@@ -365,7 +365,7 @@ FROM body, (VALUES ('A'), ('B'), ('D'), ('E'), ('F')) k(c) WHERE sr_no <= 4977 A
           f"SELECT DISTINCT rfq_id, '{e.ITEMS_TRUNCATED}' AS warning FROM rfq_lines WHERE line_index > 7"),
     Query("E18", "extraction_journal", journal, None, "JSON payloads; the parts are checked as normalize_header, completeness and merge_sources"),
     Query("E19", "usable_filename", filenames,
-          """SELECT doc_id, trim(left(trim(regexp_replace(regexp_replace('RFQ: "' || left(text, 90) || '/?*', '[<>:"/\\\\|?*\\x00-\\x1f]+', ' ', 'g'), '\\s+', ' ', 'g')), 60)) AS name FROM documents"""),
+          """SELECT doc_id, trim(left(trim(regexp_replace(regexp_replace('RFQ: "' || text || '/?*', '[<>:"/\\\\|?*\\x00-\\x1f]+', ' ', 'g'), '\\s+', ' ', 'g')), 60)) AS name FROM documents"""),
     Query("E20", "goods_sample", goods,
           """WITH items AS (SELECT rfq_id, k * 50 + line_index AS ord, CASE WHEN k = 2 THEN '' ELSE repeat(description, 1 + k * 2) END AS d FROM rfq_lines, (SELECT unnest(range(6)) AS k)),
 listed AS (SELECT rfq_id, CASE WHEN length(d) <= 70 THEN d ELSE left(d, 69) || '…' END AS entry, row_number() OVER (PARTITION BY rfq_id ORDER BY ord) AS n, count(*) OVER (PARTITION BY rfq_id) AS total FROM items WHERE d <> '')
