@@ -3,8 +3,10 @@
 import random
 
 import duckdb
-from helpers import documents
+import pytest
+from helpers import PROSE, documents
 
+import corpus_pipeline
 from quoteflow.llm import lines, secrets
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -44,3 +46,31 @@ def test_near_lines_are_met(spark):
     gone = {row["doc_id"] for row in lines.dedup_lines(documents(spark, rows)).where("n_removed > 0").collect()}
     assert len(wanted) > 200 and gone <= wanted
     assert len(gone) >= 0.96 * len(wanted)
+
+
+def test_line_of_a_null_id_and_of_repeated_ids(spark):
+    copy, near = " ".join(PROSE[:12]), " ".join(PROSE[:11]) + " thinking"
+    rows = [(None, copy), (3, copy), (4, copy), (5, near), (6, " ".join(PROSE[9:20])), (6, copy)]
+    left = sorted((row["doc_id"] or 0, row["text"]) for row in lines.dedup_lines(documents(spark, rows)).collect())
+    assert left == [(0, copy), (3, ""), (4, ""), (5, ""), (6, ""), (6, " ".join(PROSE[9:20]))]
+
+
+@pytest.fixture(scope="module")
+def no_items(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("items")
+    duckdb.sql(f"COPY (SELECT 1::BIGINT AS item_id, '{' '.join(PROSE[:18])}' AS text) TO '{folder}/benchmark.parquet'")
+    return str(folder)
+
+
+def test_stages_decide_by_row(spark, no_items):
+    rng = random.Random(3)
+    one, two, three = (" ".join(words(rng, 30)) for _ in range(3))
+    rows = [(1, one), (7, two), (7, three), (7, one), (None, one), (None, two + " more"), (7, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.ngram_jaccard_join(spark, docs, no_items).collect()
+    assert sorted(row["text"] for row in left) == sorted([one, two + " more", three])
+    assert {(row["doc_id"], row["text"]) for row in left} == {(None, one), (None, two + " more"), (7, three)}
+    hidden = f"{three} {' '.join(PROSE[:18])} {two}"
+    docs = spark.createDataFrame([(None, hidden), (7, hidden), (7, one), (None, one)], "doc_id long, text string")
+    left = corpus_pipeline.benchmark_decontamination(spark, docs, no_items).collect()
+    assert {(row["doc_id"], row["text"]) for row in left} == {(7, one), (None, one)}
