@@ -85,7 +85,7 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document when one occurrence of each group of near equal lines stays."""
-    left = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    left = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), every_line=True)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(plain_text(), 256).alias("text_sha256"))
 
 

@@ -74,3 +74,10 @@ def test_stages_decide_by_row(spark, no_items):
     docs = spark.createDataFrame([(None, hidden), (7, hidden), (7, one), (None, one)], "doc_id long, text string")
     left = corpus_pipeline.benchmark_decontamination(spark, docs, no_items).collect()
     assert {(row["doc_id"], row["text"]) for row in left} == {(7, one), (None, one)}
+
+
+def test_short_lines_and_lines_without_blanks(spark):
+    signs = "天地玄黄宇宙洪荒日月盈昃辰宿列張寒来暑往秋収冬蔵"
+    rows = [(1, f"Read more\n{signs}\nOne"), (2, f"read  MORE!\nTwo\n{signs}"), (3, signs[:9] + "火" + signs[10:] + "\none"), (4, "Three")]
+    left = {row["doc_id"]: row["text"] for row in lines.dedup_lines(documents(spark, rows), every_line=True).collect()}
+    assert left == {1: rows[0][1], 2: "Two", 3: "", 4: "Three"}
