@@ -4,7 +4,7 @@ import random
 
 import duckdb
 import pytest
-from helpers import PROSE, documents
+from helpers import PROSE, documents, shingles
 
 import corpus_pipeline
 from quoteflow.llm import lines, secrets
@@ -76,6 +76,23 @@ def test_stages_decide_by_row(spark, no_items):
     assert {(row["doc_id"], row["text"]) for row in left} == {(7, one), (None, one)}
 
 
+def test_stage_takes_five_words_and_four_fifths(spark, no_items):
+    """Near copies of the stage against brute force over all pairs, with 5 words and 0.8."""
+    rng = random.Random(4)
+    rows = []
+    for changes in (1, 1, 2, 2, 3, 3, 4, 5):
+        line = words(rng, 110)
+        other = list(line)
+        for at in range(changes):
+            other[10 + 20 * at] = "changed"
+        rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(other))]
+    sets = {doc: shingles(text, 5) for doc, text in rows}
+    gone = {b for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {row["doc_id"] for row in corpus_pipeline.ngram_jaccard_join(spark, docs, no_items).collect()}
+    assert 0 < len(gone) < len(rows) // 2 and left == set(sets) - gone
+
+
 def test_short_lines_and_lines_without_blanks(spark):
     signs = "天地玄黄宇宙洪荒日月盈昃辰宿列張寒来暑往秋収冬蔵"
     rows = [(1, f"Read more\n{signs}\nOne"), (2, f"read  MORE!\nTwo\n{signs}"), (3, signs[:9] + "火" + signs[10:] + "\none"), (4, "Three")]
