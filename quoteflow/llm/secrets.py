@@ -110,14 +110,14 @@ def likelihood_ratio(value: Column, ratios: list[float]) -> Column:
 def samples(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Labelled strings: values in places of fixed shape, and other words of six signs or more of sampled documents.
 
-    Bounded: `SAMPLE_SECRETS` strings and the documents with the `SAMPLE_DOCS` lowest hashes of `key` and text length.
+    Each secret counts once, however many rows repeat it. Bounded: `SAMPLE_SECRETS` strings and the documents with the `SAMPLE_DOCS` lowest hashes of `key` and text length.
     """
     texts = df.select(F.col(key).alias("key"), plain_text(text).alias("text"))
     order = [F.xxhash64("key", F.char_length("text")), F.col("key")]
     flagged = texts.where(F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX))
     secrets = (
         flagged.select(F.explode(base_spans(F.col("text"))).alias("span")).select("span.value")
-        .where(~F.col("value").rlike(r"[^A-Za-z0-9+/_=-]") & (F.char_length("value") >= 16))
+        .where(~F.col("value").rlike(r"[^A-Za-z0-9+/_=-]") & (F.char_length("value") >= 16)).distinct()
         .select("value", F.xxhash64("value").alias("h")).orderBy("h", "value").limit(SAMPLE_SECRETS).select("value")
     )
     chosen = texts.select("key", F.char_length("text").alias("n")).orderBy(F.xxhash64("key", "n"), "key").limit(SAMPLE_DOCS)
