@@ -9,6 +9,7 @@ are spared: two addresses of one article share those too.
 
 import html
 import re
+from bisect import bisect_right
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -18,6 +19,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quoteflow.llm.common import map_batches
 
+# Addresses sampled for each stretch of pages, and stretches for each shuffle partition.
+SAMPLED, STRETCHES = 40, 4
+
 # Elements by their part in a page.
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea select audio video head title".split())
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu".split())
@@ -157,43 +161,99 @@ def main_text(lines: list[str], spared: list[bool], other: list[str] | None) ->
     return "\n".join(line for i, (line, keep) in enumerate(zip(lines, spared)) if keep or i not in gone)
 
 
+def place_of(host: str, path: str, key) -> tuple:
+    """What pages are put in order by; a null key comes first."""
+    return host, path, key is not None, key if key is not None else ""
+
+
+def stretches(pages: DataFrame, key: str, url: str) -> tuple[list[tuple], dict[tuple, set[int]]]:
+    """Where stretches of the order of all pages begin, and the places of each one's first and last page with the
+    stretches beside it. To the driver come a bounded sample of addresses and two addresses a stretch."""
+
+    def addresses():
+        def one_by_one(piece):
+            places = [address(one) for one in piece.column(1).to_pylist()]
+            yield {"key": piece.column(0), "host": [host for host, _ in places], "path": [path for _, path in places]}
+
+        return one_by_one
+
+    kind = pages.schema[key].dataType.simpleString()
+    found = map_batches(pages.select(F.col(key).alias("key"), F.col(url).alias("url")), f"key {kind}, host string, path string", addresses)
+    parts = STRETCHES * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = found.orderBy(F.xxhash64("host", "path", "key")).limit(SAMPLED * parts).collect()
+    met = sorted(place_of(row["host"], row["path"], row["key"]) for row in sample)
+    splits = sorted({met[at * len(met) // parts] for at in range(1, parts)}) if met else []
+
+    def number():
+        def one_by_one(piece):
+            rows = zip(*(piece.column(i).to_pylist() for i in range(3)))
+            yield {
+                **{name: piece.column(i) for i, name in enumerate(("key", "host", "path"))},
+                "stretch": [bisect_right(splits, place_of(host, path, one)) for one, host, path in rows],
+            }
+
+        return one_by_one
+
+    order = F.struct("host", "path", "key")
+    ends = (
+        map_batches(found, f"key {kind}, host string, path string, stretch int", number)
+        .groupBy("stretch").agg(F.min(order).alias("first"), F.max(order).alias("last")).orderBy("stretch").collect()
+    )
+    beside: dict[tuple, set[int]] = {}
+    for one, other in zip(ends, ends[1:]):
+        beside.setdefault(place_of(*one["last"]), set()).add(other["stretch"])
+        beside.setdefault(place_of(*other["first"]), set()).add(one["stretch"])
+    return splits, beside
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """`key`, `url` and `text` (blocks joined by line ends, empty if there are none) of every page.
 
-    Pages go to tasks by ranges of host and path, so a host of any size is cut into many; a page meets the neighbours of
-    its own range. A page that is alone with its host there, and equal addresses' pages in either order of `key`, are
+    Pages go to tasks by stretches of host and path, so a host of any size is cut into many; the first and the last page
+    of a stretch are lent to the ones beside it, so how pages are cut changes no result. A page alone with its host, and equal addresses' pages in either order of `key`, are
     told by what they hold themselves. A null page has no text; a null address is a host of its own. Repeated rows
     share all lines, so outside articles nothing is left of either. An empty table gives no rows; other columns are
     left out.
     """
     kinds = {name: pages.schema[name].dataType.simpleString() for name in (key, url)}
+    splits, beside = stretches(pages, key, url)
 
     def cut():
         def one_by_one(piece):
             found = [page_lines(one or "") for one in piece.column(2).to_pylist()]
             places = [address(one) for one in piece.column(1).to_pylist()]
+            orders = [place_of(*place, one) for place, one in zip(places, piece.column(0).to_pylist())]
+            own = [bisect_right(splits, order) for order in orders]
+            # Each page in its own stretch, and lent to those beside it where it is the first or last.
+            rows = [(i, at, False) for i, at in enumerate(own)]
+            rows += [(i, at, True) for i, order in enumerate(orders) for at in beside.get(order, ())]
+            taken = pa.array([i for i, _, _ in rows], pa.int64())
             yield {
-                "key": piece.column(0), "url": piece.column(1),
-                "host": [host for host, _ in places], "path": [path for _, path in places],
-                "lines": [[line for line, _ in one] for one in found], "spared": [[keep for _, keep in one] for one in found],
+                "key": piece.column(0).take(taken), "url": piece.column(1).take(taken),
+                "host": [places[i][0] for i, _, _ in rows], "path": [places[i][1] for i, _, _ in rows],
+                "lines": [[line for line, _ in found[i]] for i, _, _ in rows],
+                "spared": [[keep for _, keep in found[i]] for i, _, _ in rows],
+                "stretch": [at for _, at, _ in rows], "lent": [lent for _, _, lent in rows],
             }
 
         return one_by_one
 
     lines = map_batches(
         pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page")),
-        f"key {kinds[key]}, url {kinds[url]}, host string, path string, lines array<string>, spared array<boolean>", cut,
+        f"key {kinds[key]}, url {kinds[url]}, host string, path string, lines array<string>, spared array<boolean>, stretch int, lent boolean", cut,
     )
-    ranged = lines.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
+    ranged = lines.repartition("stretch").sortWithinPartitions("stretch", "host", "path", "key")
 
     def difference(batches):
         waiting: list[tuple] = []
         out: list[tuple] = []
 
         def near(here, other):
-            return other is not None and here[2] == other[2]
+            return other is not None and here[2] == other[2] and here[6] == other[6]
 
         def settle(before, here, after):
+            if here[7]:
+                return
             options = [one for one in (before, after) if near(here, one)]
             best = max(options, key=lambda one: nearness(here[3], one[3]), default=None)
             out.append((here[0], here[1], main_text(here[4], here[5], best[4] if best else None)))
@@ -204,7 +264,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             return batch
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 waiting.append(row)
                 if len(waiting) == 2:
                     settle(None, waiting[0], waiting[1])

@@ -7,7 +7,7 @@ import pytest
 from helpers import PROSE, documents, shingles
 
 import corpus_pipeline
-from quoteflow.llm import lines, secrets
+from quoteflow.llm import html, lines, secrets
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -98,3 +98,20 @@ def test_short_lines_and_lines_without_blanks(spark):
     rows = [(1, f"Read more\n{signs}\nOne"), (2, f"read  MORE!\nTwo\n{signs}"), (3, signs[:9] + "火" + signs[10:] + "\none"), (4, "Three")]
     left = {row["doc_id"]: row["text"] for row in lines.dedup_lines(documents(spark, rows), every_line=True).collect()}
     assert left == {1: rows[0][1], 2: "Two", 3: "", 4: "Three"}
+
+
+def test_pages_meet_neighbours_however_they_are_cut(spark):
+    rows = [(i, f"http://a.org/x/{i:03}", f"<div>All rights kept</div><div>own {i}</div>") for i in range(24)]
+    rows += [(100, "http://b.org/", "<div>All rights kept</div>"), (None, "http://c.org/1", "<p>a<p>b"), (101, "http://c.org/2", "<p>a<p>c")]
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        found = {row["page_id"]: row["text"] for row in html.extract(df).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(found) == len(rows) and [found[i] for i in range(24)] == [f"own {i}" for i in range(24)]
+    assert (found[100], found[None], found[101]) == ("All rights kept", "b", "c")
