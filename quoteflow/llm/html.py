@@ -3,8 +3,8 @@
 A page is cut into blocks of text (lines). Parts that are boilerplate by their tag or by what they are called (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) go at once. Then pages of a host are put in the order of
 their paths, and each is paired with the neighbour whose path is nearest; their lines are aligned by longest common
-subsequence, and lines that both have go, as what a site repeats is not the article. Lines inside an article element
-are spared: two addresses of one article share those too.
+subsequence, and lines that both have go, as what a site repeats is not the article. A copy of the page is no such
+neighbour, as all its text would be shared, nor is a version of its article element.
 """
 
 import html
@@ -21,6 +21,8 @@ from quoteflow.llm.common import map_batches
 
 # Addresses sampled for each stretch of pages, and stretches for each shuffle partition.
 SAMPLED, STRETCHES = 40, 4
+# Part of a page's signs in lines of another page from which the two are copies; of its article's, versions of one.
+COPIED, VERSION = 0.95, 0.3
 
 # Elements by their part in a page.
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea select audio video head title".split())
@@ -154,11 +156,19 @@ def nearness(one: str, other: str) -> int:
     return n
 
 
-def main_text(lines: list[str], spared: list[bool], other: list[str] | None) -> str:
-    if other is None:
-        return "\n".join(lines)
-    gone = shared_lines(lines, other)
-    return "\n".join(line for i, (line, keep) in enumerate(zip(lines, spared)) if keep or i not in gone)
+def copies(one: list[str], other: list[str], part: float = COPIED) -> bool:
+    """One of two lists of lines has hardly a sign of its own beside the other."""
+
+    def shared(held: list[str], by: set[str]) -> bool:
+        signs = sum(map(len, held))
+        return signs > 0 and sum(len(line) for line in held if line in by) >= part * signs
+
+    return shared(one, set(other)) or shared(other, set(one))
+
+
+def main_text(lines: list[str], other: list[str] | None) -> str:
+    gone = shared_lines(lines, other) if other is not None else ()
+    return "\n".join(line for i, line in enumerate(lines) if i not in gone)
 
 
 def place_of(host: str, path: str, key) -> tuple:
@@ -211,8 +221,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     Pages go to tasks by stretches of host and path, so a host of any size is cut into many; the first and the last page
     of a stretch are lent to the ones beside it, so how pages are cut changes no result. A page alone with its host, and equal addresses' pages in either order of `key`, are
-    told by what they hold themselves. A null page has no text; a null address is a host of its own. Repeated rows
-    share all lines, so outside articles nothing is left of either. An empty table gives no rows; other columns are
+    told by what they hold themselves. A null page has no text; a null address is a host of its own. A neighbour that is
+    a copy or nearly so is no partner: between copies alone a page keeps its whole text. An empty table gives no rows; other columns are
     left out.
     """
     kinds = {name: pages.schema[name].dataType.simpleString() for name in (key, url)}
@@ -232,7 +242,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 "key": piece.column(0).take(taken), "url": piece.column(1).take(taken),
                 "host": [places[i][0] for i, _, _ in rows], "path": [places[i][1] for i, _, _ in rows],
                 "lines": [[line for line, _ in found[i]] for i, _, _ in rows],
-                "spared": [[keep for _, keep in found[i]] for i, _, _ in rows],
+                "inside": [[held for _, held in found[i]] for i, _, _ in rows],
                 "stretch": [at for _, at, _ in rows], "lent": [lent for _, _, lent in rows],
             }
 
@@ -240,7 +250,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     lines = map_batches(
         pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page")),
-        f"key {kinds[key]}, url {kinds[url]}, host string, path string, lines array<string>, spared array<boolean>, stretch int, lent boolean", cut,
+        f"key {kinds[key]}, url {kinds[url]}, host string, path string, lines array<string>, inside array<boolean>, stretch int, lent boolean", cut,
     )
     ranged = lines.repartition("stretch").sortWithinPartitions("stretch", "host", "path", "key")
 
@@ -251,12 +261,18 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         def near(here, other):
             return other is not None and here[2] == other[2] and here[6] == other[6]
 
+        def article(one):
+            return [line for line, held in zip(one[4], one[5]) if held]
+
+        def alike(here, other):
+            return copies(here[4], other[4]) or copies(article(here), article(other), VERSION)
+
         def settle(before, here, after):
             if here[7]:
                 return
-            options = [one for one in (before, after) if near(here, one)]
+            options = [one for one in (before, after) if near(here, one) and not alike(here, one)]
             best = max(options, key=lambda one: nearness(here[3], one[3]), default=None)
-            out.append((here[0], here[1], main_text(here[4], here[5], best[4] if best else None)))
+            out.append((here[0], here[1], main_text(here[4], best[4] if best else None)))
 
         def packed():
             batch = pa.RecordBatch.from_arrays([pa.array(list(column), kind) for column, kind in zip(zip(*out), types)], names=names)

@@ -115,3 +115,29 @@ def test_pages_meet_neighbours_however_they_are_cut(spark):
             spark.conf.set(name, value)
     assert len(found) == len(rows) and [found[i] for i in range(24)] == [f"own {i}" for i in range(24)]
     assert (found[100], found[None], found[101]) == ("All rights kept", "b", "c")
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    def page(own):
+        return f"<div>All rights kept</div><div>{own}</div>"
+
+    own = " ".join(PROSE)
+    rows = [(1, "http://a.org/x", page(own)), (2, "http://a.org/x?print=1", page(own)), (3, "http://a.org/y", page("other words"))]
+    rows += [(4, "http://b.org/x", page(own)), (5, "http://b.org/x", f"<div>{own}</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {row["page_id"]: row["text"] for row in html.extract(df).collect()}
+    whole = "All rights kept\n" + own
+    assert found == {1: whole, 2: own, 3: "other words", 4: whole, 5: own}
+
+
+def test_repeated_notice_in_articles_goes_and_versions_stay(spark):
+    def page(*own):
+        return "<article>" + "".join(f"<p>{one}" for one in ("Subscribe now", *own)) + "</article>"
+
+    first, second, third = " ".join(PROSE[:12]), " ".join(PROSE[8:]), " ".join(PROSE[::-1])
+    rows = [(1, "http://a.org/1", page(first)), (2, "http://a.org/2", page(second)), (3, "http://b.org/1", page(first, second))]
+    rows.append((4, "http://b.org/2", page(first, third)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {row["page_id"]: row["text"] for row in html.extract(df).collect()}
+    assert (found[1], found[2]) == (first, second)
+    assert first in found[3] and first in found[4]
