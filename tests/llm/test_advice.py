@@ -19,7 +19,7 @@ def words(rng, n):
 def test_labelled_secrets_count_once(spark, monkeypatch):
     rng = random.Random(1)
     keys = ["".join(rng.choices(LETTERS + "0123456789", k=32)) for _ in range(8)]
-    rows = [(i, f"the secret: {key}") for i, key in enumerate(keys)] + [(100 + i, f"the secret: {keys[0]} again") for i in range(300)]
+    rows = [(i, f"the secret: {key}") for i, key in enumerate(keys)] + [(100 + i, f"the secret: {keys[i % 8]} again") for i in range(320)]
     monkeypatch.setattr(secrets, "SAMPLE_SECRETS", 8)
     found = [row["value"] for row in secrets.samples(documents(spark, rows), "doc_id", "text")[0].collect()]
     assert sorted(found) == sorted(keys)
