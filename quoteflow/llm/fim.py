@@ -16,7 +16,10 @@ from quoteflow.llm.common import map_batches, plain_text
 BLOCK_BYTES = 2048
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN_FROM, SPM_BELOW = 90, 20
-ADDED = T._parse_datatype_string("n long, form string, output string, prefix_chars long, middle_chars long")
+ADDED = [
+    T.StructField("n", T.LongType()), T.StructField("form", T.StringType()), T.StructField("output", T.StringType()),
+    T.StructField("prefix_chars", T.LongType()), T.StructField("middle_chars", T.LongType()),
+]
 
 
 class Fenwick:
@@ -94,7 +97,7 @@ def fill_in_middle(
     """
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256)
     draws = [F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("long") for part in range(4)]
-    kept = [name for name in df.columns if name not in ADDED.names]
+    kept = [name for name in df.columns if name not in [field.name for field in ADDED]]
     # `key` and `text` may themselves bear a name that is replaced.
     asked = df.select(*kept, F.array(*draws).alias("_draws"), plain_text(text).alias("_text"))
     schema = T.StructType([*[df.schema[name] for name in kept], *ADDED])
