@@ -14,13 +14,14 @@ them are dealt by whole windows. Hashes only ever bring texts together; what is
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quoteflow.llm.common import map_batches, plain_text
 from quoteflow.llm.overlap import small_side
-from quoteflow.sources.store import stored
+from quoteflow.sources import store
 
 WINDOW = 13
 ANCHOR = 6
@@ -36,6 +37,23 @@ STEP, PLACES = 1 << 17, 4096
 NO_ID = (1 << 63) - 1
 
 
+# Shuffle files go with the query they were for, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows from a closely packed table of their own; what was shuffled to make them is let go."""
+    conf = df.sparkSession.conf
+    before = {name: conf.get(name, None) for name in (CLEANUP, "spark.sql.parquet.compression.codec")}
+    try:
+        conf.set(CLEANUP, "true")
+        conf.set("spark.sql.parquet.compression.codec", "zstd")
+        return store.stored(df, label)
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def _mixed(numbers: np.ndarray) -> np.ndarray:
     numbers = (numbers ^ (numbers >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     numbers = (numbers ^ (numbers >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -221,22 +239,27 @@ def _shared_spans(window: int):
 
 
 def _passages(texts: DataFrame, window: int) -> DataFrame:
-    """(`row`, `doc`, `anchor`, `start`, `words`, `passage`): the words of every stretch whose anchor is `wanted`."""
+    """(`row`, `doc`, `anchor`, `start`, `words`, `passage`): the words of every stretch in `wanted`."""
 
     def task():
         def one(piece):
-            held = piece.to_pydict()
-            out = {name: [] for name in ("row", "doc", "anchor", "start", "words", "passage")}
-            for row, doc, text, anchors, starts, counts, wanted in zip(
-                *(held[name] for name in ("row", "doc", "text", "anchors", "starts", "counts", "wanted"))
-            ):
-                words, wanted = text.encode().split(), set(wanted)
-                for anchor, start, count in zip(anchors, starts, counts):
-                    if anchor in wanted:
-                        words_of = words[start : start + count + window - 1]
-                        for name, value in zip(out, (row, doc, anchor, start, len(words_of), b" ".join(words_of))):
-                            out[name].append(value)
-            yield out | {"passage": pa.array(out["passage"], pa.binary()).cast(pa.string())}
+            column = {name: piece.column(piece.schema.get_field_index(name)) for name in piece.schema.names}
+            wanted = column["wanted"]
+            parts = wanted.flatten()
+            counts = pa.compute.list_value_length(wanted).to_numpy()
+            starts = parts.field("start").to_numpy()
+            lengths = parts.field("count").to_numpy() + (window - 1)
+            passages, at = [], 0
+            for text, count in zip(column["text"].cast(pa.large_binary()), counts.tolist()):
+                words = text.as_py().split()
+                for start, length in zip(starts[at : at + count].tolist(), lengths[at : at + count].tolist()):
+                    passages.append(b" ".join(words[start : start + length]))
+                at += count
+            yield {
+                "row": np.repeat(column["row"].to_numpy(), counts), "doc": np.repeat(column["doc"].to_numpy(), counts),
+                "anchor": parts.field("anchor"), "start": starts, "words": lengths,
+                "passage": pa.array(passages, pa.binary()).cast(pa.string()),
+            }
 
         return one
 
@@ -294,12 +317,14 @@ def dedup_substrings(
     )
 
     # Anchors of two texts and more, and the texts that hold them.
-    held = texts.where(F.size("anchors") > 0).join(small_side(copies.select("row")), "row", "left_anti").select(
-        "row", F.explode(F.array_distinct("anchors")).alias("anchor")
-    )
-    common = held.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("anchor")
-    wanted = held.join(common, "anchor", "left_semi").groupBy("row").agg(F.collect_list("anchor").alias("wanted"))
-    passages = stored(_passages(texts.join(stored(wanted, "wanted"), "row"), window), "passages")
+    each = texts.where(F.size("anchors") > 0).join(small_side(copies.select("row")), "row", "left_anti")
+    common = each.select(F.explode(F.array_distinct("anchors")).alias("anchor")).groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("texts")
+    ).where("texts > 1").select("anchor")
+    stretch = F.arrays_zip(F.col("anchors").alias("anchor"), F.col("starts").alias("start"), F.col("counts").alias("count"))
+    held = each.select("row", F.inline(stretch)).join(common, "anchor", "left_semi")
+    wanted = stored(held.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("wanted")), "wanted")
+    passages = stored(_passages(texts.select("row", "doc", "text").join(wanted, "row"), window), "passages")
 
     # The distinct passages are the reference, each with its lowest document.
     def distinct(rows: DataFrame) -> DataFrame:
