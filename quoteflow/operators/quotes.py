@@ -151,21 +151,41 @@ def record_inquiries(letters: DataFrame, rfqs: DataFrame, existing: DataFrame) -
     )
 
 
+def standing_letters(letter_lines: DataFrame, judged: DataFrame) -> DataFrame:
+    """The letters that stand, a row for each line they ask about: those of the one batch of a request that went.
+
+    `letter_lines` carries `rfq_id`, `ord` (of the batch), `supplier`, `line_index`; `judged` comes from
+    `record_inquiries`.
+    """
+    went = judged.where(F.col("status") == OK).select("rfq_id", "ord")
+    return letter_lines.join(went, ["rfq_id", "ord"], "left_semi")
+
+
+def asked_lines(standing: DataFrame) -> DataFrame:
+    """(rfq_id, line_index, asked_ord): the lines suppliers were asked about, and since which action."""
+    return standing.groupBy("rfq_id", "line_index").agg(F.min("ord").alias("asked_ord"))
+
+
+def offer_bounds(unit_price: Column, clears: Column, has_line: Column) -> Column:
+    """The status of an offer that is refused whatever went before it, else null."""
+    sound = (unit_price > 0) & (unit_price <= MOST_A_UNIT_COSTS)
+    return F.when(~clears & ~F.coalesce(sound, F.lit(False)), UNPROCESSABLE).when(~has_line, NOT_FOUND)
+
+
 def record_offers(actions: DataFrame, lines: DataFrame, asked: DataFrame) -> DataFrame:
     """Each offer with its `status`; a null price clears the line's offer.
 
     `actions` carries `rfq_id`, `line_index`, `ord`, `acted_at`, `unit_price`, `clears`; `asked` the lines suppliers were
-    asked about.
+    asked about. Where it says since when (`asked_ord`), an offer before that is an answer to no question.
     """
     keys = ["rfq_id", "line_index"]
-    joined = actions.join(_exists(lines, keys, "has_line"), keys, "left").join(_exists(asked, keys, "was_asked"), keys, "left")
-    priced = ~F.col("clears")
-    sound = (F.col("unit_price") > 0) & (F.col("unit_price") <= MOST_A_UNIT_COSTS)
-    status = (
-        F.when(priced & ~F.coalesce(sound, F.lit(False)), UNPROCESSABLE)
-        .when(F.col("has_line").isNull(), NOT_FOUND)
-        .when(priced & F.col("was_asked").isNull(), CONFLICT)
-        .otherwise(OK)
+    since = F.min("asked_ord") if "asked_ord" in asked.columns else F.lit(None).cast("long")
+    first = asked.groupBy(*keys).agg(since.alias("asked_ord"), F.lit(True).alias("was_asked"))
+    joined = actions.join(_exists(lines, keys, "has_line"), keys, "left").join(first, keys, "left")
+    asked_by_then = F.col("was_asked").isNotNull() & F.coalesce(F.col("asked_ord") < F.col("ord"), F.lit(True))
+    status = F.coalesce(
+        offer_bounds(F.col("unit_price"), F.col("clears"), F.col("has_line").isNotNull()),
+        F.when(F.col("clears") | asked_by_then, OK).otherwise(CONFLICT),
     )
     return joined.select(*actions.columns, status.alias("status"))
 
@@ -184,6 +204,26 @@ def final_offers(judged: DataFrame) -> DataFrame:
     return last.drop("ord")
 
 
+def _priced(prices: DataFrame, lines: DataFrame) -> DataFrame:
+    """(rfq_id, ord, priced): how many of a request's lines each approval prices."""
+    given = prices.join(lines.select("rfq_id", "line_index").distinct(), ["rfq_id", "line_index"], "left_semi")
+    return given.groupBy("rfq_id", "ord").agg(F.count_distinct("line_index").alias("priced"))
+
+
+def approval_bounds(margin_stock: Column, margin_jit: Column, bad_price: Column, lines: Column, missing: Column) -> Column:
+    """The status of an approval that is refused whatever went before it, else null.
+
+    Numbers out of bounds (or no price at all: `bad_price` null) come first, then unknown requests (`lines` null), then
+    lines without a price.
+    """
+    margins = margin_stock.between(0, MOST_A_MARGIN_IS) & margin_jit.between(0, MOST_A_MARGIN_IS)
+    return (
+        F.when(~margins | F.coalesce(bad_price, F.lit(True)), UNPROCESSABLE)
+        .when(lines.isNull(), NOT_FOUND)
+        .when(missing > 0, UNPROCESSABLE)
+    )
+
+
 def approve_pricing(
     approvals: DataFrame, prices: DataFrame, lines: DataFrame, approved: DataFrame | None = None
 ) -> DataFrame:
@@ -194,20 +234,13 @@ def approve_pricing(
     approved before.
     """
     needed = lines.groupBy("rfq_id").agg(F.count_distinct("line_index").alias("lines"))
-    given = prices.join(lines.select("rfq_id", "line_index").distinct(), ["rfq_id", "line_index"], "left_semi")
-    priced = given.groupBy("rfq_id", "ord").agg(F.count_distinct("line_index").alias("priced"))
     bad = (F.col("unit_price") <= 0) | (F.col("unit_price") > MOST_A_UNIT_COSTS)
     bounds = prices.groupBy("rfq_id", "ord").agg(F.max(bad).alias("bad_price"))
-    joined = approvals.join(needed, "rfq_id", "left").join(priced, ["rfq_id", "ord"], "left").join(
+    joined = approvals.join(needed, "rfq_id", "left").join(_priced(prices, lines), ["rfq_id", "ord"], "left").join(
         bounds, ["rfq_id", "ord"], "left"
     )
-    margins = F.col("margin_stock").between(0, MOST_A_MARGIN_IS) & F.col("margin_jit").between(0, MOST_A_MARGIN_IS)
     missing = F.col("lines") - F.coalesce("priced", F.lit(0))
-    refused = (
-        F.when(~margins | F.coalesce("bad_price", F.lit(True)), UNPROCESSABLE)
-        .when(F.col("lines").isNull(), NOT_FOUND)
-        .when(missing > 0, UNPROCESSABLE)
-    )
+    refused = approval_bounds(F.col("margin_stock"), F.col("margin_jit"), F.col("bad_price"), F.col("lines"), missing)
     before = approvals.select("rfq_id").limit(0) if approved is None else approved
     judged = joined.join(_exists(before, ["rfq_id"], "approved_before"), "rfq_id", "left").withColumn(
         "refused", F.coalesce(refused, F.when(F.col("approved_before"), CONFLICT))
@@ -220,10 +253,36 @@ def approve_pricing(
     )
 
 
+def frozen_prices(judged: DataFrame, prices: DataFrame, lines: DataFrame, offers: DataFrame) -> DataFrame:
+    """What every approved request sells for, line by line, with the supplier's offer as it stood at the approval.
+
+    `judged` are approvals with their `status` and `approved_at`; `offers` are judged offers. A request has one approval
+    that took, so an offer meets at most one: the last one before it (none once cleared) is an aggregate by line, not a
+    join of ranges. Lines the request does not have are left out; of two prices for a line the higher one stands.
+    """
+    keys = ["rfq_id", "line_index"]
+    taken = judged.where(F.col("status") == OK).select("rfq_id", "ord", "approved_at", "margin_stock", "margin_jit")
+    priced = (
+        prices.join(lines.select(*keys).distinct(), keys, "left_semi")
+        .groupBy(*keys, "ord").agg(F.max("unit_price").alias("approved_unit_price"))
+        .join(taken, ["rfq_id", "ord"])
+    )
+    until = taken.select("rfq_id", F.col("ord").alias("until"))
+    before = offers.where(F.col("status") == OK).join(until, "rfq_id").where(F.col("ord") < F.col("until"))
+    return priced.drop("ord").join(final_offers(before), keys, "left")
+
+
 def unpriced_lines(approvals: DataFrame, prices: DataFrame, lines: DataFrame) -> DataFrame:
-    """(rfq_id, ord, line_index): the lines each approval left without a price."""
-    needed = approvals.select("rfq_id", "ord").join(lines.select("rfq_id", "line_index").distinct(), "rfq_id")
-    return needed.join(prices.select("rfq_id", "ord", "line_index"), ["rfq_id", "ord", "line_index"], "left_anti")
+    """(rfq_id, ord, line_index): the lines each approval left without a price.
+
+    Counts say which approvals left any; only those meet their request's lines.
+    """
+    needed = lines.groupBy("rfq_id").agg(F.count_distinct("line_index").alias("lines"))
+    counted = approvals.select("rfq_id", "ord").join(needed, "rfq_id").join(_priced(prices, lines), ["rfq_id", "ord"], "left")
+    holes = counted.where(F.coalesce("priced", F.lit(0)) < F.col("lines")).select("rfq_id", "ord").distinct()
+    return holes.join(lines.select("rfq_id", "line_index").distinct(), "rfq_id").join(
+        prices.select("rfq_id", "ord", "line_index"), ["rfq_id", "ord", "line_index"], "left_anti"
+    )
 
 
 def line_totals(lines: DataFrame) -> DataFrame:

@@ -24,9 +24,15 @@ LETTERS = f"""SELECT rfq_id, ord, 'supplier ' || CAST(user_id % 3 AS VARCHAR(10)
 UNION ALL SELECT rfq_id, ord, 'supplier ' || CAST(user_id % 2 AS VARCHAR(10)) FROM ({ACTIONS}) b WHERE event_type <> 'view'"""
 EXISTING = "SELECT o_orderkey AS rfq_id FROM orders WHERE o_orderkey % 6 = 0"
 ASKED = "SELECT rfq_id, line_index FROM rfq_lines WHERE l_suppkey % 3 <> 0"
-APPROVALS = f"""SELECT rfq_id, ord, CAST(user_id % 40 AS DOUBLE) AS margin_stock, CASE WHEN user_id % 13 = 0 THEN CAST(1001 AS DOUBLE) ELSE CAST(5 AS DOUBLE) END AS margin_jit FROM ({ACTIONS}) a"""
+LETTER_LINES = f"""SELECT a.rfq_id, a.ord, a.supplier, l.line_index FROM ({LETTERS}) a JOIN rfq_lines l ON l.rfq_id = a.rfq_id AND (l.line_index + CAST(substr(a.supplier, 10) AS BIGINT)) % 2 = 0"""
+APPROVALS = f"""SELECT rfq_id, ord, acted_at AS approved_at, CAST(user_id % 40 AS DOUBLE) AS margin_stock, CASE WHEN user_id % 13 = 0 THEN CAST(1001 AS DOUBLE) ELSE CAST(5 AS DOUBLE) END AS margin_jit FROM ({ACTIONS}) a"""
 PRICES = f"""SELECT a.rfq_id, a.ord, l.line_index, CASE WHEN a.user_id % 17 = 0 THEN CAST(0 AS DECIMAL(12,2)) ELSE l.unit_price END AS unit_price
     FROM ({ACTIONS}) a JOIN rfq_lines l ON l.rfq_id = a.rfq_id AND (a.event_type <> 'error' OR l.line_index <> 2)"""
+# The same actions one after the other: an event's letters, then its offer, its approval and its confirmation.
+STEPPED = {name: f"SELECT * REPLACE (ord * 4 + {step} AS ord) FROM ({rows})" for name, step, rows in (
+    ("letters", 0, LETTERS), ("letter_lines", 0, LETTER_LINES), ("offers", 1, OFFERS), ("approvals", 2, APPROVALS), ("prices", 2, PRICES), ("confirmations", 3, ACTIONS))}
+# Lines of requests that had letters before any of these actions.
+ASKED_BEFORE = f"SELECT rfq_id, line_index FROM ({ASKED}) z WHERE rfq_id IN ({EXISTING})"
 HEADERS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"imo": {"value": "' || CAST(user_id AS VARCHAR(10)) || '", "raw": "x"}}' WHEN 1 THEN '{"imo": {"raw": "r' || CAST(user_id AS VARCHAR(10)) || '"}}'
     WHEN 2 THEN '{"imo": "bare ' || CAST(user_id AS VARCHAR(10)) || '"}' WHEN 3 THEN '{"imo": {"value": "", "raw": "second"}}' WHEN 4 THEN props ELSE '{"imo": {"value": null}}' END AS header FROM events"""
 RECORDED = """SELECT l.rfq_id, l.line_index, CASE WHEN l.line_index % 2 = 0 THEN '' ELSE l.description END AS verbatim, 'asked: ' || l.description AS query,
@@ -110,6 +116,29 @@ def approvals(t: Inputs) -> DataFrame:
     return _longs(out.select("rfq_id", "ord", "status", "missing"))
 
 
+def stepped(t: Inputs, name: str) -> DataFrame:
+    """The actions of a kind with their place among all actions."""
+    kinds = {"letters": (LETTERS, 0), "letter_lines": (LETTER_LINES, 0), "offers": (OFFERS, 1), "approvals": (APPROVALS, 2), "prices": (PRICES, 2), "confirmations": (ACTIONS, 3)}
+    rows, step = kinds[name]
+    return t.sql(rows).withColumn("ord", F.col("ord") * 4 + step)
+
+
+def letters_that_stand(t: Inputs) -> DataFrame:
+    rfqs = t.orders.select(F.col("o_orderkey").alias("rfq_id"))
+    return g.standing_letters(t.sql(LETTER_LINES), g.record_inquiries(t.sql(LETTERS), rfqs, t.sql(EXISTING)))
+
+
+def frozen(t: Inputs) -> DataFrame:
+    """Letters, offers and approvals in the order they were made, down to the prices frozen."""
+    rfqs = t.orders.select(F.col("o_orderkey").alias("rfq_id"))
+    judged = g.record_inquiries(stepped(t, "letters"), rfqs, t.sql(EXISTING))
+    asked = g.asked_lines(g.standing_letters(stepped(t, "letter_lines"), judged))
+    before = t.sql(ASKED_BEFORE).withColumn("asked_ord", F.lit(-1).cast("long"))
+    offered = g.record_offers(stepped(t, "offers"), t.rfq_lines, asked.unionByName(before))
+    prices = stepped(t, "prices")
+    return g.frozen_prices(g.approve_pricing(stepped(t, "approvals"), prices, t.rfq_lines), prices, t.rfq_lines, offered)
+
+
 def unpriced(t: Inputs) -> DataFrame:
     return g.unpriced_lines(t.sql(APPROVALS), t.sql(PRICES), t.rfq_lines)
 
@@ -222,6 +251,17 @@ APPROVED = f"""prices AS ({PRICES}), needed AS (SELECT rfq_id, count(DISTINCT li
 given AS (SELECT rfq_id, ord, count(DISTINCT line_index) AS n, max(unit_price <= 0 OR unit_price > 10000000) AS bad FROM prices GROUP BY ALL),
 judged AS (SELECT a.*, coalesce(n.n - coalesce(p.n, 0), 0) AS missing, CASE WHEN margin_stock NOT BETWEEN 0 AND 1000 OR margin_jit NOT BETWEEN 0 AND 1000 OR coalesce(p.bad, true) THEN 422
     WHEN n.n IS NULL THEN 404 WHEN n.n > coalesce(p.n, 0) THEN 422 END AS refused FROM ({APPROVALS}) a LEFT JOIN needed n USING (rfq_id) LEFT JOIN given p USING (rfq_id, ord))"""
+# The whole course of the actions: what was asked by then, what was offered by then, what is frozen.
+COURSE = f"""{INQUIRED.replace(f"letters AS ({LETTERS})", f"letters AS ({STEPPED['letters']})")},
+asked AS (SELECT rfq_id, line_index, min(ord) AS asked_ord FROM (SELECT rfq_id, line_index, ord FROM sound JOIN ({STEPPED['letter_lines']}) x USING (rfq_id, ord)
+    UNION ALL SELECT rfq_id, line_index, -1 FROM ({ASKED_BEFORE})) z GROUP BY ALL),
+offered AS (SELECT o.*, CASE WHEN NOT clears AND (unit_price <= 0 OR unit_price > 10000000) THEN 422 WHEN NOT EXISTS (SELECT 1 FROM rfq_lines l WHERE l.rfq_id = o.rfq_id AND l.line_index = o.line_index) THEN 404
+    WHEN NOT clears AND NOT EXISTS (SELECT 1 FROM asked l WHERE l.rfq_id = o.rfq_id AND l.line_index = o.line_index AND l.asked_ord < o.ord) THEN 409 ELSE 204 END AS status FROM ({STEPPED['offers']}) o),
+{APPROVED.replace(f"prices AS ({PRICES})", f"prices AS ({STEPPED['prices']})").replace(f"({APPROVALS})", f"({STEPPED['approvals']})").replace('judged', 'approving')},
+taken AS (SELECT * FROM approving WHERE refused IS NULL QUALIFY row_number() OVER (PARTITION BY rfq_id ORDER BY ord) = 1),
+stood AS (SELECT o.rfq_id, o.line_index, CASE WHEN NOT clears THEN unit_price END AS offer_unit_price, CASE WHEN NOT clears THEN acted_at END AS offer_received_at FROM offered o JOIN taken a ON a.rfq_id = o.rfq_id AND o.ord < a.ord
+    WHERE status = 204 QUALIFY row_number() OVER (PARTITION BY o.rfq_id, o.line_index ORDER BY o.ord DESC) = 1),
+frozen AS (SELECT rfq_id, ord, line_index, unit_price, approved_at, margin_stock, margin_jit, offer_unit_price, offer_received_at FROM taken JOIN prices USING (rfq_id, ord) LEFT JOIN stood USING (rfq_id, line_index))"""
 SAFE = "regexp_extract(filename, '([^\\\\/]*)$', 1)"
 SAFE = f"coalesce(nullif(left(trim(regexp_replace(trim({SAFE}), '[^\\p{{L}}\\p{{N}}_.()\\- ]+', '_', 'g'), '. '), 120), ''), 'attachment')"
 
@@ -245,11 +285,14 @@ SELECT rfq_id, line_index, CASE WHEN verbatim <> '' THEN verbatim ELSE query END
     Query("G5", "confirm_lines", confirmations, f"WITH {CONFIRMED} SELECT rfq_id, line_index, ord, CASE WHEN item_code IS NOT NULL THEN stored_code END AS stored_code, CAST(status AS BIGINT) AS status FROM judged"),
     Query("G5", "final_confirmations", settled, f"WITH {CONFIRMED} SELECT rfq_id, line_index, CASE WHEN max_by(item_code IS NOT NULL, ord) THEN max_by(coalesce(stored_code, ''), ord) END AS confirmed_item_code FROM judged WHERE status = 204 GROUP BY ALL"),
     Query("G6", "record_inquiries", inquiries, f"WITH {INQUIRED} SELECT b.rfq_id, b.ord, letters, CAST(CASE WHEN s.ord IS NOT NULL THEN 204 ELSE 409 END AS BIGINT) AS status FROM batches b LEFT JOIN sound s ON s.rfq_id = b.rfq_id AND s.ord = b.ord"),
+    Query("G6", "standing_letters", letters_that_stand, f"WITH {INQUIRED} SELECT rfq_id, ord, supplier, line_index FROM ({LETTER_LINES}) x JOIN sound USING (rfq_id, ord)"),
     Query("G7", "record_offers", offers, f"WITH {OFFERED} SELECT rfq_id, line_index, ord, CAST(status AS BIGINT) AS status FROM offered"),
     Query("G7", "final_offers", offers_now,
           f"WITH {OFFERED} SELECT rfq_id, line_index, CASE WHEN NOT clears THEN unit_price END AS offer_unit_price, CASE WHEN NOT clears THEN acted_at END AS offer_received_at FROM offered WHERE status = 204 QUALIFY row_number() OVER (PARTITION BY rfq_id, line_index ORDER BY ord DESC) = 1"),
     Query("G8", "approve_pricing", approvals,
           f"WITH {APPROVED}, firsts AS (SELECT rfq_id, min(ord) AS first_ord FROM judged WHERE refused IS NULL GROUP BY ALL) SELECT rfq_id, ord, CAST(coalesce(refused, CASE WHEN ord = first_ord THEN 204 ELSE 409 END) AS BIGINT) AS status, missing FROM judged LEFT JOIN firsts USING (rfq_id)"),
+    Query("G8", "frozen_prices", frozen,
+          f"WITH {COURSE} SELECT rfq_id, line_index, unit_price AS approved_unit_price, approved_at, margin_stock, margin_jit, offer_unit_price, offer_received_at FROM frozen"),
     Query("G8", "unpriced_lines", unpriced, f"WITH prices AS ({PRICES}), approvals AS ({APPROVALS}) SELECT a.rfq_id, a.ord, l.line_index FROM approvals a JOIN rfq_lines l USING (rfq_id) WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE p.rfq_id = a.rfq_id AND p.ord = a.ord AND p.line_index = l.line_index)"),
     Query("G9", "quantity_number", quantities,
           "SELECT rfq_id, line_index, " + NUMBER.replace("{x}", "(CASE line_index % 5 WHEN 1 THEN ' ' || replace(quantity, ',5', ' 000,25') WHEN 2 THEN '1_000' WHEN 3 THEN '-4' ELSE quantity END)") + " AS amount FROM rfq_lines"),

@@ -1,13 +1,14 @@
 """The streaming jobs run over the test tables until nothing is left, beside what a batch gives (survey 2.I)."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoteflow.plans.base import Inputs, Query
 from quoteflow.plans.matching import CODES, CODED, codes_of
-from quoteflow.plans.quoting import ACTIONS, APPROVALS, APPROVED, CONFIRMED, EXISTING, INQUIRED, LETTERS, PRICES
+from quoteflow.plans.quoting import ASKED_BEFORE, CONFIRMED, COURSE, EXISTING, STEPPED, stepped
 from quoteflow.sources.files import publish_snapshot
 from quoteflow.sources.store import shared_folder
 from quoteflow.streaming import actions, catalog, journal, notifications
@@ -76,33 +77,45 @@ def looked_up(t: Inputs) -> DataFrame:
     return t.spark.read.parquet(out).select("rfq_id", "line_index", "customer_code", "found_code", "catalog_rows")
 
 
-class _Batch(Inputs):
-    """The tables, read in the session of a micro-batch, with its events in place of all of them."""
-
-    def __init__(self, base: Inputs, events: DataFrame) -> None:
-        super().__init__(events.sparkSession, base.folder)
-        self.events = events
-
-    def kept(self, label: str, make) -> DataFrame:
-        table = super().kept(label, make)
-        return self.spark.read.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+def actions_of(t: Inputs) -> DataFrame:
+    """All actions as one table, letters and prices inside their action."""
+    keys = ["rfq_id", "ord"]
+    lines = stepped(t, "letter_lines").groupBy(*keys, "supplier").agg(F.sort_array(F.collect_set("line_index")).alias("lines"))
+    letters = stepped(t, "letters").join(lines, [*keys, "supplier"], "left").groupBy(*keys).agg(
+        F.collect_list(F.struct("supplier", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines"))).alias("letters")
+    )
+    prices = stepped(t, "prices").groupBy(*keys).agg(
+        F.collect_list(F.struct("line_index", F.col("unit_price").cast("decimal(14,2)").alias("unit_price"))).alias("prices")
+    )
+    confirmations = stepped(t, "confirmations").withColumn("acted_at", F.col("acted_at").cast("timestamp_ntz"))
+    offered = stepped(t, "offers").withColumn("acted_at", F.col("acted_at").cast("timestamp_ntz"))
+    approvals = stepped(t, "approvals").join(prices, keys, "left").withColumn("acted_at", F.col("approved_at").cast("timestamp_ntz"))
+    parts = [
+        (actions.INQUIRY, letters.join(confirmations.select("rfq_id", (F.col("ord") - 3).alias("ord"), "acted_at"), keys)),
+        (actions.OFFER, offered),
+        (actions.APPROVAL, approvals.withColumn("prices", F.coalesce("prices", F.array().cast(prices.schema["prices"].dataType)))),
+        (actions.CONFIRMATION, confirmations),
+    ]
+    kinds = t.spark.createDataFrame([], actions.ACTIONS).schema
+    shown = [
+        part.withColumn("kind", F.lit(kind)).select(
+            *[(F.col(f.name) if f.name in part.columns or f.name == "kind" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]
+        )
+        for kind, part in parts
+    ]
+    return reduce(DataFrame.unionByName, shown)
 
 
 def acted(t: Inputs) -> DataFrame:
-    def parts(batch: DataFrame) -> dict[str, DataFrame]:
-        b = _Batch(t, batch)
-        return {
-            "letters": b.sql(LETTERS), "approvals": b.sql(APPROVALS), "prices": b.sql(PRICES),
-            "confirmations": b.sql(ACTIONS),
-        }
-
     out = _place(t, "actions")
     rfqs = t.orders.select(F.col("o_orderkey").alias("rfq_id"))
-    actions.actions_stream(
-        _arriving(t, t.events, "event_id", "events"), parts, t.rfq_lines, rfqs, codes_of(t), t.sql(EXISTING), out, f"{out}-log"
-    ).awaitTermination()
-    read = t.spark.read.parquet(f"{out}/statuses")
-    return read.select("kind", "rfq_id", "line_index", "ord", F.col("status").cast("long").alias("status"))
+    stream = _arriving(t, actions_of(t), "ord", "events")
+    actions.actions_stream(stream, t.rfq_lines, rfqs, codes_of(t), t.sql(EXISTING), t.sql(ASKED_BEFORE), out, f"{out}-log").awaitTermination()
+    read = t.spark.read.parquet(out)
+    return read.select(
+        "kind", "rfq_id", "line_index", "ord", F.col("status").cast("long").alias("status"), "stored_code", "supplier",
+        "unit_price", "margin_stock", "offer_unit_price", "offer_received_at",
+    )
 
 
 QUERIES = [
@@ -114,8 +127,13 @@ QUERIES = [
     Query("I4", "refresh_catalog", looked_up,
           f"WITH {CODES},\n{CODED} SELECT rfq_id, line_index, customer_code, found_code, (SELECT count(*) FROM catalog_rows) AS catalog_rows FROM coded"),
     Query("I5", "workflow_actions_stream", acted,
-          f"""WITH {CONFIRMED},\n{INQUIRED},\n{APPROVED.replace('judged', 'approving')}, firsts AS (SELECT rfq_id, min(ord) AS first_ord FROM approving WHERE refused IS NULL GROUP BY ALL)
-SELECT 'inquiry' AS kind, b.rfq_id, NULL::BIGINT AS line_index, b.ord, CAST(CASE WHEN s.ord IS NOT NULL THEN 204 ELSE 409 END AS BIGINT) AS status FROM batches b LEFT JOIN sound s ON s.rfq_id = b.rfq_id AND s.ord = b.ord
-UNION ALL SELECT 'approval', rfq_id, NULL, ord, coalesce(refused, CASE WHEN ord = first_ord THEN 204 ELSE 409 END) FROM approving LEFT JOIN firsts USING (rfq_id)
-UNION ALL SELECT 'confirmation', rfq_id, line_index, ord, status FROM judged"""),
+          f"""WITH {CONFIRMED},\n{COURSE}, told AS (
+SELECT 'inquiry' AS kind, rfq_id, NULL AS line_index, b.ord, CASE WHEN s.ord IS NOT NULL THEN 204 ELSE 409 END AS status, NULL AS stored_code, NULL AS supplier, NULL AS unit_price, NULL AS margin_stock, NULL AS offer_unit_price, NULL AS offer_received_at FROM batches b LEFT JOIN sound s USING (rfq_id, ord)
+UNION ALL SELECT 'letter', rfq_id, line_index, ord, NULL, NULL, supplier, NULL, NULL, NULL, NULL FROM sound JOIN ({STEPPED['letter_lines']}) x USING (rfq_id, ord)
+UNION ALL SELECT 'offer', rfq_id, line_index, ord, status, NULL, NULL, NULL, NULL, NULL, NULL FROM offered
+UNION ALL SELECT 'approval', rfq_id, NULL, a.ord, coalesce(a.refused, CASE WHEN t.ord = a.ord THEN 204 ELSE 409 END), NULL, NULL, NULL, a.margin_stock, NULL, NULL FROM approving a LEFT JOIN taken t USING (rfq_id)
+UNION ALL SELECT 'frozen', rfq_id, line_index, ord, NULL, NULL, NULL, unit_price, margin_stock, offer_unit_price, offer_received_at FROM frozen
+UNION ALL SELECT 'confirmation', rfq_id, line_index, ord * 4 + 3, status, CASE WHEN item_code IS NOT NULL THEN stored_code END, NULL, NULL, NULL, NULL, NULL FROM judged)
+SELECT kind, rfq_id, CAST(line_index AS BIGINT) AS line_index, ord, CAST(status AS BIGINT) AS status, CAST(stored_code AS VARCHAR) AS stored_code, CAST(supplier AS VARCHAR) AS supplier, CAST(unit_price AS DECIMAL(14,2)) AS unit_price,
+  CAST(margin_stock AS DOUBLE) AS margin_stock, CAST(offer_unit_price AS DECIMAL(14,2)) AS offer_unit_price, CAST(offer_received_at AS TIMESTAMP) AS offer_received_at FROM told"""),
 ]
