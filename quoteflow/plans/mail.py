@@ -329,6 +329,18 @@ def list_cells(t: Inputs) -> DataFrame:
     return _longs(s.html_cells(t.pages, "page_id", "ul", "li", "a"))
 
 
+def nested_cells(t: Inputs) -> DataFrame:
+    """A page for each request: a table of its lines, in it one for each line, and in that one another; little is closed."""
+    line = F.format_string(
+        '<TR class="r"><td>%s<td>%s<table><tbody><tr><td>%s</td><td width=1>u:<!-- <table> --><table><td>%s</table>&amp;<b>%s</b></table> left</tr>',
+        "description", "quantity", "source", "uom", "line_index",
+    )
+    rows = t.rfq_lines.groupBy("rfq_id").agg(F.array_sort(F.collect_list(F.struct("line_index", line.alias("tr")))).alias("rows"))
+    head = "<p>a</p></table><table><thead><tr><th>Item</th><th> Qty &amp; unit</thead>"
+    body = F.array_join(F.transform("rows", lambda one: one["tr"]), "\n")
+    return _longs(s.html_cells(rows.select("rfq_id", F.concat(F.lit(head), body, F.lit("</table><td>lost")).alias("html")), "rfq_id"))
+
+
 # --- check SQL ----------------------------------------------------------------------------------------------------------
 
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -488,6 +500,12 @@ FROM (SELECT *, list_filter(string_split(text, chr(10))[1:5], lambda l: trim(l)
 rows AS (SELECT page_id, table_no, unnest(regexp_extract_all(block, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1)) AS line, generate_subscripts(regexp_extract_all(block, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1), 1) - 1 AS row_no FROM lists),
 cells_of AS (SELECT page_id, table_no, row_no, unnest(regexp_extract_all(line, '(?is)<a\\b[^>]*>(.*?)</a\\s*>', 1)) AS value, generate_subscripts(regexp_extract_all(line, '(?is)<a\\b[^>]*>(.*?)</a\\s*>', 1), 1) - 1 AS col_no FROM rows)
 SELECT page_id, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, trim(replace(value, '&amp;', '&')) AS value FROM cells_of WHERE trim(value) <> ''"""),
+    Query("A9", "nested_cells", nested_cells,
+          """WITH lines AS (SELECT *, row_number() OVER (PARTITION BY rfq_id ORDER BY line_index) AS n FROM rfq_lines), cells_of AS (
+SELECT rfq_id, 0 AS table_no, 0 AS row_no, 0 AS col_no, 'Item' AS value FROM lines WHERE n = 1 UNION ALL SELECT rfq_id, 0, 0, 1, 'Qty & unit' FROM lines WHERE n = 1
+UNION ALL SELECT rfq_id, 0, n, 0, description FROM lines UNION ALL SELECT rfq_id, 0, n, 1, quantity || ' left' FROM lines
+UNION ALL SELECT rfq_id, 2 * n - 1, 0, 0, source FROM lines UNION ALL SELECT rfq_id, 2 * n - 1, 0, 1, 'u:&' || CAST(line_index AS VARCHAR) FROM lines UNION ALL SELECT rfq_id, 2 * n, 0, 0, uom FROM lines)
+SELECT rfq_id, CAST(table_no AS BIGINT) AS table_no, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, value FROM cells_of"""),
     Query("B1", "normalize_text", normalised,
           "SELECT doc_id, " + normal_sql("replace('  ' || replace(text, chr(10), ' ' || chr(9) || chr(13) || chr(10)) || chr(13) || chr(13) || chr(10) || ' ' || chr(10) || chr(10) || ' end ﬁn ', 'ﬁ', 'fi')") + " AS text FROM documents"),
     Query("B2", "split_headers", headers, f"WITH {HEAD} SELECT message_id, h_from, h_to, h_cc, h_subject, h_attachments, headers, length(body) AS body_chars FROM split"),
