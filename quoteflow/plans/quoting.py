@@ -317,7 +317,15 @@ SELECT email_id, ord, part FROM ({PART_NOW}) WHERE email_id NOT IN (SELECT email
 UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), count(*) FROM orders GROUP BY o_orderkey HAVING count(*) > 1
 UNION ALL SELECT 'record id', id, count(*) FROM (SELECT strftime(o_orderdate, '%Y-%m-%dT%H-%M-%SZ') || '__' || left(lpad(CAST(o_custkey AS VARCHAR), 10, 'f'), 8) AS id FROM orders) GROUP BY id HAVING count(*) > 1"""),
     Query("G16", "safe_names", lambda t: t.sql(FILES).select("email_id", "ord", r.safe_name(F.col("filename")).alias("safe")), f"SELECT email_id, ord, {SAFE} AS safe FROM ({FILES.replace(chr(92) * 2, chr(92))})"),
-    Query("G17", "saved_names", saved, None, "names are taken in order until one is free; checked row by row in the tests"),
+    # One file after the other, each with all names taken before it.
+    Query("G17", "saved_names", saved,
+          f"""WITH RECURSIVE named AS (SELECT email_id, ord, filename, {SAFE} AS safe, row_number() OVER (PARTITION BY email_id ORDER BY ord) AS n FROM ({FILES.replace(chr(92) * 2, chr(92))})),
+parted AS (SELECT *, CASE WHEN contains(safe, '.') THEN regexp_extract(safe, '^(.*)\\.[^.]*$', 1) ELSE '' END AS stem, regexp_extract(safe, '[^.]*$') AS ending FROM named),
+one_by_one AS (SELECT email_id, CAST(0 AS BIGINT) AS n, ['body.txt', 'email.json'] AS taken, CAST(NULL AS BIGINT) AS ord, '' AS filename, '' AS saved_as FROM (SELECT DISTINCT email_id FROM named)
+  UNION ALL SELECT email_id, n, list_append(taken, lower(saved_as)), ord, filename, saved_as FROM (SELECT p.email_id, p.n, taken, p.ord, p.filename,
+    list_filter(list_transform(range(1, len(taken) + 2), lambda k: CASE WHEN k = 1 THEN safe WHEN stem <> '' THEN stem || ' (' || k || ').' || ending ELSE safe || ' (' || k || ')' END), lambda x: NOT list_contains(taken, lower(x)))[1] AS saved_as
+    FROM one_by_one o JOIN parted p ON p.email_id = o.email_id AND p.n = o.n + 1) z)
+SELECT email_id, ord, filename, saved_as FROM one_by_one WHERE n > 0"""),
     Query("G18", "fold_journal", folded,
           """WITH kinds AS (SELECT ord, decision_id, coalesce(type, 'decision') AS type, value FROM journal),
 last AS (SELECT decision_id, max_by(value, ord) FILTER (type = 'extraction') AS extraction_value, max_by(value, ord) FILTER (type = 'delivery') AS delivery_value, max(ord) FILTER (type = 'delivery') AS delivery_ord FROM kinds GROUP BY decision_id)

@@ -1,5 +1,6 @@
 """Message text, values and rules, each against rows written down by hand."""
 
+import random
 import datetime
 
 import pytest
@@ -167,6 +168,22 @@ def test_saved_names_equal_one_by_one(spark):
     assert list(safe) == ["env", "r_q.xlsx", "attachment", "attachment"]
 
 
+def test_saved_names_of_large_and_tangled_mails(spark):
+    draw = random.Random(6)
+    forms = ["a.txt", "A.TXT", "a (2).txt", "a (3).txt", "a (2) (2).txt", "a (02).txt", "a", "a (2)", "a (2) (3)", "body.txt", "body (2).txt", "b.c.txt", "b.c (2).txt"]
+    mails = {n: draw.choices(forms, k=draw.randint(1, 40)) for n in range(60)}
+    mails[100] = ["same.pdf"] * 10_000
+    mails[101] = [name for i in range(300) for name in (f"t ({i}).x", "t.x")]
+    mails[102] = [name for i in range(2, 40) for name in (f"t ({40 - i}).x", "t.x", "t (2).x")]
+    files = spark.createDataFrame(
+        [(m, i, n) for m, names in mails.items() for i, n in enumerate(names)], "email_id long, ord long, filename string"
+    )
+    found = records.saved_names(files.repartition(6)).orderBy("email_id", "ord").collect()
+    for mail, names in mails.items():
+        wanted = [f"same ({i}).pdf" if i > 1 else "same.pdf" for i in range(1, 10_001)] if mail == 100 else brute_names(names)
+        assert [r.saved_as for r in found if r.email_id == mail] == wanted
+
+
 def test_any_page_header_or_subject(spark):
     page = "<p>&#128512;&#X41;&#70000;&#146;&#0;&eacute;&amp;lt;</p>" + "<b></b>" * 100_000 + "z"
     people = ", ".join(f'"a, {i}" <u{i}@b.c>' for i in range(50_000))
