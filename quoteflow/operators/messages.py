@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions import text as x
 from quoteflow.functions.values import strip
+from quoteflow.operators.common import number_rows, running_sum
+from quoteflow.sources.store import stored
 
 # Fixed values.
 CHUNK_CHARS = 4000
@@ -81,32 +83,52 @@ def recent_history(quoted: DataFrame, key: str, shown: int = QUOTED_SHOWN) -> Da
     return top.join(counts, key).withColumn("omitted", F.greatest(F.col("quoted_count") - shown, F.lit(0)))
 
 
+def _next_starts(sizes: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, n, next): where the part after one that begins with page n begins, if there is such a page.
+
+    That is the first page whose running length goes more than `limit` past what lies before n. Running lengths are cut
+    into stretches of `limit` characters, which hold at most so many pages; a page is looked for in the stretch its length
+    points to, and else is the first page of the next stretch that has one.
+    """
+    value = F.col("upto") - F.col("chars") + limit + 1
+    ends = sizes.select(key, F.floor(F.col("upto") / limit).alias("stretch"), F.col("upto").alias("value"), F.col("n").alias("page"))
+    asked = sizes.select(key, F.floor(value / limit).alias("stretch"), value.alias("value"), "n", "chars")
+    both = ends.unionByName(asked, allowMissingColumns=True)
+    # Of a page and a question of one value the page comes first, as the values run down.
+    onwards = Window.partitionBy(key, "stretch").orderBy(F.desc("value"), F.col("page").asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    found = both.withColumn("here", F.last("page", ignorenulls=True).over(onwards)).where("n is not null")
+    later = Window.partitionBy(key).orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = both.groupBy(key, "stretch").agg(F.min("page").alias("first")).withColumn("after", F.min("first").over(later))
+    after = heads.select(key, "stretch", "after")
+    met = found.join(after, [key, "stretch"])
+    following = F.when(F.col("chars") > limit, F.col("n") + 1).otherwise(F.coalesce("here", "after"))
+    return met.select(key, "n", following.alias("next")).where("next is not null")
+
+
 def chunk_parts(pages: DataFrame, key: str, limit: int = CHUNK_CHARS) -> DataFrame:
     """Pages with the part they are read in: pages are packed in order while they fit, one too long stands alone.
 
     `pages` carries `page_no` and `text`; pages that say nothing are left out. Where a part begins depends on where the
-    one before ended, so the lengths of a document's pages (not their texts) are folded in order.
+    one before ended. Each page first learns where the next part would begin if one began with it; following these from
+    the first page, in jumps twice as long each round, finds the pages parts really begin with. No document is gathered
+    in one row, and a document of n parts takes log2(n) rounds.
     """
-    filled = pages.where(strip("text") != "").withColumn("chars", F.length("text"))
-    sizes = filled.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_no", "chars"))).alias("sizes"))
-
-    def place(state: Column, page: Column) -> Column:
-        full = (state["held"] > 0) & (state["size"] + page["chars"] > limit)
-        part = F.when(full, state["part"] + 1).otherwise(state["part"])
-        return F.struct(
-            part.alias("part"),
-            F.when(full, F.lit(1)).otherwise(state["held"] + 1).alias("held"),
-            F.when(full, page["chars"]).otherwise(state["size"] + page["chars"]).alias("size"),
-            F.concat(state["parts"], F.array(part)).alias("parts"),
-        )
-
-    start = F.struct(
-        F.lit(1).alias("part"), F.lit(0).alias("held"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("parts")
-    )
-    packed = F.aggregate("sizes", start, place, lambda state: state["parts"])
-    placed = sizes.select(key, F.explode(F.arrays_zip(F.col("sizes.page_no").alias("page_no"), packed.alias("part_no"))).alias("p")).select(
-        key, "p.page_no", "p.part_no"
+    filled = pages.where(strip("text") != "").withColumn("chars", F.length("text").cast("long"))
+    numbered = number_rows(filled.select(key, "page_no", "chars"), [key], "page_no", "n")
+    sizes = stored(running_sum(numbered, [key], "n", "chars", "upto"), "sizes")
+    starts = sizes.where("n = 1").select(key, "n")
+    jumps = stored(_next_starts(sizes, key, limit), "jumps")
+    while not jumps.isEmpty():
+        reached = starts.join(jumps, [key, "n"]).select(key, F.col("next").alias("n"))
+        starts = stored(starts.unionByName(reached), "starts")
+        further = jumps.select(key, F.col("n").alias("next"), F.col("next").alias("further"))
+        jumps = stored(jumps.join(further, [key, "next"]).select(key, "n", F.col("further").alias("next")), "jumps")
+    begun = sizes.join(starts.withColumn("begins", F.lit(1).cast("long")), [key, "n"], "left").select(
+        key, "page_no", "n", F.coalesce("begins", F.lit(0).cast("long")).alias("begins")
     )
+    placed = running_sum(begun, [key], "n", "begins", "part").select(key, "page_no", F.col("part").cast("int").alias("part_no"))
     return filled.drop("chars").join(placed, [key, "page_no"])
 
 

@@ -230,3 +230,31 @@ def test_blank_keys_meet_nothing_and_stay(spark):
     named = spark.createDataFrame([("a", "A"), ("", "never")], "key string, name string")
     found = {row["id"]: row["name"] for row in left_join_filled(rows, named, "key").collect()}
     assert found == {1: "A", 2: None, 3: None, 4: None}
+
+
+def packed(lengths, limit):
+    parts, part, held, size = [], 1, 0, 0
+    for chars in lengths:
+        if held and size + chars > limit:
+            part, held, size = part + 1, 0, 0
+        held, size = held + 1, size + chars
+        parts.append(part)
+    return parts
+
+
+def test_parts_of_any_pages(spark):
+    draw = random.Random(9)
+    docs = {n: [draw.choice([1, 2, 7, 10, 11, 40]) for _ in range(draw.randint(1, 90))] for n in range(40)}
+    docs |= {90: [1] * 100, 91: [30] * 5, 92: [10, 10, 1, 9, 10], 93: [4]}
+    rows = [(doc, 3 * i, "x" * chars) for doc, lengths in docs.items() for i, chars in enumerate(lengths)]
+    pages = spark.createDataFrame([*rows, (93, 1, "  "), (94, 0, None)], "doc long, page_no long, text string").repartition(5)
+    found = messages.chunk_parts(pages, "doc", limit=10).collect()
+    assert {(r.doc, r.page_no): r.part_no for r in found} == {
+        (doc, 3 * i): part for doc, lengths in docs.items() for i, part in enumerate(packed(lengths, 10))
+    }
+
+
+def test_parts_of_a_hundred_thousand_pages(spark):
+    pages = spark.range(100_000).select(F.lit(1).alias("doc"), F.col("id").alias("page_no"), F.repeat(F.lit("y"), (F.col("id") * 37 % 400).cast("int") + 1).alias("text"))
+    found = messages.chunk_parts(pages, "doc").select("page_no", "part_no").orderBy("page_no").collect()
+    assert [r.part_no for r in found] == packed([i * 37 % 400 + 1 for i in range(100_000)], 4000)
