@@ -7,8 +7,8 @@ reference, as a suffix automaton in which every state knows the lowest document
 the shard's documents are streamed through it. Where many documents meet one shard they are cut into pieces and the
 reference is sent to each piece (as text, a tenth of its automaton's size, which each task builds).
 
-Nothing is quadratic in copies: equal texts are one, a stretch meets one shard, and anchors with very much text around
-them are dealt by whole windows. Hashes only ever bring texts together; what is removed is decided by words.
+Nothing is quadratic in copies: equal texts are one, a stretch meets one shard, and stretches of an anchor with very much
+text around it are cut anew by longer anchors, at last by whole windows. Hashes only ever bring texts together; what is removed is decided by words.
 """
 
 import numpy as np
@@ -117,6 +117,20 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes one after the other, and their bounds."""
+    values = texts.cast(pa.large_binary())
+    edges = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    held = values.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[edges[0] : edges[-1]] if held is not None else np.empty(0, np.uint8)
+    return data, edges - edges[0]
+
+
+def between(anchor: int, window: int) -> int:
+    """The length of an anchor halfway to a whole window."""
+    return min(window, max(anchor + 1, (anchor + window) // 2))
+
+
 def anchored(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """`texts` (doc, text, h1, h2) with `n_words`, and lists `anchors`, `starts` and `counts` of its stretches."""
     names = texts.columns
@@ -126,12 +140,8 @@ def anchored(texts: DataFrame, window: int, anchor: int) -> DataFrame:
         found = Anchors(window, anchor)
 
         def one(piece):
-            values = piece.column(piece.schema.get_field_index("text")).cast(pa.large_binary())
-            rows = len(values)
-            edges = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + rows + 1]
-            held = values.buffers()[2]
-            data = np.frombuffer(held, np.uint8)[edges[0] : edges[-1]] if held is not None else np.empty(0, np.uint8)
-            hashes, text = found.words(data, edges - edges[0])
+            rows = piece.num_rows
+            hashes, text = found.words(*_bytes(piece.column(piece.schema.get_field_index("text"))))
             anchors, owner, first, count = found.stretches(hashes, text)
             yield {
                 **{name: piece.column(piece.schema.get_field_index(name)) for name in names},
@@ -266,16 +276,28 @@ def _passages(texts: DataFrame, window: int) -> DataFrame:
     return map_batches(texts, "row long, doc long, anchor long, start int, words int, passage string", task)
 
 
-def _by_window(passages: DataFrame, hot: DataFrame, window: int) -> DataFrame:
-    """Passages of hot anchors as single windows, each with its own hash as its anchor."""
-    words = F.split("passage", " ")
-    places = F.sequence(F.lit(0), F.size("words_of") - window)
-    cut = passages.join(hot, "anchor", "left_semi").withColumn("words_of", words).withColumn("at", F.explode(places))
-    one = F.array_join(F.slice("words_of", F.col("at") + 1, window), " ")
-    new = {"anchor": F.xxhash64(one), "start": F.col("start") + F.col("at"), "words": F.lit(window), "passage": one}
-    return passages.join(hot, "anchor", "left_anti").unionByName(
-        cut.select(*[new.get(name, F.col(name)).alias(name) for name in passages.columns])
-    )
+def _recut(passages: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Passages cut anew by longer anchors; an anchor as long as a window makes every window a passage."""
+
+    def task():
+        found = Anchors(window, anchor)
+
+        def one(piece):
+            column = {name: piece.column(piece.schema.get_field_index(name)) for name in piece.schema.names}
+            data, edges = _bytes(column["passage"])
+            anchors, owner, first, count = found.stretches(*found.words(data, edges))
+            lengths = count + (window - 1)
+            words = [text.as_py().split() for text in column["passage"].cast(pa.large_binary())]
+            cut = [b" ".join(words[i][at : at + n]) for i, at, n in zip(owner.tolist(), first.tolist(), lengths.tolist())]
+            yield {
+                "row": column["row"].to_numpy()[owner], "doc": column["doc"].to_numpy()[owner], "anchor": anchors,
+                "start": column["start"].to_numpy()[owner] + first, "words": lengths,
+                "passage": pa.array(cut, pa.binary()).cast(pa.string()),
+            }
+
+        return one
+
+    return map_batches(passages, passages.schema, task)
 
 
 def dedup_substrings(
@@ -296,8 +318,8 @@ def dedup_substrings(
     empty table none; other columns, whatever their names, are left out. Memory of a task is bounded by the words of a
     shard and a piece, or by its longest text.
     """
-    if not 0 < anchor <= window:
-        raise ValueError("an anchor lies within a window")
+    if not 0 < anchor < window:
+        raise ValueError("an anchor is shorter than a window")
     shown = plain_text(text)
     given = df.select(
         F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), shown.alias("text"),
@@ -331,11 +353,15 @@ def dedup_substrings(
         return rows.groupBy("anchor", "passage").agg(F.min("doc").alias("doc"), F.first("words").alias("words"))
 
     reference = stored(distinct(passages), "reference")
-    hot = stored(reference.groupBy("anchor").agg(F.sum("words").alias("n")).where(F.col("n") > anchor_words).select("anchor"), "hot")
-    if not hot.isEmpty():
+    for longer in [between(anchor, window), window]:
+        size = reference.groupBy("anchor").agg(F.sum("words").alias("n"))
+        hot = stored(size.where(F.col("n") > anchor_words).select("anchor"), "hot")
+        if hot.isEmpty():
+            break
         hot = small_side(hot)
-        passages = stored(_by_window(passages, hot, window), "passages")
-        reference = stored(distinct(_by_window(reference.withColumn("start", F.lit(0)), hot, window)), "reference")
+        cut = stored(_recut(passages.join(hot, "anchor", "left_semi").select(passages.columns), window, longer), "cut")
+        passages = passages.join(hot, "anchor", "left_anti").select(passages.columns).unionByName(cut)
+        reference = stored(reference.join(hot, "anchor", "left_anti").select(reference.columns).unionByName(distinct(cut)), "reference")
     spans = stored(_match(reference, passages, window, shard_words, piece_words), "spans")
 
     # A row with text and key of another has that one's spans.
