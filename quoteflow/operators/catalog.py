@@ -1,20 +1,19 @@
 """The product list: its columns, its items, its code keys and its word lists."""
 
+import math
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoteflow.functions.values import strip
 from quoteflow.functions.words import normalize_code, tokens
-from quoteflow.operators.common import first_wins, left_join_filled
+from quoteflow.operators.common import first_wins, left_join_filled, number_all
 
 
-# Posting lists are cut into stretches of this many catalogue positions.
-SEGMENT = 1 << 20
-# Products per word whose best values are kept.
-CHAMPIONS = 20
+# Fewest bags in a block of a small catalogue.
+LEAST_BLOCK = 16
 # Fixed values.
 K1 = 1.2
 B = 0.75
@@ -120,43 +119,51 @@ def word_bags(items: DataFrame, with_customer_wording: bool = False) -> DataFram
     )
 
 
-def bag_postings(bags: DataFrame) -> DataFrame:
-    """(word, segment, position, product_key, tf, row_length, copies): no list is longer than one segment."""
-    exploded = bags.select(
-        "position", "product_key", "copies", F.size("bag").alias("row_length"), F.explode("bag").alias("word")
-    )
-    counted = exploded.groupBy("position", "product_key", "copies", "row_length", "word").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    return counted.withColumn("segment", F.floor(F.col("position") / F.lit(SEGMENT)).cast("long"))
-
-
 def collection_totals(bags: DataFrame) -> DataFrame:
-    """One row: how many catalogue rows there are and how long they are on average."""
+    """One row: how many catalogue rows there are, how long they are on average, and how many bags they make."""
     rows = F.sum("copies")
     return bags.agg(
-        rows.alias("rows"), (F.sum(F.col("copies") * F.size("bag")) / rows).alias("average_length")
+        rows.alias("rows"), (F.sum(F.col("copies") * F.size("bag")) / rows).alias("average_length"),
+        F.count(F.lit(1)).alias("bags"),
     )
 
 
-def word_statistics(postings: DataFrame, totals: DataFrame) -> DataFrame:
-    """Per word: frequencies counted in rows, the segments that hold it, and what it can give a row.
+def word_statistics(bags: DataFrame, totals: DataFrame) -> DataFrame:
+    """(word, df, idf): frequencies counted in catalogue rows."""
+    said = bags.select("copies", F.explode(F.array_distinct("bag")).alias("word"))
+    counted = said.groupBy("word").agg(F.sum("copies").alias("df"))
+    return counted.withColumn("idf", inverse_frequency(totals.select("rows").scalar(), F.col("df")))
+
+
+def place_bags(bags: DataFrame, words: DataFrame, totals: DataFrame, block_bags: int | None = None) -> DataFrame:
+    """The bags with their `block`: bags stand in the order of their words, rarest first, and are cut into equal blocks.
 
-    `best` is the most a row gets out of the word before its weight; `floors` are the best values of twenty products,
-    highest first: a query with this word has that many products scoring at least so much.
+    Bags that share their rarer words so share a block, and most blocks hold few of the words a query has. Words of fewer
+    rows than a block (a product's code) lie in few blocks anyhow and do not order. There are about as many blocks as
+    bags in one.
     """
-    counted = postings.groupBy("word", "segment").agg(F.sum("copies").alias("df")).groupBy("word").agg(
-        F.sum("df").alias("df"), F.collect_list("segment").alias("segments")
+    if block_bags is None:
+        block_bags = max(LEAST_BLOCK, math.isqrt(totals.first()["bags"] or 0))
+    said = bags.select("position", F.explode(F.array_distinct("bag")).alias("word")).join(words.select("word", "df"), "word")
+    telling = F.collect_list(F.when(F.col("df") >= block_bags, F.struct("df", "word")))
+    rarest = F.array_join(F.transform(F.array_sort(telling), lambda one: one["word"]), " ")
+    order = said.groupBy("position").agg(rarest.alias("words"))
+    placed = number_all(order, ["words", "position"], "place")
+    return bags.join(
+        placed.select("position", F.floor((F.col("place") - 1) / F.lit(block_bags)).cast("long").alias("block")), "position"
     )
+
+
+def bag_postings(bags: DataFrame) -> DataFrame:
+    """(word, block, position, product_key, tf, row_length): a word's list is cut by block."""
+    exploded = bags.select("position", "product_key", "block", F.size("bag").alias("row_length"), F.explode("bag").alias("word"))
+    return exploded.groupBy("position", "product_key", "block", "row_length", "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def block_heads(postings: DataFrame, totals: DataFrame) -> DataFrame:
+    """(word, block, best): the most that a row of the block gets out of the word, before weight and frequency."""
     gain = saturation(F.col("tf"), F.col("row_length"), totals.select("average_length").scalar())
-    products = postings.groupBy("word", "product_key").agg(F.max(gain).alias("gain"))
-    highest = Window.partitionBy("word").orderBy(F.desc("gain"))
-    champions = products.withColumn("nth", F.row_number().over(highest)).where(F.col("nth") <= CHAMPIONS)
-    floors = champions.groupBy("word").agg(F.sort_array(F.collect_list("gain"), asc=False).alias("floors"))
-    total = totals.select("rows").scalar()
-    return counted.join(floors, "word").withColumns(
-        {"idf": inverse_frequency(total, F.col("df")), "best": F.col("floors")[0]}
-    )
+    return postings.groupBy("word", "block").agg(F.max(gain).alias("best"))
 
 
 def saturation(tf: Column, length: Column, average: Column) -> Column:

@@ -304,8 +304,7 @@ def ranks_leaving_one_out(cases: DataFrame, index: SearchIndex) -> DataFrame:
     )
     hits = (
         terms.join(cut, ["wording", "expected_key"])
-        .join(index.words.select("word", F.explode("segments").alias("segment")), "word")
-        .join(index.postings.drop("copies"), ["word", "segment"])
+        .join(index.postings, "word")
         .withColumn("idf", inverse_frequency(count, F.col("df")))
     )
     # A bag has one product and one wording, so all of its rows lose the sentence's words or none does.

@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 
 from quoteflow.functions.words import normalize_code, tokens
 from quoteflow.operators.catalog import (
-    CHAMPIONS,
-    SEGMENT,
     bag_postings,
+    block_heads,
     collection_totals,
     index_words,
     lookup_code,
+    place_bags,
     saturation,
     word_bags,
     word_statistics,
 )
+from quoteflow.operators.common import broadcast_if_small
 from quoteflow.sources.store import stored
 
-# A word in more rows than this is not looked through when others of the query suffice.
-HOT_ROWS = SEGMENT
+# Blocks of a query that are scored first, to learn what the others must reach.
+PROBED = 2
+# Queries that hold one word and meet its blocks in one piece.
+QUERIES_PER_PIECE = 5_000
 # More than rounding can move a score.
 SLACK = 0.0002
 
@@ -94,71 +97,90 @@ def term_score(weight: Column, idf: Column, tf: Column, length: Column, average:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """The stored tables a search reads: items, postings of their bags, word statistics and one row of totals."""
+    """The stored tables a search reads.
+
+    Items; their bags, in blocks of like bags; postings of the bags by word and block; the greatest impact of each word
+    in each block; word statistics; and one row of totals.
+    """
 
     items: DataFrame
     bags: DataFrame
     postings: DataFrame
+    heads: DataFrame
     words: DataFrame
     totals: DataFrame
 
 
-def build_index(items: DataFrame, with_customer_wording: bool = False) -> SearchIndex:
+def build_index(items: DataFrame, with_customer_wording: bool = False, block_bags: int | None = None) -> SearchIndex:
     """Index the items once; every search after this reads the stored tables."""
-    bags = stored(word_bags(items, with_customer_wording), "bags")
-    totals = stored(collection_totals(bags), "totals")
+    folded = stored(word_bags(items, with_customer_wording), "bags")
+    totals = stored(collection_totals(folded), "totals")
+    words = stored(word_statistics(folded, totals), "words")
+    bags = stored(place_bags(folded, words, totals, block_bags), "placed-bags")
     postings = stored(bag_postings(bags), "postings")
-    return SearchIndex(items, bags, postings, stored(word_statistics(postings, totals), "words"), totals)
+    return SearchIndex(items, bags, postings, stored(block_heads(postings, totals), "heads"), words, totals)
 
 
-def leading_terms(terms: DataFrame, k: int | None, hot_rows: int) -> DataFrame:
-    """Terms with `leads`: whether rows are looked for through this word.
+def in_pieces(terms: DataFrame, lists: DataFrame, ask: list[str], per_piece: int = QUERIES_PER_PIECE) -> DataFrame:
+    """`terms` joined with `lists` on `word`; a word of very many queries meets its list in pieces of them.
 
-    A word in very many rows need not be: k products reach `theta` through one word of the query alone, so rows that
-    hold only words whose best values together stay below it cannot be among the k best. Those words are then added up
-    for the rows found through the others. A query has as many terms as its text has words.
+    `ask` names the columns that tell queries apart.
     """
-    if k is None or k > CHAMPIONS:
-        return terms.withColumn("leads", F.lit(True))
-    worth = F.col("weight") * F.col("idf")
-    hot = F.col("df") > hot_rows
-    whole = Window.partitionBy("query")
-    theta = F.max(worth * F.coalesce(F.try_element_at("floors", F.lit(k)), F.lit(0.0))).over(whole)
-    ceiling = F.when(hot, worth * F.col("best")).otherwise(F.lit(0.0))
-    cheapest = whole.orderBy("ceiling", "word").rowsBetween(Window.unboundedPreceding, 0)
-    summed = terms.withColumn("theta", theta).withColumn("ceiling", ceiling).withColumn(
-        "together", F.sum("ceiling").over(cheapest)
-    )
-    return summed.withColumn("leads", ~hot | (F.col("together") >= F.col("theta") - SLACK)).drop(
-        "theta", "ceiling", "together"
-    )
+    held = terms.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_piece)
+    pieces = broadcast_if_small(stored(held.select("word", F.ceil(F.col("n") / per_piece).cast("int").alias("pieces")), "common"))
+    one = F.coalesce("pieces", F.lit(1))
+    cut = terms.join(pieces, "word", "left").withColumn("piece", F.pmod(F.xxhash64(*ask), one).cast("int")).drop("pieces")
+    sent = lists.join(pieces, "word", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), one - 1))).drop("pieces")
+    return cut.join(sent, ["word", "piece"]).drop("piece")
+
+
+def block_bounds(terms: DataFrame, heads: DataFrame, ask: list[str]) -> DataFrame:
+    """(*ask, block, bound): the most a row of each block can score for each query."""
+    worth = F.col("weight") * F.col("idf") * F.col("best")
+    return in_pieces(terms, heads, ask).groupBy(*ask, "block").agg(F.sum(worth).alias("bound"))
 
 
-def score_bags(
-    queries: DataFrame, index: SearchIndex, *, repair: bool = True, k: int | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def score_blocks(blocks: DataFrame, terms: DataFrame, postings: DataFrame, average: Column, ask: list[str]) -> DataFrame:
+    """(*ask, product_key, position, score) of every bag in the given (*ask, block) that shares a word with the query."""
+    part = term_score(F.col("weight"), F.col("idf"), F.col("tf"), F.col("row_length"), average)
+    met = blocks.select(*ask, "block").join(terms, ask).join(postings, ["word", "block"])
+    return met.groupBy(*ask, "product_key", "position").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+
+
+def score_bags(queries: DataFrame, index: SearchIndex, *, repair: bool = True, k: int | None = None) -> DataFrame:
     """(query, product_key, position, score) for every bag of rows that may be among the k best of the query.
 
-    Without k, for every bag that shares a word with it.
+    A query's blocks are ranked by what their rows can score at most. The best blocks are scored first; the k-th product
+    found in them says what a row must reach, and only blocks that can reach it are scored besides. Scores are exact.
+    Without k, every bag that shares a word with the query.
     """
     # Both are read several times below, and the queries may be costly to come by.
     asked = stored(queries.select("query").distinct(), "queries")
-    known = query_terms(asked, index.words, repair).join(index.words, "word")
-    terms = stored(leading_terms(known, k, hot_rows), "terms")
-    leading = terms.where("leads").select("query", "word", "weight", "idf", F.explode("segments").alias("segment"))
+    terms = stored(query_terms(asked, index.words, repair).join(index.words.select("word", "idf"), "word"), "terms")
     average = index.totals.select("average_length").scalar()
-    found = index.postings.drop("copies")
-    part = term_score(F.col("weight"), F.col("idf"), F.col("tf"), F.col("row_length"), average).alias("part")
-    row = ["query", "product_key", "position"]
-    heads = leading.join(found, ["word", "segment"]).select(*row, part).groupBy(*row).agg(F.sum("part").alias("part"))
-    if k is None or k > CHAMPIONS:
-        return heads.select(*row, F.round("part", SCORE_DIGITS).alias("score"))
-    rest = terms.where("not leads").select("query", "word", "weight", "idf")
-    tails = heads.select(*row).join(rest, "query").join(
-        found.select("word", "position", "tf", "row_length"), ["word", "position"]
+    ask = ["query"]
+    if k is None:
+        part = term_score(F.col("weight"), F.col("idf"), F.col("tf"), F.col("row_length"), average)
+        return in_pieces(terms, index.postings, ask).groupBy("query", "product_key", "position").agg(
+            F.round(F.sum(part), SCORE_DIGITS).alias("score")
+        )
+    bounds = stored(block_bounds(terms, index.heads, ask), "bounds")
+    probed, rest = promising_blocks(bounds, k, lambda first: score_blocks(first, terms, index.postings, average, ask))
+    return probed.unionByName(score_blocks(rest, terms, index.postings, average, ask))
+
+
+def promising_blocks(bounds: DataFrame, k: int, score) -> tuple[DataFrame, DataFrame]:
+    """The scores of each query's best blocks, and the other blocks that may hold a row among its k best products."""
+    highest = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("nth", F.row_number().over(highest)).where(F.col("nth") <= PROBED)
+    probed = stored(score(first), "probed")
+    products = probed.groupBy("query", "product_key").agg(F.max("score").alias("score"))
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"))
+    reached = products.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") == k).select(
+        "query", F.col("score").alias("reached")
     )
-    parts = heads.unionByName(tails.select(*row, part))
-    return parts.groupBy(*row).agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
+    others = bounds.join(first.select("query", "block"), ["query", "block"], "left_anti").join(reached, "query", "left")
+    return probed, others.where(F.col("bound") >= F.coalesce(F.col("reached"), F.lit(0.0)) - SLACK)
 
 
 def best_per_product(scored: DataFrame, k: int) -> DataFrame:
@@ -173,11 +195,11 @@ def best_per_product(scored: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
 
 
-def search(
-    queries: DataFrame, index: SearchIndex, k: int = 20, *, repair: bool = True, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def search(queries: DataFrame, index: SearchIndex, k: int = 20, *, repair: bool = True) -> DataFrame:
     """The k best products for each distinct `query` text, with their code and description."""
-    ranked = best_per_product(score_bags(queries, index, repair=repair, k=k, hot_rows=hot_rows), k)
+    if k < 1:
+        raise ValueError("at least one candidate must be asked for")
+    ranked = best_per_product(score_bags(queries, index, repair=repair, k=k), k)
     return ranked.join(index.items.select("position", "code", "description"), "position").select(
         "query", "rank", "position", "code", "description", "score", "product_key"
     )
@@ -191,15 +213,14 @@ def rank_rows(queries: DataFrame, index: SearchIndex, k: int) -> DataFrame:
     scored = score_bags(queries, index, k=k)
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "position")
     top = scored.withColumn("bag_rank", F.row_number().over(by_score)).where(F.col("bag_rank") <= k)
-    rows = index.items.select(
-        F.col("position").alias("row_position"),
-        normalize_code(F.col("code")).alias("product_key"),
-        F.array_sort(index_words()).alias("bag"),
-    )
-    in_bag = Window.partitionBy("product_key", "bag").orderBy("row_position")
-    first_rows = rows.withColumn("nth", F.row_number().over(in_bag)).where(F.col("nth") <= k)
-    bag_of = first_rows.join(index.bags.select("product_key", "bag", "position"), ["product_key", "bag"])
-    opened = top.join(bag_of.select("position", "row_position"), "position")
+    # Only rows of the products found, and of those only the bags found, are opened.
+    wanted = index.bags.join(top.select("position").distinct(), "position", "left_semi").select("product_key", "bag", "position")
+    rows = index.items.select(F.col("position").alias("row_position"), normalize_code(F.col("code")).alias("product_key"), "code", "description")
+    met = rows.join(wanted.select("product_key").distinct(), "product_key", "left_semi").withColumn("bag", F.array_sort(index_words()))
+    bag_of = met.join(wanted, ["product_key", "bag"]).select("position", "row_position")
+    in_bag = Window.partitionBy("position").orderBy("row_position")
+    first_rows = bag_of.withColumn("nth", F.row_number().over(in_bag)).where(F.col("nth") <= k).drop("nth")
+    opened = top.join(first_rows, "position")
     final = Window.partitionBy("query").orderBy(F.desc("score"), "row_position")
     return (
         opened.withColumn("rank", F.row_number().over(final))

@@ -37,6 +37,7 @@ repaired AS (SELECT u.word, min(f.word) AS spelling FROM unknown u JOIN freq f
 terms AS (SELECT query, word, sum(weight) AS weight FROM (
     SELECT query, word, CAST(times AS DOUBLE) AS weight FROM said WHERE word IN (SELECT word FROM freq)
     UNION ALL SELECT query, spelling, times * 0.5 FROM said JOIN repaired USING (word)) GROUP BY ALL)"""
+MANY_TEXTS = "SELECT DISTINCT description || ', ' || CAST(l_suppkey % 25 + 1 AS VARCHAR(10)) || 'MM' AS query FROM rfq_lines"
 SCORED = """scored AS (SELECT query, position,
     round(sum(weight * idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (row_length / average)))), 4) AS score
     FROM terms JOIN freq USING (word) JOIN posted USING (word) JOIN lengths USING (position), totals GROUP BY ALL)"""
@@ -246,6 +247,13 @@ def best_rows(t: Inputs) -> DataFrame:
     )
 
 
+def many_texts(t: Inputs) -> DataFrame:
+    """The five best products of every distinct wording with a size and a unit: some ten thousand texts."""
+    return search.search(t.sql(MANY_TEXTS), index_of(t), K).select(
+        "query", F.col("rank").cast("long").alias("rank"), "position", "code", "score"
+    )
+
+
 def best_products(t: Inputs) -> DataFrame:
     return search.search(texts(t), index_of(t), 20).select(
         "query", F.col("rank").cast("long").alias("rank"), "position", "code", "score"
@@ -345,6 +353,8 @@ SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words, coalesc
     Query("F6", "word_statistics", word_statistics, f"WITH {INDEX} SELECT word, df, round(idf, 6) AS idf FROM freq"),
     Query("F7", "bm25_search", best_rows,
           f"WITH {INDEX},\n{TERMS},\n{SCORED} SELECT query, rank, position, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, position) AS rank FROM scored) WHERE rank <= 10"),
+    Query("F7", "search_many_texts", many_texts,
+          f"""WITH {INDEX},\n{TERMS.replace("SELECT DISTINCT description AS query FROM rfq_lines", MANY_TEXTS)},\n{SCORED},\n{RANKED} SELECT query, rank, position, code, score FROM ranked WHERE rank <= {K}"""),
     Query("F8", "repair_words", repaired, f"WITH {INDEX},\n{TERMS} SELECT word, spelling FROM repaired"),
     Query("F9", "best_per_product", best_products, f"{SEARCH} SELECT query, rank, position, code, score FROM ranked WHERE rank <= 20"),
     Query("F7+F9", "line_matches", best_matches,

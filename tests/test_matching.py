@@ -129,8 +129,8 @@ def test_search_equals_brute_force(spark, items, worded):
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
-def test_passing_over_hot_words_changes_nothing(spark, k):
-    """Every word is hot here: with and without looking through them the k best are the same."""
+def test_blocks_passed_over_change_nothing(spark, k):
+    """Small blocks: most are never scored, and the k best are those of all rows."""
     kinds, sizes = ["bolt", "nut", "washer", "bolt washer", "rope"], ["m8", "m10", "m12 steel", "m8 m10", "steel"]
     rows = [
         (i, f"P-{i % 40}", f"{kinds[i % 5]} {sizes[i % 7 % 5]} {'rare' if i % 37 == 0 else ''} {'common ' * (i % 3)}", "", "")
@@ -139,12 +139,17 @@ def test_passing_over_hot_words_changes_nothing(spark, k):
     df = spark.createDataFrame(
         rows, "position long, code string, description string, customer_code string, customer_description string"
     )
-    index = search.build_index(df)
+    index = search.build_index(df, block_bags=8)
     asked = ["rare bolt common", "rope steel common", "common", "m8 washer rare rare", "nut m12 steel common bolt", "p7 common"]
     queries = spark.createDataFrame([(a,) for a in asked], "query string")
-    terms = search.query_terms(queries, index.words).join(index.words, "word")
-    assert search.leading_terms(terms, k, 0).where("not leads").count() > 0
-    found = search.search(queries, index, k, hot_rows=0).collect()
+    terms = search.query_terms(queries, index.words).join(index.words.select("word", "idf"), "word")
+    average = index.totals.select("average_length").scalar()
+    bounds = search.block_bounds(terms, index.heads, ["query"])
+    _, rest = search.promising_blocks(
+        bounds, k, lambda first: search.score_blocks(first, terms, index.postings, average, ["query"])
+    )
+    assert rest.count() < 0.75 * bounds.count()
+    found = search.search(queries, index, k).collect()
     for text in asked:
         mine = [(r.product_key, r.position) for r in sorted(found, key=lambda r: r["rank"]) if r.query == text]
         assert mine == brute_search(rows, text, k), text
