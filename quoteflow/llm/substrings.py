@@ -8,7 +8,7 @@ the shard's documents are streamed through it. Where many documents meet one sha
 reference is sent to each piece (as text, a tenth of its automaton's size, which each task builds).
 
 Nothing is quadratic in copies: equal texts are one, a stretch meets one shard, and stretches of an anchor with very much
-text around it are cut anew by longer anchors, at last by whole windows. Hashes only ever bring texts together; what is removed is decided by words.
+text around it are cut into single windows, and what one text repeats is one row. Hashes only ever bring texts together; what is removed is decided by words.
 """
 
 import numpy as np
@@ -126,11 +126,6 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, edges - edges[0]
 
 
-def between(anchor: int, window: int) -> int:
-    """The length of an anchor halfway to a whole window."""
-    return min(window, max(anchor + 1, (anchor + window) // 2))
-
-
 def anchored(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """`texts` (doc, text, h1, h2) with `n_words`, and lists `anchors`, `starts` and `counts` of its stretches."""
     names = texts.columns
@@ -232,72 +227,94 @@ class Automaton:
         return spans
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
+
+
 def _shared_spans(window: int):
     def find(reference: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
         automaton = Automaton()
         reference = reference.sort_values(["doc", "passage"])
         for passage, doc in zip(reference["passage"], reference["doc"]):
             automaton.add(passage.split(" "), doc)
-        found = [
-            (row, first + start, end + start)
-            for row, doc, start, passage in zip(passages["row"], passages["doc"], passages["start"], passages["passage"])
-            for first, end in automaton.shared(passage.split(" "), doc, window)
-        ]
+        found = []
+        for row, doc, starts, passage in zip(passages["row"], passages["doc"], passages["starts"], passages["passage"]):
+            spans = automaton.shared(passage.split(" "), doc, window)
+            here = [(first + start, end + start) for first, end in spans for start in starts]
+            found += [(row, first, end) for first, end in _merged(here)]
         return pd.DataFrame(found, columns=["row", "first", "end"])
 
     return find
 
 
+PASSAGES = "row long, doc long, anchor long, starts array<int>, words int, passage string"
+
+
+def _columns(rows: list[tuple]) -> dict:
+    row, doc, anchor, starts, words, passage = zip(*rows) if rows else ((),) * 6
+    return {
+        "row": row, "doc": doc, "anchor": anchor, "starts": starts, "words": words,
+        "passage": pa.array(passage, pa.binary()).cast(pa.string()),
+    }
+
+
 def _passages(texts: DataFrame, window: int) -> DataFrame:
-    """(`row`, `doc`, `anchor`, `start`, `words`, `passage`): the words of every stretch in `wanted`."""
+    """(`row`, `doc`, `anchor`, `starts`, `words`, `passage`): the stretches in `wanted`; one a text repeats is one row."""
 
     def task():
         def one(piece):
             column = {name: piece.column(piece.schema.get_field_index(name)) for name in piece.schema.names}
-            wanted = column["wanted"]
-            parts = wanted.flatten()
-            counts = pa.compute.list_value_length(wanted).to_numpy()
+            parts = column["wanted"].flatten()
+            counts = pa.compute.list_value_length(column["wanted"]).to_pylist()
             starts = parts.field("start").to_numpy()
             lengths = parts.field("count").to_numpy() + (window - 1)
-            passages, at = [], 0
-            for text, count in zip(column["text"].cast(pa.large_binary()), counts.tolist()):
-                words = text.as_py().split()
-                for start, length in zip(starts[at : at + count].tolist(), lengths[at : at + count].tolist()):
-                    passages.append(b" ".join(words[start : start + length]))
+            anchors = parts.field("anchor").to_numpy()
+            out, at = [], 0
+            for row, doc, text, count in zip(column["row"].to_pylist(), column["doc"].to_pylist(), column["text"].cast(pa.large_binary()), counts):
+                words, own, held = text.as_py().split(), slice(at, at + count), {}
+                for anchor, start, length in zip(anchors[own].tolist(), starts[own].tolist(), lengths[own].tolist()):
+                    held.setdefault((anchor, length, b" ".join(words[start : start + length])), []).append(start)
+                out += [(row, doc, anchor, places, length, passage) for (anchor, length, passage), places in held.items()]
                 at += count
-            yield {
-                "row": np.repeat(column["row"].to_numpy(), counts), "doc": np.repeat(column["doc"].to_numpy(), counts),
-                "anchor": parts.field("anchor"), "start": starts, "words": lengths,
-                "passage": pa.array(passages, pa.binary()).cast(pa.string()),
-            }
+            yield _columns(out)
 
         return one
 
-    return map_batches(texts, "row long, doc long, anchor long, start int, words int, passage string", task)
+    return map_batches(texts, PASSAGES, task)
 
 
-def _recut(passages: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Passages cut anew by longer anchors; an anchor as long as a window makes every window a passage."""
+def _by_window(passages: DataFrame, window: int) -> DataFrame:
+    """Passages cut into single windows, each its own anchor; a window that a passage repeats is one row."""
 
     def task():
-        found = Anchors(window, anchor)
+        found = Anchors(window, window)
 
         def one(piece):
             column = {name: piece.column(piece.schema.get_field_index(name)) for name in piece.schema.names}
-            data, edges = _bytes(column["passage"])
-            anchors, owner, first, count = found.stretches(*found.words(data, edges))
-            lengths = count + (window - 1)
-            words = [text.as_py().split() for text in column["passage"].cast(pa.large_binary())]
-            cut = [b" ".join(words[i][at : at + n]) for i, at, n in zip(owner.tolist(), first.tolist(), lengths.tolist())]
-            yield {
-                "row": column["row"].to_numpy()[owner], "doc": column["doc"].to_numpy()[owner], "anchor": anchors,
-                "start": column["start"].to_numpy()[owner] + first, "words": lengths,
-                "passage": pa.array(cut, pa.binary()).cast(pa.string()),
-            }
+            anchors, owner, first, count = found.stretches(*found.words(*_bytes(column["passage"])))
+            out, cut = [], np.searchsorted(owner, np.arange(piece.num_rows + 1)).tolist()
+            rows = zip(column["row"].to_pylist(), column["doc"].to_pylist(), column["starts"].to_pylist(), column["passage"].cast(pa.large_binary()))
+            for number, (row, doc, starts, passage) in enumerate(rows):
+                words, own, held = passage.as_py().split(), slice(cut[number], cut[number + 1]), {}
+                for anchor, place, windows in zip(anchors[own].tolist(), first[own].tolist(), count[own].tolist()):
+                    for at in range(place, place + windows):
+                        held.setdefault((anchor, b" ".join(words[at : at + window])), []).append(at)
+                out += [
+                    (row, doc, anchor, [start + place for start in starts for place in places], window, shown)
+                    for (anchor, shown), places in held.items()
+                ]
+            yield _columns(out)
 
         return one
 
-    return map_batches(passages, passages.schema, task)
+    return map_batches(passages, PASSAGES, task)
 
 
 def dedup_substrings(
@@ -353,13 +370,11 @@ def dedup_substrings(
         return rows.groupBy("anchor", "passage").agg(F.min("doc").alias("doc"), F.first("words").alias("words"))
 
     reference = stored(distinct(passages), "reference")
-    for longer in [between(anchor, window), window]:
-        size = reference.groupBy("anchor").agg(F.sum("words").alias("n"))
-        hot = stored(size.where(F.col("n") > anchor_words).select("anchor"), "hot")
-        if hot.isEmpty():
-            break
+    size = reference.groupBy("anchor").agg(F.sum("words").alias("n"))
+    hot = stored(size.where(F.col("n") > anchor_words).select("anchor"), "hot")
+    if not hot.isEmpty():
         hot = small_side(hot)
-        cut = stored(_recut(passages.join(hot, "anchor", "left_semi").select(passages.columns), window, longer), "cut")
+        cut = stored(_by_window(passages.join(hot, "anchor", "left_semi").select(passages.columns), window), "cut")
         passages = passages.join(hot, "anchor", "left_anti").select(passages.columns).unionByName(cut)
         reference = stored(reference.join(hot, "anchor", "left_anti").select(reference.columns).unionByName(distinct(cut)), "reference")
     spans = stored(_match(reference, passages, window, shard_words, piece_words), "spans")
@@ -377,16 +392,16 @@ def _match(reference: DataFrame, passages: DataFrame, window: int, shard_words:
     words = reference.agg(F.sum("words").alias("n")).first()["n"] or 0
     shards = max(1, -(-words // shard_words))
     shard = F.pmod(F.col("anchor"), F.lit(shards)).alias("shard")
-    met = passages.select("row", "doc", "start", "words", "passage", shard)
+    met = passages.select("row", "doc", "starts", "words", "passage", shard)
     sizes = met.groupBy("shard").agg(F.ceil(F.sum("words") / piece_words).cast("int").alias("pieces"))
     # One row per shard; read twice.
     sizes = small_side(stored(sizes, "sizes"))
     sent = reference.select("doc", "passage", shard).join(sizes, "shard").withColumn(
         "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     ).drop("pieces")
-    asked = met.join(sizes, "shard").withColumn("piece", F.pmod(F.xxhash64("row", "start"), F.col("pieces")).cast("int"))
+    asked = met.join(sizes, "shard").withColumn("piece", F.pmod(F.xxhash64("row", "passage"), F.col("pieces")).cast("int"))
     found = sent.groupBy("shard", "piece").cogroup(
-        asked.select("shard", "piece", "row", "doc", "start", "passage").groupBy("shard", "piece")
+        asked.select("shard", "piece", "row", "doc", "starts", "passage").groupBy("shard", "piece")
     ).applyInPandas(_shared_spans(window), "row long, first int, end int")
     return found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
