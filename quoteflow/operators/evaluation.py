@@ -1,6 +1,6 @@
 """How well verdicts and searches do, measured over tables of predictions and cases."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.functions.values import strip
@@ -8,9 +8,12 @@ from quoteflow.functions.words import normalize_code, tokens
 from quoteflow.operators.catalog import index_words, inverse_frequency
 from quoteflow.operators.common import running_sum
 from quoteflow.operators.search import (
-    SCORE_DIGITS,
     MISSPELLED,
+    PROBED,
+    SCORE_DIGITS,
+    SLACK,
     SearchIndex,
+    block_bounds,
     one_letter_gone,
     repairable,
     search,
@@ -237,7 +240,8 @@ def ranks_leaving_one_out(cases: DataFrame, index: SearchIndex) -> DataFrame:
     """Ranks when customer wordings are indexed and a case's own sentence is hidden from it.
 
     Nothing is rebuilt per case: what the hidden rows add to word counts, row lengths, document frequencies and the
-    average is taken off inside the scores. `index` is built with customer wordings. Equal cases are asked once.
+    average is a correction of the common index, by case. The rank is how many products have a row ahead of the case's
+    own; what comes out is cases. `index` is built with customer wordings. Equal cases are asked once.
     """
     asked = cases.select("wording", "expected_key").distinct()
     said = tokens(F.col("wording"))
@@ -302,37 +306,56 @@ def ranks_leaving_one_out(cases: DataFrame, index: SearchIndex) -> DataFrame:
         (totals.select("average_length").scalar() - F.col("hidden_rows") * length / count).alias("average"),
         length.alias("said_length"),
     )
-    hits = (
-        terms.join(cut, ["wording", "expected_key"])
-        .join(index.postings, "word")
-        .withColumn("idf", inverse_frequency(count, F.col("df")))
+    ask = ["wording", "expected_key"]
+    weighed = stored(
+        terms.join(cut, ask).withColumn("idf", inverse_frequency(count, F.col("df"))).drop("df"), "weighed-terms"
     )
-    # A bag has one product and one wording, so all of its rows lose the sentence's words or none does.
-    touched = hidden.select("wording", "expected_key", "position").distinct()
-    times = words.select("wording", "expected_key", "word", "times")
-    full = term_score(F.col("weight"), F.col("idf"), F.col("tf"), F.col("row_length"), F.col("average"))
-    whole = hits.select("wording", "expected_key", "product_key", "position", full.alias("part"))
-    own = hits.where("product_key = expected_key").join(touched, ["wording", "expected_key", "position"])
-    short_tf = F.col("tf") - F.coalesce("times", F.lit(0))
-    bare = own.join(times, ["wording", "expected_key", "word"], "left").where(short_tf > 0).select(
-        "wording", "expected_key", "product_key", "position",
-        term_score(F.col("weight"), F.col("idf"), short_tf, F.col("row_length") - F.col("said_length"), F.col("average")).alias("part"),
+    postings = index.postings
+    # The case's own product, with the hidden sentence taken out of its rows. A bag has one product and one wording, so all
+    # of its rows lose the sentence's words or none does.
+    touched = hidden.select(*ask, "position").distinct().withColumn("touched", F.lit(True))
+    own = (
+        weighed.join(postings.withColumnRenamed("product_key", "expected_key"), ["word", "expected_key"])
+        .join(touched, [*ask, "position"], "left")
+        .join(words.select(*ask, "word", "times"), [*ask, "word"], "left")
     )
-    kept = whole.join(touched, ["wording", "expected_key", "position"], "left_anti").unionByName(bare)
-    scores = kept.groupBy("wording", "expected_key", "product_key", "position").agg(
-        F.round(F.sum("part"), SCORE_DIGITS).alias("score")
+    cut_off = F.col("touched").isNotNull()
+    left_tf = F.col("tf") - F.when(cut_off, F.coalesce("times", F.lit(0))).otherwise(F.lit(0))
+    left_length = F.col("row_length") - F.when(cut_off, F.col("said_length")).otherwise(F.lit(0))
+    part = term_score(F.col("weight"), F.col("idf"), F.col("left_tf"), F.col("left_length"), F.col("average"))
+    mine = stored(
+        own.withColumns({"left_tf": left_tf, "left_length": left_length}).where("left_tf > 0")
+        .groupBy(*ask, "position").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+        .groupBy(*ask).agg(F.max(F.struct("score", -F.col("position"))).alias("best"))
+        .select(*ask, F.col("best.score").alias("my_score"), (-F.col("best.col2")).alias("my_position")),
+        "own-rows",
     )
-    best = stored(
-        scores.groupBy("wording", "expected_key", "product_key").agg(
-            F.max_by(F.struct("position", "score"), F.struct(F.col("score"), -F.col("position"))).alias("b")
-        ).select("wording", "expected_key", "product_key", "b.*"),
-        "best-of-cases",
+    # The average without the sentence is lower, so the blocks' greatest impacts still bound what a row can score. Only
+    # blocks that can hold a row ahead of the case's own are scored, the best of them first: a case with as many products
+    # ahead as are looked at is settled by those.
+    reach = stored(
+        block_bounds(weighed.drop("average", "said_length"), index.heads, ask).join(mine, ask)
+        .where(F.col("bound") >= F.col("my_score") - SLACK),
+        "blocks-in-reach",
     )
-    mine = best.where("product_key = expected_key").select(
-        "wording", "expected_key", F.col("score").alias("my_score"), F.col("position").alias("my_position")
-    )
-    ahead = best.join(mine, ["wording", "expected_key"]).where(
-        "score > my_score or (score = my_score and position <= my_position)"
-    ).groupBy("wording", "expected_key").agg(F.count(F.lit(1)).alias("rank"))
-    within = ahead.where(F.col("rank") <= max(RECALL_AT))
-    return cases.join(within, ["wording", "expected_key"], "left")
+    highest = Window.partitionBy(*ask).orderBy(F.desc("bound"), "block")
+    numbered = reach.withColumn("nth", F.row_number().over(highest))
+    first = numbered.where(F.col("nth") <= PROBED)
+
+    def ahead(blocks: DataFrame) -> DataFrame:
+        """(wording, expected_key, product_key): the other products with a row ahead of the case's own."""
+        met = blocks.select(*ask, "block", "my_score", "my_position").join(weighed, ask).join(postings, ["word", "block"])
+        other = F.round(F.sum(term_score(F.col("weight"), F.col("idf"), F.col("tf"), F.col("row_length"), F.col("average"))), SCORE_DIGITS)
+        scored = met.where("product_key <> expected_key").groupBy(*ask, "my_score", "my_position", "product_key", "position").agg(
+            other.alias("score")
+        )
+        before = (F.col("score") > F.col("my_score")) | ((F.col("score") == F.col("my_score")) & (F.col("position") < F.col("my_position")))
+        return scored.where(before).select(*ask, "product_key").distinct()
+
+    probed = stored(ahead(first), "ahead")
+    settled = probed.groupBy(*ask).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(RECALL_AT)).select(*ask)
+    rest = numbered.where(F.col("nth") > PROBED).join(settled, ask, "left_anti")
+    counted = probed.unionByName(ahead(rest)).distinct().groupBy(*ask).agg(F.count(F.lit(1)).alias("ahead"))
+    place = F.coalesce("ahead", F.lit(0)) + 1
+    within = mine.join(counted, ask, "left").select(*ask, place.alias("rank")).where(F.col("rank") <= max(RECALL_AT))
+    return cases.join(within, ask, "left")
