@@ -1,13 +1,18 @@
 """Quote lists and details, the actions people take on them, prices and totals."""
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoteflow.functions.values import quantity_number
 from quoteflow.functions.words import normalize_code
 from quoteflow.operators.common import first_wins, last_wins, left_join_filled
+from quoteflow.sources.store import stored
+
+# Requests in a range of the page directory, about.
+RANGE_ROWS = 100_000
 
 # Fixed values.
 MOST_PER_PAGE = 500
@@ -33,20 +38,57 @@ def quote_priority(priority: Column) -> Column:
     return F.when(priority == "URGENT", "HIGH").otherwise("NORMAL")
 
 
-def list_quotes(records: DataFrame, search: str = "", page: int = 1, page_size: int = 25) -> DataFrame:
-    """One page of requests, newest first, each row with the number of requests found.
+def newest_first() -> list[Column]:
+    return [F.desc("received_at"), F.desc("record_id")]
+
+
+@dataclass(frozen=True)
+class PageDirectory:
+    """Requests in ranges of their order, and for each range which rows of the whole it holds.
+
+    `rows` has a folder for each `range_no`; `ranges` a row (`range_no`, `before`, `upto`, `total`) for each.
+    """
+
+    rows: DataFrame
+    ranges: DataFrame
+
+
+def page_directory(records: DataFrame, search: str = "", range_rows: int = RANGE_ROWS) -> PageDirectory:
+    """The requests found, newest first, cut into ranges of about `range_rows`; made once, read for every page.
 
     `records` carries `record_id`, `is_rfq`, `received_at`, `customer`, `labels`. The search text is looked for in the
     customer and the labels.
     """
-    if page < 1 or not 1 <= page_size <= MOST_PER_PAGE:
-        raise ValueError("page starts at 1 and holds 1 to 500 rows")
     needle = search.strip().lower()
     haystack = F.lower(F.concat_ws(" ", F.coalesce("customer", F.lit("")), F.array_join("labels", " ")))
     found = records.where(F.col("is_rfq") & haystack.contains(needle))
-    total = found.agg(F.count(F.lit(1)).alias("total")).select("total").scalar()
-    shown = found.orderBy(F.desc("received_at"), F.desc("record_id")).offset((page - 1) * page_size).limit(page_size)
-    return shown.withColumn("total", total)
+    total = found.count()
+    ranges = max(1, -(-total // range_rows))
+    ranged = found.repartitionByRange(ranges, *newest_first()).withColumn("range_no", F.spark_partition_id())
+    rows = stored(ranged, "ranges", by="range_no")
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, 0)
+    # One row per range.
+    counts = rows.groupBy("range_no").agg(F.count(F.lit(1)).alias("rows")).withColumn("upto", F.sum("rows").over(before))
+    listed = counts.select("range_no", (F.col("upto") - F.col("rows")).alias("before"), "upto", F.lit(total).cast("long").alias("total"))
+    return PageDirectory(rows, stored(listed, "directory"))
+
+
+def read_page(directory: PageDirectory, page: int = 1, page_size: int = 25) -> DataFrame:
+    """One page, each row with the number of requests found. Only the ranges that hold the page are read and sorted."""
+    if page < 1 or not 1 <= page_size <= MOST_PER_PAGE:
+        raise ValueError("page starts at 1 and holds 1 to 500 rows")
+    first, end = (page - 1) * page_size, page * page_size
+    held = directory.ranges.where((F.col("upto") > first) & (F.col("before") < end)).orderBy("range_no").collect()
+    if not held:
+        return directory.rows.drop("range_no").limit(0).withColumn("total", F.lit(0).cast("long"))
+    rows = directory.rows.where(F.col("range_no").isin([one["range_no"] for one in held])).drop("range_no")
+    shown = rows.orderBy(*newest_first()).offset(first - held[0]["before"] if first > held[0]["before"] else 0)
+    return shown.limit(page_size).withColumn("total", F.lit(held[0]["total"]).cast("long"))
+
+
+def list_quotes(records: DataFrame, search: str = "", page: int = 1, page_size: int = 25) -> DataFrame:
+    """One page of requests, newest first, each row with the number of requests found."""
+    return read_page(page_directory(records, search), page, page_size)
 
 
 def header_value(header: Column, field: str) -> Column:

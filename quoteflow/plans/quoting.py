@@ -1,5 +1,7 @@
 """Quotes, actions, prices and records over orders and events (survey 2.G) and its check SQL."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,14 @@ def listed(t: Inputs) -> DataFrame:
     return page.select("record_id", "customer", "label", "total")
 
 
+def listed_far_back(t: Inputs) -> DataFrame:
+    """Three pages of one directory of small ranges: the first, one across two ranges, and the last."""
+    directory = g.page_directory(_records(t), "label", range_rows=64)
+    total = directory.ranges.agg(F.max("total")).first()[0]
+    shown = [g.read_page(directory, page, 30).withColumn("page", F.lit(page).cast("long")) for page in (1, 3, -(-total // 30))]
+    return reduce(DataFrame.unionByName, shown).select("page", "record_id", "customer", "total")
+
+
 def statuses(t: Inputs) -> DataFrame:
     return t.sql(RECORDS).select(
         "record_id", g.quote_status(F.col("outcome"), F.col("category")).alias("status"),
@@ -269,6 +279,9 @@ QUERIES = [
     Query("G1", "list_quotes", listed,
           f"""WITH found AS (SELECT *, count(*) OVER () AS total FROM ({RECORDS}) WHERE is_rfq AND contains(lower(coalesce(customer, '') || ' ' || label || ' Checked'), 'label m'))
 SELECT record_id, customer, label, total FROM found ORDER BY received_at DESC, record_id DESC LIMIT 20 OFFSET 40"""),
+    Query("G1", "quote_pages", listed_far_back,
+          f"""WITH found AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY received_at DESC, record_id DESC) AS n FROM ({RECORDS}) WHERE is_rfq)
+SELECT (n - 1) // 30 + 1 AS page, record_id, customer, total FROM found WHERE (n - 1) // 30 + 1 IN (1, 3, (total + 29) // 30)"""),
     Query("G2", "quote_status", statuses,
           f"SELECT record_id, CASE WHEN outcome = 'SENT' THEN 'inProgress' WHEN category = 'CUSTOMER_ORDER_PO' THEN 'order' WHEN category = 'CUSTOMER_CLARIFICATION' THEN 'replyReceived' ELSE 'new' END AS status, CASE WHEN priority = 'URGENT' THEN 'HIGH' ELSE 'NORMAL' END AS priority FROM ({RECORDS})"),
     Query("G3", "rfq_detail_lines", details,

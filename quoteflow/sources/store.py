@@ -20,8 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, label: str = "table") -> DataFrame:
-    """The same rows, read back from a table of their own."""
+def stored(df: DataFrame, label: str = "table", by: str | None = None) -> DataFrame:
+    """The same rows, read back from a table of their own; with `by`, one folder for each value of that last column."""
     path = f"{shared_folder(df.sparkSession)}/quoteflow/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -98,3 +98,22 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = query.run(Inputs(spark, FOLDER))._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "rfq_lines" in line and "ReadSchema" in line]
     assert scans and all("description" not in line.split("ReadSchema")[1] for line in scans)
+
+
+def test_a_far_page_reads_its_own_range(spark):
+    rows = spark.range(5000).select(
+        F.col("id").alias("record_id"), F.lit(True).alias("is_rfq"), F.timestamp_seconds(F.col("id") * 7919 % 5000).alias("received_at"),
+        F.lit("c").alias("customer"), F.array(F.lit("x")).alias("labels"),
+    )
+    directory = quotes.page_directory(rows, range_rows=500)
+    wanted = [r.record_id for r in rows.orderBy(F.desc("received_at"), F.desc("record_id")).collect()]
+    for page in (1, 40, 100, 200):
+        shown = quotes.read_page(directory, page, 25)
+        assert [r.record_id for r in shown.collect()] == wanted[(page - 1) * 25 : page * 25]
+        plan = shown._jdf.queryExecution().executedPlan().toString()
+        kept = plan.split("PartitionFilters: ")[1].split("]")[0]
+        assert "range_no" in kept
+        read = {r[0] for r in directory.rows.where(F.col("record_id").isin([r.record_id for r in shown.collect()])).select("range_no").collect()}
+        assert len(read) <= 2
+    assert quotes.read_page(directory, 201, 25).collect() == []
+    assert quotes.read_page(quotes.page_directory(rows.where("false")), 1).collect() == []
