@@ -230,8 +230,21 @@ def saved(t: Inputs) -> DataFrame:
 
 
 def folded(t: Inputs) -> DataFrame:
-    labels = t.customer.select(F.col("c_custkey").alias("decision_id"), F.concat(F.lit("by "), "c_mktsegment").alias("label"))
-    return r.fold_journal(t.journal, labels)
+    return labelled(r.fold_journal(journal_lines(t), earned_labels(t)))
+
+
+def journal_lines(t: Inputs) -> DataFrame:
+    """The journal, two in three of its delivery lines with the labels they stamped."""
+    stamped = F.when(F.col("ord") % 3 > 0, F.array(F.concat(F.lit("stamped "), F.col("ord") % 7), F.lit("sent"))).otherwise(F.array().cast("array<string>"))
+    return t.journal.select("ord", "decision_id", "type", "value", F.when(F.col("type") == "delivery", stamped).alias("labels"))
+
+
+def earned_labels(t: Inputs) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("decision_id"), F.array(F.concat(F.lit("by "), "c_mktsegment")).alias("earned"))
+
+
+def labelled(folded: DataFrame) -> DataFrame:
+    return folded.withColumn("labels", F.array_join("labels", "|"))
 
 
 def noted(t: Inputs) -> DataFrame:
@@ -275,6 +288,11 @@ frozen AS (SELECT rfq_id, ord, line_index, unit_price, approved_at, margin_stock
 SAFE = "regexp_extract(filename, '([^\\\\/]*)$', 1)"
 SAFE = f"coalesce(nullif(left(trim(regexp_replace(trim({SAFE}), '[^\\p{{L}}\\p{{N}}_.()\\- ]+', '_', 'g'), '. '), 120), ''), 'attachment')"
 
+FOLDED = """WITH kinds AS (SELECT ord, decision_id, coalesce(type, 'decision') AS type, value FROM journal),
+last AS (SELECT decision_id, max_by(value, ord) FILTER (type = 'extraction') AS extraction_value, max_by(value, ord) FILTER (type = 'delivery') AS delivery_value, max(ord) FILTER (type = 'delivery') AS delivery_ord FROM kinds GROUP BY decision_id)
+SELECT k.decision_id, k.ord, k.value, extraction_value, delivery_value, CASE WHEN delivery_ord % 3 > 0 THEN 'stamped ' || CAST(delivery_ord % 7 AS VARCHAR) || '|sent' ELSE 'by ' || c.c_mktsegment END AS labels
+FROM kinds k JOIN last USING (decision_id) LEFT JOIN customer c ON c.c_custkey = k.decision_id WHERE k.type = 'decision'"""
+
 QUERIES = [
     Query("G1", "list_quotes", listed,
           f"""WITH found AS (SELECT *, count(*) OVER () AS total FROM ({RECORDS}) WHERE is_rfq AND contains(lower(coalesce(customer, '') || ' ' || label || ' Checked'), 'label m'))
@@ -339,11 +357,7 @@ one_by_one AS (SELECT email_id, CAST(0 AS BIGINT) AS n, ['body.txt', 'email.json
     list_filter(list_transform(range(1, len(taken) + 2), lambda k: CASE WHEN k = 1 THEN safe WHEN stem <> '' THEN stem || ' (' || k || ').' || ending ELSE safe || ' (' || k || ')' END), lambda x: NOT list_contains(taken, lower(x)))[1] AS saved_as
     FROM one_by_one o JOIN parted p ON p.email_id = o.email_id AND p.n = o.n + 1) z)
 SELECT email_id, ord, filename, saved_as FROM one_by_one WHERE n > 0"""),
-    Query("G18", "fold_journal", folded,
-          """WITH kinds AS (SELECT ord, decision_id, coalesce(type, 'decision') AS type, value FROM journal),
-last AS (SELECT decision_id, max_by(value, ord) FILTER (type = 'extraction') AS extraction_value, max_by(value, ord) FILTER (type = 'delivery') AS delivery_value, max(ord) FILTER (type = 'delivery') AS delivery_ord FROM kinds GROUP BY decision_id)
-SELECT k.decision_id, k.ord, k.value, extraction_value, delivery_value, CASE WHEN delivery_ord IS NOT NULL THEN 'delivered-' || CAST(delivery_ord AS VARCHAR) ELSE 'by ' || c.c_mktsegment END AS label
-FROM kinds k JOIN last USING (decision_id) LEFT JOIN customer c ON c.c_custkey = k.decision_id WHERE k.type = 'decision'"""),
+    Query("G18", "fold_journal", folded, FOLDED),
     Query("G19", "file_notes", noted,
           f"""SELECT email_id, ord, CASE WHEN coalesce(size_bytes, 0) > 0 THEN size_bytes ELSE coalesce(strlen(data), 0) END AS size,
   CASE WHEN is_reference THEN '{r.A_LINK}' WHEN data IS NULL THEN '{r.DOWNLOAD_FAILED}' WHEN ord % 2 = 0 THEN '{r.NOT_KEPT}' END AS note FROM ({NOTED})"""),

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from quoteflow.plans.base import Inputs, Query
 from quoteflow.plans.matching import CODES, CODED, codes_of
-from quoteflow.plans.quoting import ASKED_BEFORE, CONFIRMED, COURSE, EXISTING, STEPPED, stepped
+from quoteflow.plans.quoting import (
+    ASKED_BEFORE, CONFIRMED, COURSE, EXISTING, FOLDED, STEPPED, earned_labels, journal_lines, labelled, stepped,
+)
 from quoteflow.sources.files import publish_snapshot
 from quoteflow.sources.store import shared_folder
 from quoteflow.streaming import actions, catalog, journal, notifications
@@ -58,13 +60,13 @@ def changed(t: Inputs) -> DataFrame:
 
 
 def folded(t: Inputs) -> DataFrame:
-    stream = _arriving(t, t.journal.drop("props", "recorded_at"), "ord", "journal")
-    out = _place(t, "heads")
-    journal.fold_journal_stream(stream, out, f"{out}-log").awaitTermination()
-    heads = journal.current_heads(t.spark, out)
-    return heads.select(
-        "decision_id", F.col("extraction.value").alias("extraction_value"), F.col("delivery.value").alias("delivery_value")
-    )
+    # Out of order, and one line in ten twice.
+    lines = journal_lines(t)
+    shuffled = lines.unionByName(lines.where("ord % 10 = 0")).withColumn("arrives", F.col("ord") * 7919 % 1000)
+    stream = _arriving(t, shuffled, "arrives", "journal")
+    out = _place(t, "records")
+    journal.fold_journal_stream(stream, earned_labels(t), out, f"{out}-log").awaitTermination()
+    return labelled(journal.current_records(t.spark, out))
 
 
 def looked_up(t: Inputs) -> DataFrame:
@@ -121,8 +123,7 @@ def acted(t: Inputs) -> DataFrame:
 QUERIES = [
     Query("I1", "accept_notifications", accepted,
           "SELECT DISTINCT CAST(user_id AS VARCHAR) || '-' || event_type AS message_id FROM events WHERE event_type <> 'error' AND event_id % 50 <> 0"),
-    Query("I2", "fold_journal_stream", folded,
-          "SELECT decision_id, max_by(value, ord) FILTER (type = 'extraction') AS extraction_value, max_by(value, ord) FILTER (type = 'delivery') AS delivery_value FROM journal GROUP BY decision_id"),
+    Query("I2", "fold_journal_stream", folded, FOLDED),
     Query("I3", "changed_records", changed, "SELECT user_id AS record_id, max(ts) AS changed_at FROM events GROUP BY user_id"),
     Query("I4", "refresh_catalog", looked_up,
           f"WITH {CODES},\n{CODED} SELECT rfq_id, line_index, customer_code, found_code, (SELECT count(*) FROM catalog_rows) AS catalog_rows FROM coded"),
