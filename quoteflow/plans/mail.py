@@ -288,7 +288,12 @@ def sheet(t: Inputs) -> DataFrame:
 
 
 def snapshot(t: Inputs) -> DataFrame:
-    return s.publish_snapshot(t.catalog_rows, _place(t, "snapshots")).select("rows", F.length("sha256").cast("long").alias("digest_chars"))
+    return s.publish_snapshot(_sheet(t), _place(t, "snapshots")).select("rows", "items", "sha256")
+
+
+def _sheet(t: Inputs) -> DataFrame:
+    """The list with some codes blank and some descriptions missing: rows that are kept and cannot be looked up."""
+    return t.sql(SHEET).repartition(3)
 
 
 def _journal_file(t: Inputs) -> str:
@@ -341,6 +346,8 @@ def nested_cells(t: Inputs) -> DataFrame:
     return _longs(s.html_cells(rows.select("rfq_id", F.concat(F.lit(head), body, F.lit("</table><td>lost")).alias("html")), "rfq_id"))
 
 
+SHEET = """SELECT position, CASE WHEN position % 9 = 0 THEN '  ' ELSE code END AS code, CASE WHEN position % 13 = 0 THEN NULL ELSE description END AS description, customer_code, customer_description FROM catalog_rows"""
+
 # --- check SQL ----------------------------------------------------------------------------------------------------------
 
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -486,7 +493,10 @@ NAMES = ["mail", "number", "license"]
 QUERIES = [
     Query("A1", "read_catalog_csv", sheet,
           "SELECT CAST(position AS VARCHAR) AS no, '00' || code AS code, '\"' || description || '\" ' || chr(10) || 'new' AS description, customer_code FROM catalog_rows"),
-    Query("A4", "publish_snapshot", snapshot, "SELECT count(*) AS rows, CAST(64 AS BIGINT) AS digest_chars FROM catalog_rows"),
+    Query("A4", "publish_snapshot", snapshot,
+          f"""WITH digests AS (SELECT *, sha256(concat_ws(chr(31), CAST(position AS VARCHAR), coalesce(code, chr(1)), coalesce(description, chr(1)), coalesce(customer_code, chr(1)), coalesce(customer_description, chr(1)))) AS h FROM ({SHEET}))
+SELECT count(*) AS rows, count(*) FILTER (trim(code) <> '' AND trim(description) <> '') AS items,
+  sha256(concat_ws('-', {', '.join(f"CAST(sum(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT)) AS VARCHAR)" for i in range(4))})) AS sha256 FROM digests"""),
     Query("A5+A6", "journal_lines", journal_lines, "SELECT ord, decision_id, coalesce(type, 'decision') AS type, value FROM journal"),
     Query("A7", "redact", redacted,
           """SELECT doc_id, source, sha256(text) AS body_sha256, length(text) AS body_chars, NULL::VARCHAR AS body_text FROM documents

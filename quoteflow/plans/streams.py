@@ -73,10 +73,11 @@ def looked_up(t: Inputs) -> DataFrame:
     snapshots = _place(t, "snapshots")
     publish_snapshot(t.catalog_rows.where("position < 0"), snapshots).count()
     publish_snapshot(t.catalog_rows, snapshots).count()
+    publish_snapshot(t.catalog_rows.withColumn("code", F.lit(" ")), snapshots).count()
     lines = t.rfq_lines.select("rfq_id", "line_index", "customer_code")
     out = _place(t, "looked-up")
     catalog.lookup_stream(_arriving(t, lines, "rfq_id", "lines"), snapshots, out, f"{out}-log").awaitTermination()
-    return t.spark.read.parquet(out).select("rfq_id", "line_index", "customer_code", "found_code", "catalog_rows")
+    return t.spark.read.parquet(out).select("rfq_id", "line_index", "customer_code", "found_code", "catalog_items")
 
 
 def actions_of(t: Inputs) -> DataFrame:
@@ -126,7 +127,7 @@ QUERIES = [
     Query("I2", "fold_journal_stream", folded, FOLDED),
     Query("I3", "changed_records", changed, "SELECT user_id AS record_id, max(ts) AS changed_at FROM events GROUP BY user_id"),
     Query("I4", "refresh_catalog", looked_up,
-          f"WITH {CODES},\n{CODED} SELECT rfq_id, line_index, customer_code, found_code, (SELECT count(*) FROM catalog_rows) AS catalog_rows FROM coded"),
+          f"WITH {CODES},\n{CODED} SELECT rfq_id, line_index, customer_code, found_code, (SELECT count(*) FROM catalog_rows) AS catalog_items FROM coded"),
     Query("I5", "workflow_actions_stream", acted,
           f"""WITH {CONFIRMED},\n{COURSE}, told AS (
 SELECT 'inquiry' AS kind, rfq_id, NULL AS line_index, b.ord, CASE WHEN s.ord IS NOT NULL THEN 204 ELSE 409 END AS status, NULL AS stored_code, NULL AS supplier, NULL AS unit_price, NULL AS margin_stock, NULL AS offer_unit_price, NULL AS offer_received_at FROM batches b LEFT JOIN sound s USING (rfq_id, ord)

@@ -1,33 +1,54 @@
 """Lines looked up in whatever copy of the product list is current when they arrive."""
 
-from pyspark.errors import PySparkException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quoteflow.operators.catalog import code_index, lookup_code
+from quoteflow.operators.catalog import catalog_items, code_index, lookup_code
+from quoteflow.sources.files import copy_fault
+
+
+class Copies:
+    """The copies of a list that have been looked at: each is checked and indexed once, when it is first taken up."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.faults: dict[str, str] = {}
+        self.indexes: dict[str, tuple[str, int]] = {}
+
+    def fault(self, spark: SparkSession, path: str) -> str:
+        if path not in self.faults:
+            self.faults[path] = copy_fault(spark, path)
+        return self.faults[path]
 
+    def current(self, spark: SparkSession) -> tuple[DataFrame, int]:
+        """The code index of the newest copy that is as it was written, and how many items it holds.
 
-def readable_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest noted copy that can be read to its end: a copy gone wrong leaves the one before it in use."""
-    notes = spark.read.parquet(f"{folder}/notes").orderBy(F.desc("taken_at")).select("path")
-    for note in notes.toLocalIterator():
-        try:
-            copy = spark.read.parquet(note["path"])
-            copy.write.format("noop").mode("overwrite").save()
-            return copy
-        except PySparkException:
-            continue
-    raise ValueError(f"no copy under {folder} can be read")
+        A copy gone wrong leaves the one before it in use.
+        """
+        notes = spark.read.parquet(f"{self.folder}/notes").orderBy(F.desc("taken_at"), F.desc("path")).select("path", "items")
+        for note in notes.toLocalIterator():
+            path = note["path"]
+            if self.fault(spark, path):
+                continue
+            if path not in self.indexes:
+                index = f"{path}.index-{uuid.uuid4().hex}"
+                code_index(catalog_items(spark.read.parquet(path))).write.parquet(index)
+                self.indexes[path] = index, note["items"]
+            index, items = self.indexes[path]
+            return spark.read.parquet(index), items
+        raise ValueError(f"no copy under {self.folder} can be used")
 
 
 def lookup_stream(lines: DataFrame, snapshots: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of lines against the copy current at its start, marked with that copy's size."""
+    """Each batch of lines against the copy current at its start, marked with the number of that copy's items."""
+    copies = Copies(snapshots)
 
     def look_up(batch: DataFrame, batch_id: int) -> None:
-        items = readable_snapshot(batch.sparkSession, snapshots)
-        size = items.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-        found = lookup_code(batch, code_index(items)).withColumn("catalog_rows", size)
+        index, items = copies.current(batch.sparkSession)
+        found = lookup_code(batch, index).withColumn("catalog_items", F.lit(items).cast("long"))
         found.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return lines.writeStream.foreachBatch(look_up).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
