@@ -93,8 +93,8 @@ hid AS (SELECT c, w.position, w.said, w.own FROM asked a JOIN whole w ON w.wordi
 lost AS (SELECT c, word, count(*) AS n FROM (SELECT DISTINCT c, position, unnest(list_filter(said, lambda x: NOT list_contains(own, x))) AS word FROM hid) GROUP BY ALL),
 query_words AS (SELECT c, word, count(*) AS times FROM (SELECT c, unnest({q.tokens('wording')}) AS word FROM asked) GROUP BY ALL),
 counted AS (SELECT c, word, times, f.df - coalesce(l.n, 0) AS df FROM query_words JOIN freq f USING (word) LEFT JOIN lost l USING (c, word)),
-gone AS (SELECT c, word, times FROM counted WHERE df <= 0 AND length(word) >= 5 AND regexp_full_match(word, '\p{{L}}+')),
-near AS (SELECT g.c, g.word, g.times, f.word AS spelling, f.df - coalesce(l.n, 0) AS df FROM gone g JOIN freq f ON length(f.word) >= 5 AND regexp_full_match(f.word, '\p{{L}}+') AND levenshtein(g.word, f.word) = 1 LEFT JOIN lost l ON l.c = g.c AND l.word = f.word WHERE f.df > coalesce(l.n, 0)),
+gone AS (SELECT c, word, times FROM counted WHERE df <= 0 AND length(word) >= 5 AND regexp_full_match(word, '\\p{{L}}+')),
+near AS (SELECT g.c, g.word, g.times, f.word AS spelling, f.df - coalesce(l.n, 0) AS df FROM gone g JOIN freq f ON length(f.word) >= 5 AND regexp_full_match(f.word, '\\p{{L}}+') AND levenshtein(g.word, f.word) = 1 LEFT JOIN lost l ON l.c = g.c AND l.word = f.word WHERE f.df > coalesce(l.n, 0)),
 mended AS (SELECT c, min(spelling) AS word, min(times) * 0.5 AS weight, min(df) AS df FROM near GROUP BY c, near.word HAVING count(*) = 1),
 terms AS (SELECT c, word, df, sum(weight) AS weight FROM (SELECT c, word, df, CAST(times AS DOUBLE) AS weight FROM counted WHERE df > 0 UNION ALL SELECT c, word, df, weight FROM mended) GROUP BY ALL),
 averages AS (SELECT c, average - sum(len(said)) / any_value(n) AS average FROM hid, totals GROUP BY c, average),
