@@ -11,6 +11,7 @@ from quoteflow.functions.values import strip
 from quoteflow.operators.common import broadcast_if_small, ordered_list
 
 # Fixed values.
+RFQ_FORMS = ["RFQ_FORM_XLSX", "RFQ_FORM_PDF"]
 CATEGORY_ACTION = [
     ("NEW_RFQ", "FORWARD_TO_DST"), ("UPDATED_RFQ", "FORWARD_TO_DST"), ("PORTAL_RFQ_NOTIFICATION", "FORWARD_TO_DST"),
     ("CUSTOMER_ORDER_PO", "ROUTE_TO_ORDER_TEAM"), ("CUSTOMER_CLARIFICATION", "ROUTE_TO_CS"),
@@ -152,12 +153,25 @@ def to_be_asked(decided: DataFrame) -> DataFrame:
     return decided.where("rule is null")
 
 
+def strong_rfq_signal(signals: Column, attachment_kinds: Column) -> Column:
+    """Whether a message looks like a request whatever was answered: a form, a day quotes are due, or a reference."""
+    form = F.arrays_overlap(attachment_kinds, F.array(*[F.lit(one) for one in RFQ_FORMS]))
+    said = [F.coalesce(signals[name], F.lit("")) != "" for name in ("quote_due_date", "rfq_reference")]
+    return F.coalesce(form, F.lit(False)) | said[0] | said[1]
+
+
 def finalize_policy(drafts: DataFrame) -> DataFrame:
     """Verdicts with their action, review flag, priority, path and the guardrails that fired.
 
-    `drafts` carries `category`, `confidence`, `answered_is_rfq` (null when not asked), `priority`, `decision_path`,
-    `strong_signal` and `urgent`. The action follows from the category and is never taken from an answer.
+    `drafts` carries `category`, `confidence`, `answered_is_rfq` (null when not asked), `priority`, `decision_path`, and
+    either the hints `signals` and `attachment_kinds` or what follows from them, `strong_signal` and `urgent`. The action
+    follows from the category and is never taken from an answer.
     """
+    if "signals" in drafts.columns:
+        marks = F.col("signals.urgency_markers")
+        drafts = drafts.withColumns(
+            {"strong_signal": strong_rfq_signal(F.col("signals"), F.col("attachment_kinds")), "urgent": F.coalesce(F.size(marks) > 0, F.lit(False))}
+        )
     mapped = F.coalesce(*[F.when(F.col("category") == one, action) for one, action in CATEGORY_ACTION])
     is_rfq = F.col("category").isin(RFQ_CATEGORIES)
     low = F.col("confidence") < REVIEW_BELOW

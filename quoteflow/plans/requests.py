@@ -363,7 +363,14 @@ FROM body, (VALUES ('A'), ('B'), ('D'), ('E'), ('F')) k(c) WHERE sr_no <= 4977 A
     Query("E17", "form_warnings",
           lambda t: e.form_warnings(t.rfq_lines.select("rfq_id", (F.col("line_index") + 4970).alias("sr_no"))),
           f"SELECT DISTINCT rfq_id, '{e.ITEMS_TRUNCATED}' AS warning FROM rfq_lines WHERE line_index > 7"),
-    Query("E18", "extraction_journal", journal, None, "JSON payloads; the parts are checked as normalize_header, completeness and merge_sources"),
+    Query("E18", "extraction_journal", journal,
+          f"""WITH {NORMALISED},\n{COMPLETE}, {MERGED.replace("items AS (", "all_items AS (").replace("FROM items)", "FROM all_items)")}, docs AS ({DOCUMENTS}),
+kept_header AS (SELECT h.*, a.value AS raw, a.source, coalesce(h.text, h.day) AS shown FROM header h JOIN accepted a USING (rfq_id, field)),
+counts AS (SELECT rfq_id, count(*) AS items, count(DISTINCT source) AS sources FROM merged GROUP BY rfq_id)
+SELECT c.rfq_id, 'request' AS part, CAST(0 AS BIGINT) AS ord, '{{"items":' || coalesce(n.items, 0) || ',"sources":' || coalesce(n.sources, 0) || ',"complete":' || CASE WHEN has_items AND missing = '' THEN 'true' ELSE 'false' END
+  || ',"missing_required":[' || CASE WHEN missing = '' THEN '' ELSE '"' || replace(missing, ',', '","') || '"' END || ']}}' AS payload FROM complete c LEFT JOIN counts n USING (rfq_id)
+UNION ALL SELECT rfq_id, 'document', file_ord, '{{' || concat_ws(',', '"origin":' || to_json(origin), '"grids":1,"pages":0,"images":0', '"text_chars":' || length(codes), '"role":"ITEM_GRID"', '"items":' || items) || '}}' FROM docs
+UNION ALL SELECT rfq_id, 'header', list_position([{', '.join(f"'{one}'" for one in e.HEADER_FIELDS)}], field), '{{' || concat_ws(',', '"field":' || to_json(field), '"raw":' || to_json(raw), '"source":' || to_json(source), '"value":' || to_json(shown), '"dropped":' || to_json(dropped)) || '}}' FROM kept_header"""),
     Query("E19", "usable_filename", filenames,
           """SELECT doc_id, trim(left(trim(regexp_replace(regexp_replace('RFQ: "' || text || '/?*', '[<>:"/\\\\|?*\\x00-\\x1f]+', ' ', 'g'), '\\s+', ' ', 'g')), 60)) AS name FROM documents"""),
     Query("E20", "goods_sample", goods,
