@@ -449,12 +449,14 @@ def picture_documents(pages: DataFrame) -> DataFrame:
     )
 
 
-def table_digest(cells: DataFrame, blocks: DataFrame, profiles: DataFrame) -> DataFrame:
+def table_digest(
+    cells: DataFrame, blocks: DataFrame, profiles: DataFrame, whole_rows: int = WHOLE_TABLE_ROWS
+) -> DataFrame:
     """(grid_id, header_row, part, line_no, line): small tables row by row, larger ones as profiles and samples."""
-    whole = blocks.where(F.col("height") <= WHOLE_TABLE_ROWS).select(
+    whole = blocks.where(F.col("height") <= whole_rows).select(
         *BLOCK, F.explode(F.sequence("first_data_row", "last_data_row")).alias("row_no")
     )
-    large = blocks.where(F.col("height") > WHOLE_TABLE_ROWS)
+    large = blocks.where(F.col("height") > whole_rows)
     sampled = sample_rows(large, profiles.join(large.select(*BLOCK), BLOCK, "left_semi"))
     wanted = whole.unionByName(sampled)
     filled = block_cells(cells, blocks).join(wanted, [*BLOCK, "row_no"])

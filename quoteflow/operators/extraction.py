@@ -344,8 +344,11 @@ def remarks(sections: DataFrame) -> DataFrame:
     return blocks.groupBy("rfq_id").agg(F.array_join(ordered_list(F.col("block"), "section"), "\n").alias("remarks"))
 
 
-def form_cells(header: DataFrame, items: DataFrame) -> DataFrame:
-    """(rfq_id, cell, kind, value): what goes into which cell of the form; rows past the form's end are cut."""
+def form_cells(header: DataFrame, items: DataFrame, last_row: int | None = LAST_ITEM_ROW) -> DataFrame:
+    """(rfq_id, cell, kind, value): what goes into which cell of the form.
+
+    Rows past `last_row`, where the printed form ends, are cut and told by `form_warnings`; None is a form without end.
+    """
     shown_day = F.date_format("day", "yyyy-MM-dd")
     number = F.when(F.col("field") == "imo", v.plain_number(F.col("text")))
     head = header.where("text is not null or day is not null").select(
@@ -368,15 +371,15 @@ def form_cells(header: DataFrame, items: DataFrame) -> DataFrame:
         (F.concat(F.lit("F"), row), F.lit("text"), F.upper("uom")),
     ]
     structs = [F.struct(c.alias("cell"), k.alias("kind"), x.alias("value")) for c, k, x in cells]
-    room = LAST_ITEM_ROW - FIRST_ITEM_ROW + 1
-    body = items.where(F.col("sr_no") <= room).select("rfq_id", F.explode(F.array(*structs)).alias("c")).select(
+    fitting = items if last_row is None else items.where(F.col("sr_no") <= last_row - FIRST_ITEM_ROW + 1)
+    body = fitting.select("rfq_id", F.explode(F.array(*structs)).alias("c")).select(
         "rfq_id", "c.*"
     )
     return head.unionByName(body.where("value is not null and value <> ''"))
 
 
-def form_warnings(items: DataFrame) -> DataFrame:
-    room = LAST_ITEM_ROW - FIRST_ITEM_ROW + 1
+def form_warnings(items: DataFrame, last_row: int = LAST_ITEM_ROW) -> DataFrame:
+    room = last_row - FIRST_ITEM_ROW + 1
     return items.where(F.col("sr_no") > room).select("rfq_id", F.lit(ITEMS_TRUNCATED).alias("warning")).distinct()
 
 

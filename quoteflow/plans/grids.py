@@ -183,7 +183,8 @@ def pictures(t: Inputs) -> DataFrame:
 def digest(t: Inputs) -> DataFrame:
     cells = t.cells
     found = stored(c.find_blocks(cells), "blocks")
-    return c.table_digest(cells, found, c.profile_columns(cells, found))
+    # Tables of more than six rows are told by their columns and samples, so that both forms are met.
+    return c.table_digest(cells, found, c.profile_columns(cells, found), whole_rows=6)
 
 
 TYPED = """SELECT l_orderkey AS grid_id, l_linenumber + CASE WHEN l_partkey % 50 = 0 THEN 4997 ELSE 0 END AS row_no, k.col_no,
@@ -270,5 +271,12 @@ FROM places p LEFT JOIN cells c ON c.grid_id = p.grid_id AND c.row_no = p.row_no
     Query("D14", "picture_documents", pictures,
           """SELECT doc_id, round(avg(length(text)), 4) AS chars_per_page, avg(length(text)) < 50 OR (avg(CASE WHEN has_image THEN 1 ELSE 0 END) >= 0.5 AND avg(length(text)) < 400) AS is_pictures
 FROM (SELECT conv_id AS doc_id, text, role = 'assistant' AS has_image FROM conversations) GROUP BY doc_id"""),
-    Query("D15", "table_digest", digest, None, "padded text for reading; its parts are checked as profile_columns and sample_rows"),
+    Query("D15", "table_digest", digest,
+          f"""{PROFILES}, sized AS (SELECT *, last_data_row - header_row AS n FROM blocks),
+wanted AS (SELECT grid_id, header_row, unnest(range(first_data_row, last_data_row + 1)) AS row_no FROM sized WHERE n <= 6
+  UNION SELECT grid_id, header_row, header_row + 1 + place FROM (SELECT grid_id, header_row, n, unnest(range(n)) AS place FROM sized WHERE n > 6) x WHERE n <= 15 OR place < 5 OR place >= n - 5 OR (place >= n // 2 AND place < n // 2 + 5)
+  UNION SELECT grid_id, header_row, first_filled_row FROM profiles WHERE filled > 0 AND fill_share <= 0.2 AND total > 15),
+shown AS (SELECT grid_id, header_row, row_no, string_agg({LETTER} || ' ' || CASE WHEN length(value) <= 48 THEN value ELSE left(value, 47) || '…' END, ' | ' ORDER BY col_no) AS line FROM inside GROUP BY ALL)
+SELECT grid_id, header_row, 'rows' AS part, row_no AS line_no, coalesce(line, '') AS line FROM wanted LEFT JOIN shown USING (grid_id, header_row, row_no)
+UNION ALL SELECT grid_id, header_row, 'columns', CAST(col_no AS BIGINT), letter || ' ' || header || CASE WHEN filled = 0 THEN ' empty' ELSE ' ' || filled || '/' || total || ' filled, ' || CASE WHEN numeric_share > 0.9 THEN 'numbers' ELSE 'text' END || ', ' || different || ' distinct ' || samples END FROM profiles WHERE total > 6"""),
 ]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quoteflow.operators import cells, common, quotes
+from quoteflow.operators import cells, common, extraction, quotes, records
 from quoteflow.plans.base import Inputs
 from quoteflow.plans.registry import all_queries
 from quoteflow.sources import files
@@ -117,3 +117,26 @@ def test_a_far_page_reads_its_own_range(spark):
         assert len(read) <= 2
     assert quotes.read_page(directory, 201, 25).collect() == []
     assert quotes.read_page(quotes.page_directory(rows.where("false")), 1).collect() == []
+
+
+def test_every_page_of_a_record_has_its_email(spark):
+    emails = spark.createDataFrame([(1, "a"), (2, "b")], "email_id long, subject string")
+    lines = spark.range(1, 1502).select(F.lit(1).cast("long").alias("email_id"), F.col("id").alias("line_index"), F.lit("x").alias("description"))
+    files = spark.range(1, 2502).select(F.lit(1).cast("long").alias("email_id"), F.col("id").alias("ord"), F.lit("f").alias("filename"))
+    candidates = spark.createDataFrame([(1, 1501, 1, "c", 5)], "email_id long, line_index long, rank int, item_code string, confidence int")
+    inquiries = spark.createDataFrame([(2, 1, "s"), (3, 1, "unknown")], "email_id long, ord long, supplier string")
+    found = records.assemble_records(emails, lines, candidates, files, inquiries).orderBy("email_id", "page_no").collect()
+    assert [(r.email_id, r.subject, r.page_no, len(r.lines or []), len(r.files or []), len(r.inquiries or [])) for r in found] == [
+        (1, "a", 0, 1000, 1000, 0), (1, "a", 1, 501, 1000, 0), (1, "a", 2, 0, 501, 0), (2, "b", 0, 0, 0, 1),
+    ]
+    assert found[1].lines[500].candidates[0].item_code == "c"
+
+
+def test_a_form_may_have_no_end(spark):
+    items = spark.range(1, 5001).select(
+        F.lit(1).alias("rfq_id"), F.col("id").alias("sr_no"), F.lit("c").alias("customer_item_code"), F.lit("2").alias("quantity"),
+        F.lit("d").alias("description"), F.lit("pc").alias("uom"),
+    )
+    header = spark.createDataFrame([], "rfq_id int, field string, text string, day date")
+    assert extraction.form_cells(header, items).count() == 4977 * 5 and extraction.form_warnings(items).count() == 1
+    assert extraction.form_cells(header, items, last_row=None).count() == 25_000
