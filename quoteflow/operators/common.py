@@ -102,9 +102,17 @@ def ordered_list(value: Column, *order: Column | str) -> Column:
 
 
 def left_join_filled(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """A left join on a text key in which null and blank keys, which match nothing, are not shuffled to one task."""
-    filled = F.coalesce(F.col(key), F.lit("")) != ""
-    return rows.where(filled).join(named, key, "left").unionByName(rows.where(~filled), allowMissingColumns=True)
+    """A left join on a text key in which null and blank keys, which match nothing, do not all go to one task.
+
+    They are dealt by the rest of their row under keys that no text has, so `rows` is read once.
+    """
+    plain = [name for name, kind in rows.dtypes if name != key and "map<" not in kind]
+    apart = F.concat(F.lit("\u0000"), F.xxhash64(F.lit(0), *plain).cast("string"))
+    filled = F.when(F.coalesce(F.col(key), F.lit("")) != "", F.col(key)).otherwise(apart)
+    # A name of its own on either side, as one input may be made of the other.
+    met = named.withColumnRenamed(key, "_met")
+    joined = rows.withColumn("_asked", filled).join(met, F.col("_asked") == F.col("_met"), "left").drop("_asked", "_met")
+    return joined.select(key, *[name for name in joined.columns if name != key])
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

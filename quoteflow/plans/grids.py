@@ -86,6 +86,11 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(n).cast("long").alias(n) if k == "int" else F.col(n) for n, k in df.dtypes])
 
 
+def _blocks(t: Inputs) -> DataFrame:
+    """Blocks of the shared cells, found once."""
+    return t.kept("blocks", lambda: stored(c.find_blocks(t.cells), "blocks"))
+
+
 def blocks(t: Inputs) -> DataFrame:
     found = c.find_blocks(t.cells)
     return found.select("grid_id", "header_row", "first_data_row", "last_data_row")
@@ -106,9 +111,8 @@ def named(t: Inputs) -> DataFrame:
 
 
 def fallback(t: Inputs) -> DataFrame:
-    """The first two rows of a third of the grids lose their headings' words, so the first row has to do."""
-    cells = t.cells
-    plain = cells.where("row_no > 1").withColumn("row_no", F.col("row_no") - 2).where("row_no < 90")
+    """Every grid's headings lose their words, so that where no others follow the first row has to do."""
+    plain = t.sql(PLAIN_HEADINGS)
     return c.fallback_blocks(plain, c.find_blocks(plain)).select(
         "grid_id", "header_row", "first_data_row", "last_data_row"
     )
@@ -116,12 +120,12 @@ def fallback(t: Inputs) -> DataFrame:
 
 def titles(t: Inputs) -> DataFrame:
     cells = t.cells
-    return c.block_titles(cells, c.find_blocks(cells))
+    return c.block_titles(cells, _blocks(t))
 
 
 def profiles(t: Inputs) -> DataFrame:
     cells = t.cells
-    out = _longs(c.profile_columns(cells, c.find_blocks(cells)))
+    out = _longs(c.profile_columns(cells, _blocks(t)))
     return out.select(
         "grid_id", "header_row", "letter", "header", "total", "filled", F.col("numeric").alias("numbers"), "longest",
         F.col("distinct").alias("different"), F.round("fill_share", 6).alias("fill_share"),
@@ -131,19 +135,19 @@ def profiles(t: Inputs) -> DataFrame:
 
 def samples(t: Inputs) -> DataFrame:
     cells = t.cells
-    found = stored(c.find_blocks(cells), "blocks")
+    found = _blocks(t)
     return c.sample_rows(found, c.profile_columns(cells, found))
 
 
 def problems(t: Inputs) -> DataFrame:
     cells = t.cells
-    found = stored(c.find_blocks(cells), "blocks")
+    found = _blocks(t)
     return c.verify_mapping(c.profile_columns(cells, found), _answers(t, found))
 
 
 def copied(t: Inputs) -> DataFrame:
     cells = t.cells
-    found = stored(c.find_blocks(cells), "blocks")
+    found = _blocks(t)
     origins = t.orders.select(
         F.col("o_orderkey").alias("grid_id"), F.format_string("order%d.xlsx#S", "o_orderkey").alias("origin")
     )
@@ -152,7 +156,7 @@ def copied(t: Inputs) -> DataFrame:
 
 def unmapped(t: Inputs) -> DataFrame:
     cells = t.cells
-    found = stored(c.find_blocks(cells), "blocks")
+    found = _blocks(t)
     return c.unmapped_columns(c.profile_columns(cells, found), _answers(t, found)).select(
         "grid_id", "header_row", "unmapped"
     )
@@ -162,13 +166,13 @@ def roles(t: Inputs) -> DataFrame:
     documents = t.orders.select(
         F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 7 != 3).alias("has_content")
     )
-    holding = c.find_blocks(t.cells).select(F.col("grid_id").alias("doc_id"))
+    holding = _blocks(t).select(F.col("grid_id").alias("doc_id"))
     return c.document_roles(documents, holding, t.sql(DOCUMENT_ANSWERS))
 
 
 def preface(t: Inputs) -> DataFrame:
     cells = t.cells
-    return c.preface_rows(cells, c.find_blocks(cells))
+    return c.preface_rows(cells, _blocks(t))
 
 
 def pictures(t: Inputs) -> DataFrame:
@@ -182,7 +186,7 @@ def pictures(t: Inputs) -> DataFrame:
 
 def digest(t: Inputs) -> DataFrame:
     cells = t.cells
-    found = stored(c.find_blocks(cells), "blocks")
+    found = _blocks(t)
     # Tables of more than six rows are told by their columns and samples, so that both forms are met.
     return c.table_digest(cells, found, c.profile_columns(cells, found), whole_rows=6)
 
@@ -202,6 +206,8 @@ def cleaned(t: Inputs) -> DataFrame:
     )
 
 
+PLAIN_HEADINGS = """SELECT grid_id, greatest(row_no - 1, 0) AS row_no, CASE WHEN row_no = 0 THEN 7 ELSE col_no END AS col_no,
+    CASE WHEN row_no = 1 THEN 'c' || CAST(col_no AS VARCHAR(10)) ELSE value END AS value FROM cells"""
 OPEN = "grid_id, header_row, first_data_row, last_data_row"
 QUERIES = [
     Query("A10", "clean_cells", cleaned, f"""WITH typed AS ({TYPED}),
@@ -215,8 +221,8 @@ SELECT grid_id, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_
     Query("D4", "named_blocks", named,
           f"WITH {HEADERS},\nnamed AS (SELECT o_orderkey AS grid_id, o_orderkey % 4 AS header_row FROM orders),\n{blocks_sql('named')} SELECT {OPEN} FROM blocks"),
     Query("D4", "fallback_blocks", fallback,
-          f"""WITH whole AS (SELECT * FROM cells), {('hits' + HEADERS.split('hits', 1)[1]).replace('FROM cells', 'FROM plain').replace('hits AS', "plain AS (SELECT grid_id, row_no - 2 AS row_no, col_no, value FROM whole WHERE row_no > 1 AND row_no < 92), hits AS", 1)},
-named AS (SELECT grid_id, CAST(0 AS BIGINT) AS header_row FROM heights WHERE height >= 2 AND width >= 2 AND grid_id NOT IN (SELECT grid_id FROM headers)),
+          f"""WITH whole AS (SELECT * FROM cells), {('hits' + HEADERS.split('hits', 1)[1]).replace('FROM cells', 'FROM plain').replace('hits AS', f"plain AS ({PLAIN_HEADINGS.replace('FROM cells', 'FROM whole')}), hits AS", 1)},
+named AS (SELECT grid_id, CAST(0 AS BIGINT) AS header_row FROM heights WHERE height >= 2 AND width >= 2 AND grid_id NOT IN (SELECT grid_id FROM (WITH {blocks_sql('headers').replace('FROM cells', 'FROM plain').replace('JOIN cells', 'JOIN plain')} SELECT grid_id FROM blocks) z)),
 {blocks_sql('named').replace('FROM cells', 'FROM plain').replace('JOIN cells', 'JOIN plain')} SELECT {OPEN} FROM blocks"""),
     Query("D5", "block_titles", titles,
           f"""{BLOCKS},\nabove AS (SELECT b.grid_id, b.header_row, c.row_no, string_agg(c.value, ' ' ORDER BY c.col_no) AS said FROM blocks b JOIN cells c ON c.grid_id = b.grid_id

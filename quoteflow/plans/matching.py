@@ -262,7 +262,14 @@ def best_products(t: Inputs) -> DataFrame:
 
 def repaired(t: Inputs) -> DataFrame:
     known = index_of(t).words.select("word")
-    asked = texts(t).distinct().select(F.explode(tokens(F.col("query"))).alias("word")).distinct()
+    said = texts(t).distinct().select(F.explode(tokens(F.col("query"))).alias("word"))
+    # Every known word too, with its third sign left out, doubled, or made an x.
+    third = F.col("word").substr(3, 1)
+    wrong = known.select(F.explode(F.array(*[
+        F.concat(F.left("word", F.lit(2)), middle, F.col("word").substr(F.lit(4), F.length("word")))
+        for middle in (F.lit(""), F.concat(third, third), F.lit("x"))
+    ])).alias("word"))
+    asked = said.unionByName(wrong).distinct()
     return search.repair_words(asked.join(known, "word", "left_anti"), known)
 
 
@@ -355,7 +362,10 @@ SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words, coalesc
           f"WITH {INDEX},\n{TERMS},\n{SCORED} SELECT query, rank, position, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, position) AS rank FROM scored) WHERE rank <= 10"),
     Query("F7", "search_many_texts", many_texts,
           f"""WITH {INDEX},\n{TERMS.replace("SELECT DISTINCT description AS query FROM rfq_lines", MANY_TEXTS)},\n{SCORED},\n{RANKED} SELECT query, rank, position, code, score FROM ranked WHERE rank <= {K}"""),
-    Query("F8", "repair_words", repaired, f"WITH {INDEX},\n{TERMS} SELECT word, spelling FROM repaired"),
+    Query("F8", "repair_words", repaired, f"""WITH {INDEX}, said AS (SELECT DISTINCT unnest({q.tokens('description')}) AS word FROM rfq_lines
+    UNION SELECT left(word, 2) || unnest(['', substr(word, 3, 1) || substr(word, 3, 1), 'x']) || substr(word, 4) FROM freq),
+unknown AS (SELECT word FROM said WHERE word NOT IN (SELECT word FROM freq) AND length(word) >= 5 AND regexp_full_match(word, '\\p{{L}}+'))
+SELECT u.word, min(f.word) AS spelling FROM unknown u JOIN freq f ON length(f.word) >= 5 AND regexp_full_match(f.word, '\\p{{L}}+') AND levenshtein(u.word, f.word) = 1 GROUP BY u.word HAVING count(*) = 1"""),
     Query("F9", "best_per_product", best_products, f"{SEARCH} SELECT query, rank, position, code, score FROM ranked WHERE rank <= 20"),
     Query("F7+F9", "line_matches", best_matches,
           f"{SEARCH} SELECT l.rfq_id, l.line_index, r.rank, r.code, r.score FROM rfq_lines l LEFT JOIN ranked r ON r.query = l.description AND r.rank <= {K}"),

@@ -37,6 +37,8 @@ FROM orders CROSS JOIN (SELECT 1 AS ord, 'vessel_name' AS field UNION ALL SELECT
 ITEMS = """SELECT rfq_id, 1 AS file_ord, line_index AS ord, description, customer_code AS customer_item_code, quantity, uom, 'a.xlsx#S row ' || CAST(line_index AS VARCHAR(10)) AS source FROM rfq_lines
 UNION ALL SELECT rfq_id, 2, 100000 + line_index, upper(replace(description, ' ', '  ')), customer_code, CASE WHEN line_index % 4 = 1 THEN '99' ELSE quantity END, uom, 'b.xlsx#S row ' || CAST(line_index AS VARCHAR(10)) FROM rfq_lines WHERE line_index % 4 <> 3
 UNION ALL SELECT rfq_id, 3, 200000 + line_index, description, customer_code, quantity, uom, 'c.xlsx#S row ' || CAST(line_index AS VARCHAR(10)) FROM rfq_lines WHERE rfq_id % 5 = 0"""
+# The items of one request in seventeen stand under another number.
+MOVED_ITEMS = f"SELECT CASE WHEN rfq_id % 17 = 0 THEN -1 - rfq_id ELSE rfq_id END AS rfq_id, file_ord, ord, description, customer_item_code, quantity, uom, source FROM ({ITEMS}) w"
 STITCHED = """SELECT rfq_id AS doc_id, 1 + line_index // 3 AS part_no, line_index * 10 AS ord, description, customer_code AS customer_item_code, quantity, ' p' || CAST(1 + line_index // 3 AS VARCHAR(10)) || ' ' AS page FROM rfq_lines
 UNION ALL SELECT rfq_id, 2 + line_index // 3, line_index * 10 + 9, description, customer_code, quantity, 'p9' FROM rfq_lines WHERE line_index % 3 = 2
 UNION ALL SELECT rfq_id, 1, 5 + line_index * 10, description, customer_code, quantity, NULL FROM rfq_lines WHERE line_index = 1"""
@@ -100,10 +102,9 @@ def merged(t: Inputs) -> DataFrame:
 
 
 def merge_notes(t: Inputs) -> DataFrame:
-    items = t.sql(ITEMS).withColumn("file_ord", F.col("file_ord").cast("long"))
+    items = t.sql(MOVED_ITEMS).withColumn("file_ord", F.col("file_ord").cast("long"))
     rfqs = t.orders.select(F.col("o_orderkey").alias("rfq_id"))
-    found = e.merge_sources(items).where("rfq_id % 17 <> 0")
-    return e.merge_warnings(items.where("rfq_id % 17 <> 0"), found, rfqs)
+    return e.merge_warnings(items, e.merge_sources(items), rfqs)
 
 
 def stitched(t: Inputs) -> DataFrame:
@@ -113,7 +114,9 @@ def stitched(t: Inputs) -> DataFrame:
 
 def complete(t: Inputs) -> DataFrame:
     rfqs = t.orders.select(F.col("o_orderkey").alias("rfq_id"))
-    return e.completeness(rfqs, _header(t), t.rfq_lines.where("rfq_id % 8 <> 0"))
+    # One request in eight has its lines under another number.
+    moved = F.when(F.col("rfq_id") % 8 == 0, -1 - F.col("rfq_id")).otherwise(F.col("rfq_id"))
+    return e.completeness(rfqs, _header(t), t.rfq_lines.withColumn("rfq_id", moved))
 
 
 def completeness(t: Inputs) -> DataFrame:
@@ -331,8 +334,8 @@ CASE WHEN ord = 9 THEN {type_sql('value')} END AS rfq_type, CASE WHEN ord = 9 TH
     Query("E7", "normalize_header", header, f"WITH {NORMALISED} SELECT rfq_id, field, text, day, dropped, checked, warning FROM header"),
     Query("E8", "merge_sources", merged, f"WITH {MERGED} SELECT rfq_id, sr_no, description, quantity, source FROM merged"),
     Query("E8", "merge_warnings", merge_notes,
-          f"""WITH {MERGED} SELECT DISTINCT rfq_id, CAST(file_ord AS BIGINT) AS file_ord, '{e.DUPLICATE_SOURCE}' AS warning FROM items i WHERE rfq_id % 17 <> 0 AND NOT EXISTS (SELECT 1 FROM merged m WHERE m.rfq_id = i.rfq_id AND m.file_ord = i.file_ord)
-UNION ALL SELECT o_orderkey, NULL, '{e.NO_ITEMS}' FROM orders WHERE o_orderkey NOT IN (SELECT rfq_id FROM items WHERE rfq_id % 17 <> 0)"""),
+          f"""WITH {MERGED.replace(ITEMS, MOVED_ITEMS)} SELECT DISTINCT rfq_id, CAST(file_ord AS BIGINT) AS file_ord, '{e.DUPLICATE_SOURCE}' AS warning FROM items i WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.rfq_id = i.rfq_id AND m.file_ord = i.file_ord)
+UNION ALL SELECT o_orderkey, NULL, '{e.NO_ITEMS}' FROM orders WHERE o_orderkey NOT IN (SELECT rfq_id FROM items)"""),
     Query("E9", "quantity_conflicts", lambda t: e.quantity_conflicts(_merged(t)), f"WITH {MERGED},\n{CONFLICTS} SELECT rfq_id, sr_no, conflict FROM conflicts"),
     Query("E10", "stitch_parts", stitched,
           f"""WITH items AS (SELECT *, {IDENT} FROM ({STITCHED})), labels_of AS ({PART_LABELS}),
