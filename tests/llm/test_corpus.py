@@ -81,6 +81,20 @@ def test_line_dedup_of_repeated_rows_nulls_and_nothing(spark):
     assert lines.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_lines_of_unlike_words_are_not_compared(spark, monkeypatch):
+    """Lines that meet in a block by a few frequent words: pairs compared stay few, and copies among them are found."""
+    rng = random.Random(5)
+    often, rare = PROSE[:6], ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6000)]
+    rows = [(i, " ".join(rng.sample(often, 4) + rng.sample(rare, 9))) for i in range(500)]
+    rows += [(i + 500, text.replace(" ", " odd ", 1)) for i, text in rows[:40]]
+    compared = []
+    plain = lines.texts_of
+    monkeypatch.setattr(lines, "texts_of", lambda docs, wanted, *rest: plain(docs, compared.append(wanted.count()) or wanted, *rest))
+    found = lines.line_groups(documents(spark, rows, extra=False)).collect()
+    assert {(one["doc_id"], one["first"]["doc_id"]) for one in found} == {(i + 500, i) for i in range(40)}
+    assert sum(compared) < 160
+
+
 def test_hot_line_and_hot_copies(spark):
     """A third of all rows copies of one text: the other rows keep their results."""
     rows = [(i, " ".join(PROSE)) for i in range(300)] + [(1_000 + i, f"{i} " + " ".join(random.Random(i).choices(PROSE, k=20)) + f"\nown{i} line of text{i} number{i} x{i}") for i in range(600)]
