@@ -177,6 +177,19 @@ def test_scores(spark):
     assert lm.score_texts(documents(spark, []), bpe.default_vocabulary()).count() == 0
 
 
+def test_model_learns_from_long_texts(spark):
+    """What follows what is learned from every training text, however long it is."""
+    order = "the mill by a river had stood empty for years".split()
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    rows = [(i, " ".join(order * 1_000)) for i in range(100, 106) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(rows) > 2 and min(len(text) for _, text in rows) > 40_000
+    found = lm.score_texts(documents(spark, rows + [(i, " ".join(order * (i + 1))) for i in held]), bpe.default_vocabulary()).collect()
+    told = [row for row in found if row["held_out"]]
+    assert len(told) == 5
+    for row in told:
+        assert row["score"] > 0.9 * row["base_score"]
+
+
 def test_windows_score_each_position_once():
     """Batched windows give what each position's own window gives, and probabilities add up."""
     rng = np.random.default_rng(4)
