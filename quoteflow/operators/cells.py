@@ -252,7 +252,8 @@ def block_titles(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     places = above.select("row_no").distinct()
     near = broadcast_if_small(places)
     rows = (
-        cells.join(above, ["grid_id", "row_no"])
+        (cells if near is places else cells.join(near, "row_no", "left_semi"))
+        .join(above.hint("shuffle_hash"), ["grid_id", "row_no"])
         .groupBy(*BLOCK, "row_no")
         .agg(F.array_join(ordered_list(F.col("value"), "col_no"), " ").alias("said"))
         .groupBy(*BLOCK)
@@ -263,19 +264,22 @@ def block_titles(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
-def block_cells(cells: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Filled cells of the headed columns in the data rows of each block."""
+def _met_cells(cells: DataFrame, blocks: DataFrame, first_row: str) -> DataFrame:
+    """Filled cells of the headed columns in the rows of each block from `first_row` on, with the block's columns."""
     spread = blocks.withColumn(
         "stretch",
-        F.explode(
-            F.sequence(F.floor(F.col("first_data_row") / ROW_STRETCH), F.floor(F.col("last_data_row") / ROW_STRETCH))
-        ),
+        F.explode(F.sequence(F.floor(F.col(first_row) / ROW_STRETCH), F.floor(F.col("last_data_row") / ROW_STRETCH))),
     )
     placed = cells.withColumn("stretch", F.floor(F.col("row_no") / ROW_STRETCH))
-    return placed.join(spread, ["grid_id", "stretch"]).where(
-        F.col("row_no").between(F.col("first_data_row"), F.col("last_data_row"))
-        & F.array_contains("columns", F.col("col_no"))
-    ).select(*BLOCK, "row_no", "col_no", "value")
+    # Blocks are few beside cells: they are hashed, and the cells pass by unsorted.
+    return placed.join(spread.hint("shuffle_hash"), ["grid_id", "stretch"]).where(
+        F.col("row_no").between(F.col(first_row), F.col("last_data_row")) & F.array_contains("columns", F.col("col_no"))
+    )
+
+
+def block_cells(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Filled cells of the headed columns in the data rows of each block."""
+    return _met_cells(cells, blocks, "first_data_row").select(*BLOCK, "row_no", "col_no", "value")
 
 
 def column_letter(index: Column) -> Column:
@@ -293,31 +297,81 @@ def column_letter(index: Column) -> Column:
     )
 
 
-def profile_columns(cells: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row per headed column: how full, how numeric, how varied, and its first five values."""
-    column = [*BLOCK, "col_no"]
-    values = (
-        block_cells(cells, blocks)
-        .groupBy(*column, "value")
-        .agg(F.count(F.lit(1)).alias("times"), F.min("row_no").alias("first_row"))
+def _column_values(met: DataFrame, keys: list[str]) -> DataFrame:
+    """The different values of each column, in the heading row and in the data rows: how often, and where first."""
+    return met.groupBy(*keys, "height", (F.col("row_no") > F.col("header_row")).alias("is_data"), "value").agg(
+        F.count(F.lit(1)).alias("times"), F.min("row_no").alias("first_row")
+    )
+
+
+def _repeated_headings(values: DataFrame, given: Column) -> DataFrame:
+    """A heading for each time it is there and each time its place is named; once, unless a place is given twice."""
+    return values.where("not is_data").withColumn(
+        "header", F.explode(F.array_repeat("value", (F.col("times") * given).cast("int")))
+    )
+
+
+def _described_in_place(values: DataFrame, keys: list[str]) -> DataFrame:
+    """What `_described` gives, over columns of bounded height: one sort, and every number on the row of the heading."""
+    column = Window.partitionBy(*keys)
+    data, value = F.col("is_data"), F.col("value")
+    ordered = values.withColumn("nth", F.row_number().over(column.orderBy("is_data", "first_row")) - 1)
+    data_nth = F.col("nth") - F.col("different_headings")
+    told = (
+        ordered.withColumn("different_headings", F.sum((~data).cast("long")).over(column))
+        .withColumn("given", F.sum(F.when(~data, F.col("times"))).over(column))
+        .withColumn("filled", F.sum(F.when(data, F.col("times"))).over(column))
+        .withColumn("numeric", F.sum(F.when(data, F.when(value.rlike(NUMERIC), F.col("times")).otherwise(0))).over(column))
+        .withColumn("longest", F.max(F.when(data, F.length("value"))).over(column))
+        .withColumn("distinct", F.sum(F.when(data, F.lit(1))).over(column))
+        .withColumn("first_filled_row", F.min(F.when(data, F.col("first_row"))).over(column))
+    )
+    shown = shortened(value, SAMPLE_CHARS)
+    samples = F.array_compact(F.array(*[F.max(F.when(data & (data_nth == n), shown)).over(column) for n in range(SAMPLES)]))
+    return _repeated_headings(told.withColumn("samples", samples), F.col("given")).select(
+        *keys, "height", "header", "filled", "numeric", "longest", "distinct", "first_filled_row", "samples"
     )
-    numbers = values.groupBy(*column).agg(
+
+
+def _described(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Headings with the numbers and the first values of their columns, however high those are."""
+    given = values.where("not is_data").groupBy(*keys).agg(F.sum("times").alias("given"))
+    headings = _repeated_headings(values.join(given, keys), F.col("given")).select(*keys, "height", "header")
+    values = values.where("is_data")
+    numbers = values.groupBy(*keys).agg(
         F.sum("times").alias("filled"),
         F.sum(F.when(F.col("value").rlike(NUMERIC), F.col("times")).otherwise(0)).alias("numeric"),
         F.max(F.length("value")).alias("longest"),
         F.count(F.lit(1)).alias("distinct"),
         F.min("first_row").alias("first_filled_row"),
     )
-    seen = Window.partitionBy(*column).orderBy("first_row")
+    seen = Window.partitionBy(*keys).orderBy("first_row")
+    # One column for each of the few samples, as a list would be sorted once more.
+    nth = [F.max(F.when(F.col("nth") == n + 1, shortened(F.col("value"), SAMPLE_CHARS))).alias(f"s{n}") for n in range(SAMPLES)]
     samples = (
         values.withColumn("nth", F.row_number().over(seen))
         .where(F.col("nth") <= SAMPLES)
-        .groupBy(*column)
-        .agg(ordered_list(shortened(F.col("value"), SAMPLE_CHARS), "nth").alias("samples"))
+        .groupBy(*keys)
+        .agg(*nth)
+        .select(*keys, F.array_compact(F.array(*[f"s{n}" for n in range(SAMPLES)])).alias("samples"))
     )
-    headings = cells.select("grid_id", F.col("row_no").alias("header_row"), "col_no", F.col("value").alias("header"))
-    columns = blocks.select(*BLOCK, "height", F.explode("columns").alias("col_no")).join(headings, column)
-    full = columns.join(numbers, column, "left").join(samples, column, "left")
+    return headings.join(numbers, keys, "left").join(samples, keys, "left")
+
+
+def profile_columns(cells: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row per headed column: how full, how numeric, how varied, and its first five values.
+
+    A block that lies in one stretch of rows is described where its cells meet it. Values of longer ones are moved once
+    more, so that no task holds a whole block.
+    """
+    column = [*BLOCK, "col_no"]
+    near = F.floor(F.col("header_row") / ROW_STRETCH) == F.floor(F.col("last_data_row") / ROW_STRETCH)
+    placed = ["stretch", *column]
+    full = _described_in_place(_column_values(_met_cells(cells, blocks.where(near), "header_row"), placed), placed).drop("stretch")
+    far = blocks.where(~near)
+    if not far.isEmpty():
+        values = stored(_column_values(_met_cells(cells, far, "header_row"), column), "values")
+        full = full.unionByName(_described(values, column))
     filled = F.coalesce("filled", F.lit(0))
     share = filled / F.col("height")
     numeric_share = F.when(filled > 0, F.col("numeric") / filled).otherwise(0.0)
@@ -367,17 +421,21 @@ def verify_mapping(profiles: DataFrame, answers: DataFrame) -> DataFrame:
     known = profiles.select(*BLOCK, "letter", "is_empty", "fill_share", "numeric_share", F.lit(True).alias("known"))
     joined = answers.join(known, [*BLOCK, "letter"], "left")
 
-    def share_text(field: str, share: str, what: str, least: float) -> Column:
+    def first_short(field: str, share: str, least: float) -> Column:
+        short = (F.col("field") == field) & F.col("known") & (F.col(share) < least)
+        return F.min(F.when(short, F.struct("ord", "letter", F.col(share).alias("share"))))
+
+    def share_text(first: str, field: str, what: str, least: float) -> Column:
         text = F.format_string(
             "column %s was given to %s, but only %d%% of its values are %s (expected at least %d%%)",
-            F.col("letter"), F.lit(field), F.bround(F.col(share) * 100, 0).cast("int"), F.lit(what), F.lit(round(least * 100)),
+            F.col(f"{first}.letter"), F.lit(field), F.bround(F.col(f"{first}.share") * 100, 0).cast("int"), F.lit(what),
+            F.lit(round(least * 100)),
         )
-        short = (F.col("field") == field) & F.col("known") & (F.col(share) < least)
-        return F.min_by(F.when(short, text), F.when(short, F.col("ord")))
+        return F.when(F.col(first).isNotNull(), text)
 
     flags = joined.groupBy(*BLOCK).agg(
-        (F.count(F.lit(1)) > F.count_distinct("letter")).alias("column_twice"),
-        (F.count(F.lit(1)) > F.count_distinct("field")).alias("field_twice"),
+        (F.count(F.lit(1)) > F.size(F.collect_set("letter"))).alias("column_twice"),
+        (F.count(F.lit(1)) > F.size(F.collect_set("field"))).alias("field_twice"),
         F.min_by("letter", F.when(F.col("known").isNull(), F.col("ord"))).alias("unknown"),
         F.array_join(
             F.transform(
@@ -385,8 +443,8 @@ def verify_mapping(profiles: DataFrame, answers: DataFrame) -> DataFrame:
             ),
             ", ",
         ).alias("empty"),
-        share_text("quantity", "numeric_share", "numeric", MIN_NUMERIC_SHARE).alias("few_numbers"),
-        share_text("description", "fill_share", "filled", MIN_DESCRIPTION_SHARE).alias("few_descriptions"),
+        first_short("quantity", "numeric_share", MIN_NUMERIC_SHARE).alias("few_numbers"),
+        first_short("description", "fill_share", MIN_DESCRIPTION_SHARE).alias("few_descriptions"),
         F.max(F.col("known").isNull()).alias("any_unknown"),
     )
     problem = (
@@ -394,7 +452,13 @@ def verify_mapping(profiles: DataFrame, answers: DataFrame) -> DataFrame:
         .when(F.col("field_twice"), F.lit("the same field was taken from two columns"))
         .when(F.col("any_unknown"), F.format_string("column %s is not in this table", "unknown"))
         .when(F.col("empty") != "", F.format_string("column %s is empty in every row", "empty"))
-        .otherwise(F.coalesce("few_numbers", "few_descriptions", F.lit("")))
+        .otherwise(
+            F.coalesce(
+                share_text("few_numbers", "quantity", "numeric", MIN_NUMERIC_SHARE),
+                share_text("few_descriptions", "description", "filled", MIN_DESCRIPTION_SHARE),
+                F.lit(""),
+            )
+        )
     )
     return flags.select(*BLOCK, problem.alias("problem"))
 
