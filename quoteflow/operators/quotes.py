@@ -13,6 +13,8 @@ from quoteflow.sources.store import stored
 
 # Requests in a range of the page directory, about.
 RANGE_ROWS = 100_000
+# A range is a folder and a task, which the driver keeps book of, so larger tables have larger ranges, not more.
+MOST_RANGES = 500
 
 # Fixed values.
 MOST_PER_PAGE = 500
@@ -54,7 +56,8 @@ class PageDirectory:
 
 
 def page_directory(records: DataFrame, search: str = "", range_rows: int = RANGE_ROWS) -> PageDirectory:
-    """The requests found, newest first, cut into ranges of about `range_rows`; made once, read for every page.
+    """The requests found, newest first, cut into ranges of about `range_rows`, more where they would be over `MOST_RANGES`;
+    made once, read for every page.
 
     `records` carries `record_id`, `is_rfq`, `received_at`, `customer`, `labels`. The search text is looked for in the
     customer and the labels.
@@ -63,7 +66,7 @@ def page_directory(records: DataFrame, search: str = "", range_rows: int = RANGE
     haystack = F.lower(F.concat_ws(" ", F.coalesce("customer", F.lit("")), F.array_join("labels", " ")))
     found = records.where(F.col("is_rfq") & haystack.contains(needle))
     total = found.count()
-    ranges = max(1, -(-total // range_rows))
+    ranges = min(MOST_RANGES, max(1, -(-total // range_rows)))
     ranged = found.repartitionByRange(ranges, *newest_first()).withColumn("range_no", F.spark_partition_id())
     rows = stored(ranged, "ranges", by="range_no")
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, 0)

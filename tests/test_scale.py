@@ -140,3 +140,16 @@ def test_a_form_may_have_no_end(spark):
     header = spark.createDataFrame([], "rfq_id int, field string, text string, day date")
     assert extraction.form_cells(header, items).count() == 4977 * 5 and extraction.form_warnings(items).count() == 1
     assert extraction.form_cells(header, items, last_row=None).count() == 25_000
+
+
+def test_a_directory_of_a_large_table_has_no_more_ranges(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "MOST_RANGES", 8, raising=False)
+    rows = spark.range(2000).select(
+        F.col("id").alias("record_id"), F.lit(True).alias("is_rfq"), F.timestamp_seconds(F.col("id") * 7919 % 2000).alias("received_at"),
+        F.lit("c").alias("customer"), F.array(F.lit("x")).alias("labels"),
+    )
+    directory = quotes.page_directory(rows, range_rows=20)
+    assert directory.ranges.count() <= 8 and directory.rows.count() == 2000
+    wanted = [r.record_id for r in rows.orderBy(F.desc("received_at"), F.desc("record_id")).collect()]
+    for page in (1, 33, 80):
+        assert [r.record_id for r in quotes.read_page(directory, page, 25).collect()] == wanted[(page - 1) * 25 : page * 25]
