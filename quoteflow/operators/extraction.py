@@ -7,6 +7,7 @@ from quoteflow.functions import values as v
 from quoteflow.functions.values import strip
 from quoteflow.functions.words import collapsed, shortened
 from quoteflow.operators.common import last_wins, number_rows, ordered_list
+from quoteflow.sources.store import stored
 
 # Fixed values.
 HEADER_FIELDS = [
@@ -184,15 +185,21 @@ def identity() -> list[Column]:
 IDENTITY = ["id_code", "id_description", "id_quantity"]
 
 
+def marked_together(rows: DataFrame, key: str, marks: list[Column]) -> DataFrame:
+    """The rows that have a key, with these marks, equal ones in one place. The marks are made there, not sent along."""
+    return rows.where(F.col(key).isNotNull()).repartition(key, *marks).select("*", *marks)
+
+
 def merge_sources(items: DataFrame) -> DataFrame:
     """Rows of a request over its files, those an earlier file already gave left out, renumbered 1..n.
 
     `items` carries `rfq_id`, `file_ord` and `ord` (the order over all files). Repeats inside one file stay.
     """
-    marked = items.select("*", *identity())
-    firsts = marked.groupBy("rfq_id", *IDENTITY).agg(F.min("file_ord").alias("first_file"))
-    fresh = marked.join(firsts, ["rfq_id", *IDENTITY]).where("file_ord = first_file")
-    return number_rows(fresh.drop(*IDENTITY, "first_file"), ["rfq_id"], "ord", "sr_no")
+    marked = marked_together(items, "rfq_id", identity())
+    same = Window.partitionBy("rfq_id", *IDENTITY)
+    fresh = marked.withColumn("first_file", F.min("file_ord").over(same)).where("file_ord = first_file")
+    # Numbering reads the rows twice.
+    return number_rows(stored(fresh.drop(*IDENTITY, "first_file"), "fresh"), ["rfq_id"], "ord", "sr_no")
 
 
 def merge_warnings(items: DataFrame, merged: DataFrame, rfqs: DataFrame) -> DataFrame:
