@@ -214,20 +214,15 @@ def merge_warnings(items: DataFrame, merged: DataFrame, rfqs: DataFrame) -> Data
 
 def quantity_conflicts(merged: DataFrame) -> DataFrame:
     """(rfq_id, sr_no, conflict): rows asking another quantity of an article than the first file that named it."""
-    named = merged.select(
-        "rfq_id", "sr_no", "description", "quantity",
-        collapsed(F.col("customer_item_code")).alias("id_code"),
-        collapsed(F.col("description")).alias("id_description"),
-        collapsed(F.col("quantity")).alias("plain_quantity"),
-        F.substring_index("source", "#", 1).alias("file"),
+    rows = merged.select(
+        "rfq_id", "sr_no", "description", "quantity", "customer_item_code", F.substring_index("source", "#", 1).alias("file")
     )
+    named = marked_together(rows, "rfq_id", identity()[:2]).withColumn("plain_quantity", collapsed(F.col("quantity")))
     article = ["rfq_id", "id_code", "id_description"]
-    firsts = named.groupBy(*article).agg(
-        F.min_by(F.struct(F.col("plain_quantity").alias("written"), F.col("file").alias("where")), "sr_no").alias("first")
-    )
+    first = F.min_by(F.struct(F.col("plain_quantity").alias("written"), F.col("file").alias("where")), "sr_no")
     other = (F.col("file") != F.col("first.where")) & (F.col("plain_quantity") != F.col("first.written"))
     shown = F.left(F.coalesce("description", F.lit("")), F.lit(ARTICLE_CHARS))
-    return named.join(firsts, article).where(other).select(
+    return named.withColumn("first", first.over(Window.partitionBy(*article))).where(other).select(
         "rfq_id",
         "sr_no",
         F.format_string(

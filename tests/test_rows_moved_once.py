@@ -45,3 +45,5 @@ def test_rows_are_moved_once_to_be_told_apart(spark, exchanges):
     kept = sorted((key[0], o) for key, seen in plain.items() for f, o in seen if f == min(seen)[0])
     wanted = [(rfq, [one for one in kept if one[0] == rfq].index((rfq, o)) + 1, o) for rfq, o in kept]
     assert found == wanted
+    sent = exchanges(extraction.quantity_conflicts(merged))
+    assert not any("id_description" in one for one in sent)
