@@ -237,25 +237,27 @@ def stitch_parts(items: DataFrame, parts: DataFrame) -> DataFrame:
 
     `items` carries `doc_id`, `part_no`, `ord` and the page cited; `parts` the labels of each part. Part one is kept
     as read; later parts give only rows not seen before. A cited page counts only when the part holds it.
+
+    Rows meet a table of the parts once; a part holds a few pages, so their labels are one value of it.
     """
-    marked = items.select("*", *identity())
-    firsts = marked.groupBy("doc_id", *IDENTITY).agg(F.min("ord").alias("first_ord"))
-    lead = marked.groupBy("doc_id").agg(F.min("part_no").alias("first_part"))
-    kept = (
-        marked.join(firsts, ["doc_id", *IDENTITY])
-        .join(lead, "doc_id")
-        .where("part_no = first_part or ord = first_ord")
-        .drop(*IDENTITY, "first_ord", "first_part")
+    marked = marked_together(items, "doc_id", identity())
+    seen = marked.withColumn("first_ord", F.min("ord").over(Window.partitionBy("doc_id", *IDENTITY))).drop(*IDENTITY)
+    leads = items.select("doc_id", "part_no").distinct().withColumn(
+        "first_part", F.min("part_no").over(Window.partitionBy("doc_id"))
     )
-    names = parts.groupBy("doc_id", "part_no").agg(F.min("label").alias("part_label"))
-    cited = parts.select("doc_id", "part_no", F.col("label").alias("page"), F.lit(True).alias("held"))
+    names = parts.groupBy("doc_id", "part_no").agg(F.min("label").alias("part_label"), F.collect_set("label").alias("labels"))
     sourced = (
-        kept.withColumn("page", strip(F.coalesce("page", F.lit(""))))
-        .join(names, ["doc_id", "part_no"], "left")
-        .join(cited, ["doc_id", "part_no", "page"], "left")
-        .withColumn("source", F.when(F.col("held"), F.col("page")).otherwise(F.coalesce("part_label", F.lit(""))))
+        seen.withColumn("page", strip(F.coalesce("page", F.lit(""))))
+        .join(leads.join(names, ["doc_id", "part_no"], "left"), ["doc_id", "part_no"], "left")
+        .where("part_no = first_part or ord = first_ord")
+        .withColumn(
+            "source",
+            F.when(F.array_contains("labels", F.col("page")), F.col("page")).otherwise(F.coalesce("part_label", F.lit(""))),
+        )
     )
-    return number_rows(sourced.drop("part_label", "held"), ["doc_id"], "ord", "sr_no")
+    # Numbering reads the rows twice.
+    kept = stored(sourced.drop("first_ord", "first_part", "part_label", "labels"), "stitched")
+    return number_rows(kept, ["doc_id"], "ord", "sr_no")
 
 
 def completeness(rfqs: DataFrame, header: DataFrame, items: DataFrame) -> DataFrame:

@@ -47,3 +47,14 @@ def test_rows_are_moved_once_to_be_told_apart(spark, exchanges):
     assert found == wanted
     sent = exchanges(extraction.quantity_conflicts(merged))
     assert not any("id_description" in one for one in sent)
+
+
+def test_stitched_rows_are_moved_once_more(spark, exchanges):
+    items = rows(spark).where("rfq_id is not null").select(
+        F.col("rfq_id").alias("doc_id"), F.col("file_ord").alias("part_no"), "ord", "description", "customer_item_code", "quantity",
+        F.when(F.col("ord") % 2 == 0, F.lit(" p0 ")).otherwise("p0").alias("page"),
+    )
+    labels = spark.createDataFrame([(one, part, f"p{part}") for one in range(3) for part in (0, 1)], "doc_id long, part_no long, label string")
+    out = extraction.stitch_parts(items, labels)
+    assert sum("description" in one for one in exchanges(out)) == 1
+    assert {(r.part_no, r.source) for r in out.collect()} == {(0, "p0"), (1, "p1")}
