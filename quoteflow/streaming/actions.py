@@ -6,7 +6,9 @@ lines, what the suppliers last offered for them, whether the prices are approved
 cost, however many went before, and a restart takes up the state where it was.
 """
 
+from collections import namedtuple
 from collections.abc import Iterator
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,19 +30,28 @@ OUTCOMES = """kind string, rfq_id long, line_index long, ord long, status int, s
 STATE = """inquired boolean, approved boolean, asked array<bigint>,
     offers array<struct<line_index: bigint, unit_price: decimal(14,2), acted_at: timestamp_ntz>>"""
 FIELDS = [part.split()[0] for part in OUTCOMES.replace("(14,2)", "").split(",")]
+NOTHING = dict.fromkeys(FIELDS)
+# An action as it comes to be judged, after what tables say of it.
+JUDGED = ["kind", "ord", "acted_at", "line_index", "unit_price", "clears", "margin_stock", "margin_jit", "letters", "prices", "refused", "asked_before"]
+Action = namedtuple("Action", JUDGED)
 
 
 def judge_request(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The actions of one request in their order, after its state; those already refused are only passed on."""
+    """The actions of one request in their order, after its state; those already refused are only passed on.
+
+    Requests are many and their actions few: what pandas takes to slice, sort and join columns is more than all that is
+    done here. So an action is one value (`action`, an array of one struct), and so are all outcomes of a request.
+    """
     inquired, approved, asked, offers = state.get if state.exists else (False, False, [], [])
     asked, offered = set(asked), {one[0]: (one[1], one[2]) for one in offers}
     out = []
 
     def tell(action, kind: str, status: int | None = None, **more) -> None:
-        row = {"kind": kind, "rfq_id": key[0], "line_index": None, "ord": action.ord, "status": status, "acted_at": action.acted_at}
-        out.append({**dict.fromkeys(FIELDS), **row, **more})
+        out.append({**NOTHING, "kind": kind, "rfq_id": key[0], "ord": action.ord, "status": status, "acted_at": action.acted_at, **more})
 
-    for action in pd.concat(list(frames)).sort_values("ord").itertuples(index=False):
+    actions = [Action(**one) for frame in frames for held in frame["action"].tolist() for one in held]
+    actions.sort(key=attrgetter("ord"))
+    for action in actions:
         refused = None if pd.isna(action.refused) else int(action.refused)
         if action.kind == INQUIRY:
             refused = refused or (g.CONFLICT if inquired else None)
@@ -75,7 +86,7 @@ def judge_request(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState)
                          margin_jit=action.margin_jit, offer_unit_price=price_then, offer_received_at=received)
     kept = [(line, price, pd.Timestamp(at).to_pydatetime()) for line, (price, at) in sorted(offered.items())]
     state.update((inquired, approved, sorted(asked), kept))
-    yield pd.DataFrame(out, columns=FIELDS)
+    yield pd.DataFrame({"told": [out]})
 
 
 def outcomes(
@@ -124,8 +135,9 @@ def outcomes(
     names = [*actions.columns, "refused"]
     met = [df.select(*names, told.alias("asked_before")) for df, told in zip(branches, asked_before)]
     judged = (
-        met[0].unionByName(met[1]).unionByName(met[2]).groupBy("rfq_id")
-        .applyInPandasWithState(judge_request, OUTCOMES, STATE, "append", GroupStateTimeout.NoTimeout)
+        met[0].unionByName(met[1]).unionByName(met[2]).select("rfq_id", F.array(F.struct(*JUDGED)).alias("action")).groupBy("rfq_id")
+        .applyInPandasWithState(judge_request, f"told array<struct<{OUTCOMES}>>", STATE, "append", GroupStateTimeout.NoTimeout)
+        .select(F.explode("told").alias("told")).select("told.*")
     )
     # Confirmations depend on nothing that went before.
     confirmed = g.confirm_lines(of(CONFIRMATION).select("kind", *keys, "ord", "acted_at", "item_code"), lines, codes)
