@@ -22,6 +22,11 @@ HEADER_WORDS = [
     "remark", "remarks", "note", "notes", "maker", "brand",
 ]
 NOT_HEADER_SIGN = "[^a-z0-9/' ]+"
+# The first letter of a heading word, and one more sign that follows it in some word, after signs that do not count.
+HEADER_START = "^[^a-z0-9/']*+(?:" + "|".join(
+    first + "[^a-z0-9/' ]*+[" + "".join(sorted({word[1] for word in HEADER_WORDS if word[0] == first})) + "]"
+    for first in sorted({word[0] for word in HEADER_WORDS})
+) + ")"
 NUMERIC = r"^\s*\d+([.,]\d+)?"
 MIN_HEADER_HITS = 2
 SAMPLES = 5
@@ -71,8 +76,13 @@ def clean_cells(cells: DataFrame, max_rows: int | None = None, max_columns: int
 
 
 def header_word(value: Column) -> Column:
-    """Whether a cell says something headings say."""
-    return strip(F.regexp_replace(F.lower(strip(value)), NOT_HEADER_SIGN, "")).isin(HEADER_WORDS)
+    """Whether a cell says something headings say.
+
+    Most cells begin with a sign that no heading begins with, which is sooner told than what is left without other signs.
+    """
+    lowered = F.lower(value)
+    said = strip(F.regexp_replace(strip(lowered), NOT_HEADER_SIGN, "")).isin(HEADER_WORDS)
+    return F.when(lowered.rlike(HEADER_START), said).otherwise(F.when(value.isNotNull(), F.lit(False)))
 
 
 def grid_rows(cells: DataFrame) -> DataFrame:
@@ -147,7 +157,12 @@ def run_of_headings(filled: Column) -> Column:
 
 def table_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(grid_id, header_row, columns): the unbroken run of headings around the recognised ones."""
-    heading = cells.withColumnRenamed("row_no", "header_row").join(headers, BLOCK, "left_semi")
+    headers = stored(headers, "headers")
+    # Headings stand at few row numbers as a rule: cells of other rows are left where they are.
+    places = headers.select(F.col("header_row").alias("row_no")).distinct()
+    near = broadcast_if_small(places)
+    likely = cells if near is places else cells.join(near, "row_no", "left_semi")
+    heading = likely.withColumnRenamed("row_no", "header_row").join(headers.hint("shuffle_hash"), BLOCK, "left_semi")
     return _columns(grid_rows(heading.withColumnRenamed("header_row", "row_no")), headers)
 
 
@@ -216,15 +231,19 @@ def blocks_under(rows: DataFrame, named: DataFrame, recognised: DataFrame) -> Da
     )
 
 
-def find_blocks(cells: DataFrame) -> DataFrame:
-    rows = grid_rows(cells)
+def find_blocks(cells: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The block under each recognised heading row; `rows` are the cells' `grid_rows`, if they are at hand."""
+    rows = grid_rows(cells) if rows is None else rows
     headers = _headers(rows)
     return blocks_under(rows, headers, headers)
 
 
-def fallback_blocks(cells: DataFrame, blocks: DataFrame) -> DataFrame:
-    """For grids of at least two by two without any block: the first row taken as heading."""
-    rows = grid_rows(cells)
+def fallback_blocks(cells: DataFrame, blocks: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """For grids of at least two by two without any block: the first row taken as heading.
+
+    `rows` are the cells' `grid_rows`, if they are at hand.
+    """
+    rows = grid_rows(cells) if rows is None else rows
     shapes = rows.groupBy("grid_id").agg(
         F.max("row_no").alias("last_row"),
         F.max(F.col("word") * WORD + F.length(F.bin("filled")) - 1).alias("last_column"),

@@ -113,7 +113,8 @@ def named(t: Inputs) -> DataFrame:
 def fallback(t: Inputs) -> DataFrame:
     """Every grid's headings lose their words, so that where no others follow the first row has to do."""
     plain = t.sql(PLAIN_HEADINGS)
-    return c.fallback_blocks(plain, c.find_blocks(plain)).select(
+    rows = c.grid_rows(plain)
+    return c.fallback_blocks(plain, c.find_blocks(plain, rows), rows).select(
         "grid_id", "header_row", "first_data_row", "last_data_row"
     )
 
